@@ -1,0 +1,5 @@
+"""Streams.
+
+Row rules keep no state, so `rowsmith.operators.validate.row_violations` runs
+on a streaming DataFrame as it is. There is no other streaming operator.
+"""
