@@ -2,7 +2,7 @@
 
 Every draw is a hash of (seed, table, column, label, row id). The same row gets
 the same value on any cluster, after any retry and in any order, and any other
-row's value can be computed in place without a join.
+row's value can be computed in place without a join. Expressions are SQL text.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import gcd
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from rowsmith.functions.text import lit
 
 LONG_LIMIT = 2**62
 HASHES = ("xxhash64", "md5")
@@ -26,30 +25,30 @@ class Draws:
     column: str
     method: str = "xxhash64"
 
-    def below(self, n: int | Column, row_id: Column, label: str = "value") -> Column:
+    def below(self, n: int | str, row: str, label: str = "value") -> str:
         """An integer in [0, n) for each row."""
-        name = f"{self.seed}|{self.table}|{self.column}|{label}"
-        limit = n if isinstance(n, Column) else F.lit(n).cast("bigint")
+        stream = lit(f"{self.seed}|{self.table}|{self.column}|{label}")
+        limit = n if isinstance(n, str) else lit(n)
         if self.method == "md5":
-            digest = F.md5(F.concat_ws("|", F.lit(name), row_id.cast("string")))
-            number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+            digest = f"md5(concat_ws('|', {stream}, CAST({row} AS STRING)))"
+            number = f"CAST(conv(substring({digest}, 1, 15), 16, 10) AS BIGINT)"
         else:
-            number = F.xxhash64(F.lit(name), row_id.cast("bigint"))
-        return F.pmod(number, limit)
+            number = f"xxhash64({stream}, CAST({row} AS BIGINT))"
+        return f"pmod({number}, {limit})"
 
-    def chance(self, probability: float, row_id: Column, label: str) -> Column:
+    def chance(self, probability: float, row: str, label: str) -> str:
         """True for about this share of rows, in steps of one millionth."""
-        return self.below(1_000_000, row_id, label) < round(probability * 1_000_000)
+        return f"{self.below(1_000_000, row, label)} < {lit(round(probability * 1_000_000))}"
 
 
-def permute(row_id: Column, capacity: int, rows: int, salt: int) -> Column:
+def permute(row: str, capacity: int, rows: int, salt: int) -> str:
     """A different number in [0, capacity) for every row id in [0, rows).
 
     The multiplier is coprime to the capacity, so no two ids meet, and small
     enough that the product stays inside 63 bits.
     """
     multiplier, offset = permutation(capacity, rows, salt)
-    return F.pmod(row_id.cast("bigint") * F.lit(multiplier).cast("bigint") + F.lit(offset).cast("bigint"), F.lit(capacity).cast("bigint"))
+    return f"pmod({row} * {lit(multiplier)} + {lit(offset)}, {lit(capacity)})"
 
 
 def permutation(capacity: int, rows: int, salt: int) -> tuple[int, int]:
@@ -72,5 +71,5 @@ def digits36(rows: int) -> int:
     return width
 
 
-def suffix36(row_id: Column, width: int) -> Column:
-    return F.lpad(F.conv(row_id.cast("string"), 10, 36), width, "0")
+def suffix36(row: str, width: int) -> str:
+    return f"lpad(conv(CAST({row} AS STRING), 10, 36), {width}, '0')"

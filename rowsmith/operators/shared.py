@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowsmith.functions.text import lit, name, text
+
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_KEYS = 1_000
 COPY_CHUNK = 65_536
@@ -47,20 +48,8 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True)) if conditions else F.lit(True)
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
-
-
-def ref(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def not_null(columns: Sequence[str]) -> Column:
-    return all_of([ref(c).isNotNull() for c in columns])
+def ref(column: str) -> Column:
+    return F.col(name(column))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -70,7 +59,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def planned_bytes(df: DataFrame) -> int | None:
     """The size Catalyst assumes for a plan, or None where it is not readable."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return None
 
@@ -92,7 +81,7 @@ def _bytes(text: str) -> int:
     return number << units[suffix] if suffix and number > 0 else number
 
 
-def narrow_key(df: DataFrame, column: str, declared_length: int | None) -> Column:
+def narrow_key(df: DataFrame, column: str, declared_length: int | None) -> str:
     """A column to group and join by: long texts are replaced by their digest.
 
     The digest covers the whole text, so equal keys mean equal texts while the
@@ -100,8 +89,8 @@ def narrow_key(df: DataFrame, column: str, declared_length: int | None) -> Colum
     """
     is_text = isinstance(df.schema[column].dataType, T.StringType)
     if is_text and (declared_length is None or declared_length > 128):
-        return F.sha2(ref(column), 256)
-    return ref(column)
+        return f"sha2({name(column)}, 256)"
+    return name(column)
 
 
 def rows_of_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -114,10 +103,8 @@ def rows_of_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> D
     """
     keys = list(keys)
     groups = materialize(groups)
-    width = reduce(
-        lambda a, b: a + b, [F.coalesce(F.octet_length(ref(k).cast("string")), F.lit(1)) + 16 for k in keys]
-    )
-    measured = groups.agg(F.sum(width.cast("bigint")).alias("bytes")).first()
+    width = " + ".join(f"coalesce(octet_length(CAST({name(k)} AS STRING)), 1) + 16" for k in keys)
+    measured = groups.agg(F.expr(f"sum(CAST({width} AS BIGINT))").alias("bytes")).first()
     if (measured["bytes"] or 0) * 2 <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), keys)
     hot = groups.orderBy(F.desc("n"), *keys).limit(HOT_KEYS)
@@ -134,23 +121,24 @@ def repeat_rows(df: DataFrame, times: str, spread_by: Sequence[str]) -> DataFram
     A single row may have to appear billions of times, so the chunk numbers
     are shuffled before the chunks are unrolled.
     """
-    chunks = (
-        df.where(ref(times) > 0)
-        .withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (`{times}` - 1) div {COPY_CHUNK})")))
-        .repartition(shuffle_partitions(df.sparkSession), *[ref(c) for c in spread_by], F.col("_chunk"))
-    )
-    size = F.least(F.lit(COPY_CHUNK).cast("bigint"), ref(times) - F.col("_chunk") * COPY_CHUNK)
+    kept = [c for c in df.columns if c != times]
     return (
-        chunks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
-        .drop("_chunk", "_copy", times)
+        df.where(f"{name(times)} > 0")
+        .selectExpr("*", f"explode(sequence(0L, ({name(times)} - 1) div {COPY_CHUNK})) AS _chunk")
+        .repartition(shuffle_partitions(df.sparkSession), *spread_by, "_chunk")
+        .selectExpr(
+            *[name(c) for c in kept],
+            f"explode(sequence(1L, least({COPY_CHUNK}L, {name(times)} - _chunk * {COPY_CHUNK}))) AS _copy",
+        )
+        .select(*kept)
     )
 
 
-def literal_rows(spark: SparkSession, rows: Sequence[Sequence[str | None]], names: Sequence[str]) -> DataFrame:
+def literal_rows(spark: SparkSession, rows: Sequence[Sequence[str | None]], columns: Sequence[str]) -> DataFrame:
     """A few string rows known to the driver, built without Python workers."""
     if not rows:
-        return spark.range(0).select(*[F.lit(None).cast("string").alias(n) for n in names])
+        return spark.range(0).selectExpr(*[f"{text(None)} AS {name(c)}" for c in columns])
     structs = [
-        F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, row)]) for row in rows
+        "named_struct(" + ", ".join(f"{lit(c)}, {text(v)}" for c, v in zip(columns, row)) + ")" for row in rows
     ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return spark.range(1).selectExpr(f"inline(array({', '.join(structs)}))")

@@ -12,7 +12,7 @@ from decimal import Decimal
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,13 +25,11 @@ from rowsmith.functions.checks import (
     node_text,
     resolve,
 )
+from rowsmith.functions.text import any_of, lit, name, names, not_null, sql_type, text
 from rowsmith.operators.shared import (
-    any_of,
     broadcasts_by_itself,
     literal_rows,
     narrow_key,
-    not_null,
-    ref,
     repeat_rows,
     rows_of_groups,
 )
@@ -53,9 +51,9 @@ class DataValidationError(ValueError):
 # --- naming rows -------------------------------------------------------------
 
 
-def row_key(columns: Sequence[str]) -> Column:
-    """Name a row by the text of its locating columns, NULL shown as NULL."""
-    return F.concat_ws("|", *[F.coalesce(ref(c).cast("string"), F.lit("NULL")) for c in columns])
+def row_key(columns: Sequence[str]) -> str:
+    """SQL naming a row by the text of its locating columns, NULL shown as NULL."""
+    return "concat_ws('|', " + ", ".join(f"coalesce(CAST({name(c)} AS STRING), 'NULL')" for c in columns) + ")"
 
 
 def locator_of(table: Table, df: DataFrame, locators: Mapping[str, Sequence[str]] | None) -> list[str]:
@@ -64,13 +62,13 @@ def locator_of(table: Table, df: DataFrame, locators: Mapping[str, Sequence[str]
     return list(chosen) or list(df.columns)
 
 
-def _violation(kind: str, table: Table, column: str | None, message: str, key: Column) -> list[Column]:
+def _violation(kind: str, table: Table, column: str | None, message: str, key: str) -> list[str]:
     return [
-        F.lit(kind).alias("kind"),
-        F.lit(table.name).alias("table_name"),
-        F.lit(column).cast("string").alias("column_name"),
-        key.alias("row_key"),
-        F.lit(message).alias("message"),
+        f"{lit(kind)} AS kind",
+        f"{lit(table.name)} AS table_name",
+        f"{text(column)} AS column_name",
+        f"{key} AS row_key",
+        f"{lit(message)} AS message",
     ]
 
 
@@ -79,26 +77,23 @@ def _single(columns: Sequence[str]) -> str | None:
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)
 
 
 # --- row rules ---------------------------------------------------------------
 
 
 class Rule:
-    """One row rule: when it is broken, and what to report."""
-
-    def __init__(self, kind: str, column: str | None, message: str, broken: Column) -> None:
-        self.kind, self.column, self.message, self.broken = kind, column, message, broken
-
-    def report(self) -> Column:
-        return F.when(
-            self.broken,
-            F.struct(
-                F.lit(self.kind).alias("kind"),
-                F.lit(self.column).cast("string").alias("column_name"),
-                F.lit(self.message).alias("message"),
-            ),
+    """One row rule: when it is broken, and what to report. Conditions are SQL."""
+
+    def __init__(self, kind: str, column: str | None, message: str, broken: str, dynamic: bool = False) -> None:
+        self.kind, self.column, self.broken = kind, column, broken
+        self.message = message if dynamic else lit(message)
+
+    def report(self) -> str:
+        return (
+            f"CASE WHEN {self.broken} THEN named_struct('kind', {lit(self.kind)}, "
+            f"'column_name', {text(self.column)}, 'message', {self.message}) END"
         )
 
 
@@ -115,37 +110,36 @@ def matches_type(declared: SpecColumn, physical: T.DataType) -> bool:
     return isinstance(physical, expected)
 
 
-def value_rules(table: Table, column: SpecColumn, value: Column, broken_type: Column | None) -> list[Rule]:
-    """NOT NULL, type, length, precision and domain of one column.
+def value_rules(table: Table, column: SpecColumn, value: str, physical: T.DataType | None = None) -> list[Rule]:
+    """Length, precision and domain of one column whose type is right.
 
-    A value of the wrong type is reported once and not examined further.
+    NULL breaks none of them. A physical decimal that cannot hold a misfit is
+    not examined at all.
     """
     where = f"{table.name}.{column.name}"
-    fits = F.lit(True) if broken_type is None else ~broken_type
     kind = column.type
-    rules = []
     if kind.name == "VARCHAR":
-        rules.append(
-            Rule("varchar_length", column.name, f"{where} exceeds {kind}", fits & (F.char_length(value) > kind.length))
-        )
+        return [Rule("varchar_length", column.name, f"{where} exceeds {kind}", f"char_length({value}) > {kind.length}")]
     if kind.name == "DECIMAL":
         scale = kind.scale or 0
-        rules.append(
-            Rule("decimal_precision", column.name, f"{where} does not fit {kind}", fits & too_wide(value, kind.precision, scale))
-        )
+        if isinstance(physical, T.DecimalType):
+            whole = physical.precision - physical.scale
+            if physical.scale <= scale and whole <= kind.precision - scale:
+                return []
+        broken = too_wide(value, kind.precision, scale)
+        return [Rule("decimal_precision", column.name, f"{where} does not fit {kind}", broken)]
     if kind.name == "ENUM":
-        rules.append(
-            Rule("enum_value", column.name, f"{where} is outside its ENUM values", fits & ~value.isin(*kind.values))
-        )
-    return rules
+        listed = ", ".join(lit(v) for v in kind.values)
+        return [Rule("enum_value", column.name, f"{where} is outside its ENUM values", f"{value} NOT IN ({listed})")]
+    return []
 
 
-def too_wide(value: Column, precision: int, scale: int) -> Column:
+def too_wide(value: str, precision: int, scale: int) -> str:
     """More decimal places than `scale`, or more integer digits than fit."""
-    places = value != F.round(value, scale)
+    places = f"{value} <> round({value}, {scale})"
     if precision - scale >= 38:
         return places
-    return places | (F.abs(value) >= F.lit(Decimal(10) ** (precision - scale)))
+    return f"{places} OR abs({value}) >= 1{'0' * (precision - scale)}BD"
 
 
 def typed_rules(table: Table, df: DataFrame) -> list[Rule]:
@@ -153,78 +147,76 @@ def typed_rules(table: Table, df: DataFrame) -> list[Rule]:
     physical = {f.name.casefold(): f for f in df.schema.fields}
     rules: list[Rule] = []
     operands: dict[str, Operand] = {}
-    for name in df.columns:
-        if not table.has_column(name):
-            rules.append(
-                Rule("unknown_column", name, f"{table.name} has column {name!r} that is not in the spec", F.lit(True))
-            )
+    for given in df.columns:
+        if not table.has_column(given):
+            message = f"{table.name} has column {given!r} that is not in the spec"
+            rules.append(Rule("unknown_column", given, message, "TRUE"))
     for column in table.columns:
         field = physical.get(column.name.casefold())
+        typed_null = f"CAST(NULL AS {sql_type(column.type.spark_type())})"
         if field is None:
-            null = F.lit(None).cast(column.type.spark_type())
-            operands[column.name] = Operand(null, F.lit(True))
+            operands[column.name] = Operand(typed_null, "TRUE")
             if not column.nullable and column.default is None:
-                rules.append(_missing(table, column, F.lit(True)))
+                rules.append(_missing(table, column, "TRUE"))
             continue
-        value = ref(field.name)
+        value = name(field.name)
         if not column.nullable:
-            rules.append(_null(table, column, value.isNull()))
+            rules.append(_null(table, column, f"{value} IS NULL"))
         if matches_type(column, field.dataType):
-            operands[column.name] = Operand(value, value.isNull())
-            rules.extend(value_rules(table, column, value, None))
+            operands[column.name] = Operand(value, f"{value} IS NULL")
+            rules.extend(value_rules(table, column, value, field.dataType))
         else:
-            rules.append(_mistyped(table, column, value.isNotNull()))
-            typed_null = F.lit(None).cast(column.type.spark_type())
-            operands[column.name] = Operand(typed_null, value.isNull(), value.isNotNull())
+            rules.append(_mistyped(table, column, f"{value} IS NOT NULL"))
+            operands[column.name] = Operand(typed_null, f"{value} IS NULL", f"{value} IS NOT NULL")
+    if table.primary_key and all(c.casefold() in physical for c in table.primary_key):
+        rules.append(key_null_rule(table))
     return rules + check_rules(table, operands, df)
 
 
-def _missing(table: Table, column: SpecColumn, broken: Column) -> Rule:
+def _missing(table: Table, column: SpecColumn, broken: str) -> Rule:
     return Rule("missing_column", column.name, f"{table.name} lacks required column {column.name!r}", broken)
 
 
-def _null(table: Table, column: SpecColumn, broken: Column) -> Rule:
+def _null(table: Table, column: SpecColumn, broken: str) -> Rule:
     return Rule("not_null", column.name, f"{table.name}.{column.name} is NULL but NOT NULL", broken)
 
 
-def _mistyped(table: Table, column: SpecColumn, broken: Column) -> Rule:
+def _mistyped(table: Table, column: SpecColumn, broken: str) -> Rule:
     return Rule("type_mismatch", column.name, f"{table.name}.{column.name} is not {column.type}", broken)
 
 
-def supported_checks(table: Table, df: DataFrame | None = None) -> tuple[list[tuple[str | None, Node, str]], list[tuple[str | None, str, str]]]:
+Check = tuple[str | None, Node, str]
+Refusal = tuple[str | None, str, str]
+
+
+def supported_checks(table: Table, df: DataFrame | None = None) -> tuple[list[Check], list[Refusal]]:
     """Split the row checks into resolved ones and refused ones with a reason."""
     columns = {c.name.casefold(): c for c in table.columns}
     good, refused = [], []
     for column, check in table.row_checks():
-        text = node_text(check)
+        words = node_text(check)
         try:
             node = resolve(check, columns)
             if isinstance(node, SqlCheck) and df is not None:
                 kind = df.select(F.expr(node.text).alias("c")).schema["c"].dataType
                 if not isinstance(kind, T.BooleanType):
                     raise UnsupportedCheck("the expression is not a condition")
-            good.append((column, node, text))
+            good.append((column, node, words))
         except UnsupportedCheck as error:
-            refused.append((column, text, str(error)))
+            refused.append((column, words, str(error)))
         except AnalysisException as error:
-            refused.append((column, text, error.getCondition() or "the expression does not analyse"))
+            refused.append((column, words, error.getCondition() or "the expression does not analyse"))
     return good, refused
 
 
 def check_rules(table: Table, operands: Mapping[str, Operand], df: DataFrame | None) -> list[Rule]:
     rules = []
-    for column, node, text in supported_checks(table, df)[0]:
-        answer = evaluate(node, lambda name: operands[table.column(name).name])
-        rules.append(Rule("check_failed", column, f"{table.name} fails CHECK ({text})", answer.failed))
+    for column, node, words in supported_checks(table, df)[0]:
+        answer = evaluate(node, lambda c: operands[table.column(c).name])
+        rules.append(Rule("check_failed", column, f"{table.name} fails CHECK ({words})", answer.failed))
         if answer.unevaluable is not None:
-            rules.append(
-                Rule(
-                    "check_unevaluable",
-                    column,
-                    f"{table.name} cannot evaluate CHECK ({text})",
-                    F.coalesce(answer.unevaluable, F.lit(False)),
-                )
-            )
+            message = f"{table.name} cannot evaluate CHECK ({words})"
+            rules.append(Rule("check_unevaluable", column, message, answer.unevaluable))
     return rules
 
 
@@ -235,17 +227,12 @@ def apply_rules(df: DataFrame, table: Table, rules: Sequence[Rule], locator: Seq
     """
     if not rules:
         return literal_rows(df.sparkSession, [], FIELDS)
-    hits = (
-        df.where(any_of([r.broken for r in rules]))
-        .select(*[ref(c) for c in locator], F.explode(F.array(*[r.report() for r in rules])).alias("_v"))
-        .where(F.col("_v").isNotNull())
+    reports = ", ".join(r.report() for r in rules)
+    hits = df.where(any_of([r.broken for r in rules])).selectExpr(
+        f"{row_key(locator)} AS row_key", f"explode(array({reports})) AS _v"
     )
-    return hits.select(
-        F.col("_v.kind").alias("kind"),
-        F.lit(table.name).alias("table_name"),
-        F.col("_v.column_name").alias("column_name"),
-        row_key(locator).alias("row_key"),
-        F.col("_v.message").alias("message"),
+    return hits.where("_v IS NOT NULL").selectExpr(
+        "_v.kind AS kind", f"{lit(table.name)} AS table_name", "_v.column_name AS column_name", "row_key", "_v.message AS message"
     )
 
 
@@ -259,89 +246,96 @@ def row_violations(table: Table, df: DataFrame, locator: Sequence[str] | None =
 
 _RAW_FORMS = {
     "INT": r"^[+-]?[0-9]+$",
-    "DECIMAL": r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$",
+    "DECIMAL": r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$",
     "DATE": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
-    "DATETIME": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?$",
+    "DATETIME": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?$",
     "BOOLEAN": r"^(true|false)$",
 }
 
 
-def raw_typed(column: SpecColumn, text: Column) -> Column:
+def raw_typed(column: SpecColumn, source: str) -> str:
     """Read text as the declared type, NULL when it has another form.
 
     DECIMAL is read at its widest so that precision can still be judged.
     """
     form = _RAW_FORMS.get(column.type.name)
     if form is None:
-        return text
+        return source
     if column.type.name == "DECIMAL":
-        scale = min((column.type.scale or 0) + 6, 18)
-        target = f"decimal(38,{scale})"
+        target = f"DECIMAL(38, {min((column.type.scale or 0) + 6, 18)})"
     else:
-        target = {"INT": "bigint", "DATE": "date", "DATETIME": "timestamp_ntz", "BOOLEAN": "boolean"}[column.type.name]
-    return F.when(text.rlike(form), text.try_cast(target))
+        target = sql_type(column.type.spark_type())
+    return f"CASE WHEN {source} RLIKE {lit(form)} THEN try_cast({source} AS {target}) END"
 
 
-def raw_fields(raw: str) -> Column:
-    """The members of a JSON object as entries; NULL for anything else."""
-    return F.map_entries(F.from_json(ref(raw), "map<string,string>"))
+def raw_entries(raw: str) -> str:
+    """SQL of the members of a JSON object as entries; NULL for anything else."""
+    return f"map_entries(from_json({name(raw)}, 'map<string,string>'))"
 
 
 def raw_violations(table: Table, df: DataFrame, raw: str, locator: Sequence[str]) -> DataFrame:
     """All row-level violations of a table that arrives as one JSON text per row."""
-    known = [c.name.casefold() for c in table.columns]
-    parsed = df.select(*[ref(c) for c in locator], raw_fields(raw).alias("_entries"))
-    names = F.transform(F.col("_entries"), lambda e: F.lower(e["key"]))
-    parsed = parsed.withColumn("_names", names)
-    for position, column in enumerate(table.columns):
-        hit = F.array_position(F.col("_names"), column.name.casefold())
-        text = F.get(F.col("_entries"), (hit - 1).cast("int"))["value"]
-        parsed = parsed.withColumn(f"_t{position}", text)
-        parsed = parsed.withColumn(f"_v{position}", raw_typed(column, F.col(f"_t{position}")))
+    known = ", ".join(lit(c.name.casefold()) for c in table.columns)
+    # Names that differ only in case: the first one counts.
+    parsed = df.selectExpr(*[name(c) for c in locator], f"{raw_entries(raw)} AS _entries")
+    parsed = parsed.selectExpr("*", "transform(_entries, e -> lower(e.key)) AS _names")
+    parsed = parsed.selectExpr(
+        "*",
+        *[
+            f"get(_entries, CAST(array_position(_names, {lit(c.name.casefold())}) AS INT) - 1).value AS _t{i}"
+            for i, c in enumerate(table.columns)
+        ],
+    )
+    parsed = parsed.selectExpr("*", *[f"{raw_typed(c, f'_t{i}')} AS _v{i}" for i, c in enumerate(table.columns)])
 
-    mapping = F.col("_entries").isNotNull()
-    rules = [Rule("row_shape", None, f"{table.name} row is not a mapping", ~mapping)]
+    mapping = "_entries IS NOT NULL"
+    rules = [Rule("row_shape", None, f"{table.name} row is not a mapping", "_entries IS NULL")]
     operands: dict[str, Operand] = {}
     for position, column in enumerate(table.columns):
-        text, value = F.col(f"_t{position}"), F.col(f"_v{position}")
-        present = F.array_contains(F.col("_names"), column.name.casefold())
+        source, value = f"_t{position}", f"_v{position}"
+        present = f"array_contains(_names, {lit(column.name.casefold())})"
         if not column.nullable:
             if column.default is None:
-                rules.append(_missing(table, column, mapping & ~present))
-            rules.append(_null(table, column, mapping & present & text.isNull()))
-        wrong = text.isNotNull() & value.isNull()
+                rules.append(_missing(table, column, f"{mapping} AND NOT {present}"))
+            rules.append(_null(table, column, f"{mapping} AND {present} AND {source} IS NULL"))
+        wrong = f"({source} IS NOT NULL AND {value} IS NULL)"
         if column.type.name in _RAW_FORMS:
             rules.append(_mistyped(table, column, wrong))
-        rules.extend(value_rules(table, column, value, None))
-        operands[column.name] = Operand(value, text.isNull(), wrong)
+        rules.extend(value_rules(table, column, value))
+        operands[column.name] = Operand(value, f"{source} IS NULL", wrong)
     for rule in check_rules(table, operands, None):
-        rules.append(Rule(rule.kind, rule.column, rule.message, mapping & rule.broken))
+        rules.append(Rule(rule.kind, rule.column, rule.message, f"{mapping} AND ({rule.broken})", dynamic=True))
 
-    unknown = F.filter(F.col("_entries"), lambda e: ~F.lower(e["key"]).isin(*known))
     strangers = (
-        parsed.where(F.size(F.coalesce(unknown, F.array())) > 0)
-        .select(*[ref(c) for c in locator], F.explode(F.transform(unknown, lambda e: e["key"])).alias("_name"))
-        .select(
-            F.lit("unknown_column").alias("kind"),
-            F.lit(table.name).alias("table_name"),
-            F.col("_name").alias("column_name"),
-            row_key(locator).alias("row_key"),
-            F.concat(F.lit(f"{table.name} has column '"), F.col("_name"), F.lit("' that is not in the spec")).alias("message"),
+        parsed.where("_entries IS NOT NULL")
+        .selectExpr(
+            *[name(c) for c in locator],
+            f"explode(filter(transform(_entries, e -> e.key), k -> lower(k) NOT IN ({known}))) AS _name",
+        )
+        .selectExpr(
+            "'unknown_column' AS kind",
+            f"{lit(table.name)} AS table_name",
+            "_name AS column_name",
+            f"{row_key(locator)} AS row_key",
+            f"concat({lit(table.name + ' has column ')}, _name, ' that is not in the spec') AS message",
         )
     )
-    return apply_rules(parsed, table, rules, locator).unionByName(strangers)
+    return apply_rules(parsed, table, rules, locator).union(strangers)
 
 
 # --- keys --------------------------------------------------------------------
 
 
-def primary_key_null(table: Table, df: DataFrame, locator: Sequence[str]) -> DataFrame:
-    """Rows with a NULL in the primary key, listing the NULL columns."""
+def key_null_rule(table: Table) -> Rule:
+    """A NULL in the primary key; the message lists the NULL columns."""
     key = table.primary_key
-    listed = F.concat_ws(", ", *[F.when(ref(c).isNull(), F.lit(c)) for c in key])
-    message = F.concat(F.lit(f"{table.name} has NULL primary-key column(s) "), listed)
-    fields = _violation("primary_key_null", table, _single(key), "", row_key(locator))[:-1]
-    return df.where(~not_null(key)).select(*fields, message.alias("message"))
+    listed = ", ".join(f"CASE WHEN {name(c)} IS NULL THEN {lit(c)} END" for c in key)
+    message = f"concat({lit(table.name + ' has NULL primary-key column(s) ')}, concat_ws(', ', {listed}))"
+    return Rule("primary_key_null", _single(key), message, f"NOT ({not_null(key)})", dynamic=True)
+
+
+def primary_key_null(table: Table, df: DataFrame, locator: Sequence[str] | None = None) -> DataFrame:
+    return apply_rules(df, table, [key_null_rule(table)], locator or table.primary_key)
 
 
 def repeated(
@@ -353,36 +347,30 @@ def repeated(
     """
     key, locator = list(key), list(locator)
     rows = df.where(not_null(key))
+    report = _violation(kind, table, _single(key), message, row_key(locator))
+    count = F.count(F.lit(1)).alias("n")
     if set(locator) <= set(key):
         # The key itself names the row, so counting is enough: no row moves twice.
-        counted = rows.groupBy(*[ref(c) for c in key]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        named = counted.select(*_violation(kind, table, _single(key), message, row_key(locator)), (F.col("n") - 1).alias("_times"))
-        return repeat_rows(named, "_times", ["row_key"])
+        counted = rows.groupBy(*[name(c) for c in key]).agg(count).where("n > 1")
+        return repeat_rows(counted.selectExpr(*report, "n - 1 AS _times"), "_times", ["row_key"])
 
     lengths = {c: table.column(c).type.length if table.has_column(c) else None for c in key}
-    keyed = rows.select(
-        *[narrow_key(df, c, lengths[c]).alias(f"_k{i}") for i, c in enumerate(key)],
-        *[ref(c) for c in locator],
+    keyed = rows.selectExpr(
+        *[f"{narrow_key(df, c, lengths[c])} AS _k{i}" for i, c in enumerate(key)], *[name(c) for c in locator]
     )
-    names = [f"_k{i}" for i in range(len(key))]
-    place = ref(locator[0]) if len(locator) == 1 else F.struct(*[ref(c) for c in locator])
-    groups = (
-        keyed.groupBy(*names)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_first"))
-        .where("n > 1")
-    )
-    members = rows_of_groups(keyed, groups, names)
-    report = _violation(kind, table, _single(key), message, row_key(locator))
-    later = members.where(~place.eqNullSafe(F.col("_first"))).select(*report)
+    shared = [f"_k{i}" for i in range(len(key))]
+    place = name(locator[0]) if len(locator) == 1 else f"struct({names(locator)})"
+    groups = keyed.groupBy(*shared).agg(count, F.expr(f"min({place})").alias("_first")).where("n > 1")
+    members = rows_of_groups(keyed, groups, shared)
+    later = members.where(f"NOT ({place} <=> _first)").selectExpr(*report)
     # Rows that cannot be told apart from the first: all but one of them repeat it.
     tied = (
-        members.where(place.eqNullSafe(F.col("_first")))
-        .groupBy(*names, *[ref(c) for c in locator])
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select(*report, (F.col("n") - 1).alias("_times"))
+        members.where(f"{place} <=> _first")
+        .groupBy(*shared, *[name(c) for c in locator])
+        .agg(F.count(F.lit(1)).alias("_same"))
+        .where("_same > 1")
     )
-    return later.unionByName(repeat_rows(tied, "_times", ["row_key"]))
+    return later.union(repeat_rows(tied.selectExpr(*report, "_same - 1 AS _times"), "_times", ["row_key"]))
 
 
 def primary_key_duplicate(table: Table, df: DataFrame, locator: Sequence[str] | None = None) -> DataFrame:
@@ -401,7 +389,6 @@ def key_violations(table: Table, df: DataFrame, locator: Sequence[str]) -> list[
     parts = []
     present = {c.casefold() for c in df.columns}
     if table.primary_key and all(c.casefold() in present for c in table.primary_key):
-        parts.append(primary_key_null(table, df, locator))
         parts.append(primary_key_duplicate(table, df, locator))
     for group in table.unique:
         if all(c.casefold() in present for c in group):
@@ -427,31 +414,26 @@ def foreign_key_missing(
     report = _violation("foreign_key_missing", table, _single(fields), message, row_key(where))
     rows = child.where(not_null(fields))
     if not all(_same_family(child.schema[c], parent.schema[p]) for c, p in zip(fields, targets)):
-        return rows.select(*report)
+        return rows.selectExpr(*report)
 
-    names = [f"_f{i}" for i in range(len(fields))]
-    keyed = rows.select(*[ref(c).alias(n) for c, n in zip(fields, names)], *[ref(c) for c in where])
-    parents = parent.select(*[ref(p).cast(child.schema[c].dataType).alias(n) for c, p, n in zip(fields, targets, names)]) if _castable(
-        child, parent, fields, targets
-    ) else parent.select(*[ref(p).alias(n) for p, n in zip(targets, names)])
+    shared = [f"_f{i}" for i in range(len(fields))]
+    keyed = rows.selectExpr(*[f"{name(c)} AS {s}" for c, s in zip(fields, shared)], *[name(c) for c in where])
+    parents = parent.selectExpr(*[f"{_as_child(child, parent, c, p)} AS {s}" for c, p, s in zip(fields, targets, shared)])
     if set(targets) != set(parent_table.primary_key) and tuple(targets) not in parent_table.unique:
         parents = parents.distinct()
     if broadcasts_by_itself(parents):
-        return keyed.join(parents, names, "left_anti").select(*report)
-    missing = (
-        keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).join(parents, names, "left_anti")
-    )
-    return rows_of_groups(keyed, missing, names).select(*report)
+        return keyed.join(parents, shared, "left_anti").selectExpr(*report)
+    wanted = keyed.groupBy(*shared).agg(F.count(F.lit(1)).alias("n"))
+    missing = wanted.join(parents, shared, "left_anti")
+    return rows_of_groups(keyed, missing, shared).selectExpr(*report)
 
 
-def _castable(child: DataFrame, parent: DataFrame, fields: Sequence[str], targets: Sequence[str]) -> bool:
-    """Whether every parent value fits the child type, so one join type is safe."""
+def _as_child(child: DataFrame, parent: DataFrame, field: str, target: str) -> str:
+    """A parent column in the child's type where every parent value fits it."""
     widths = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8}
-    for c, p in zip(fields, targets):
-        a, b = child.schema[c].dataType, parent.schema[p].dataType
-        if a != b and widths.get(type(a), 0) < widths.get(type(b), 9):
-            return False
-    return True
+    a, b = child.schema[field].dataType, parent.schema[target].dataType
+    fits = type(a) in widths and type(b) in widths and widths[type(a)] >= widths[type(b)]
+    return f"CAST({name(target)} AS {sql_type(a)})" if fits and a != b else name(target)
 
 
 def _same_family(a: T.StructField, b: T.StructField) -> bool:
@@ -468,35 +450,31 @@ def _same_family(a: T.StructField, b: T.StructField) -> bool:
 # --- whole dataset -----------------------------------------------------------
 
 
-def table_presence(spark: SparkSession, spec: DatasetSpec, names: DataFrame) -> DataFrame:
-    """Unknown and missing tables. `names` lists the dataset's tables in `table_name`."""
+def table_presence(spark: SparkSession, spec: DatasetSpec, given: DataFrame) -> DataFrame:
+    """Unknown and missing tables. `given` lists the dataset's tables in `table_name`."""
     declared = literal_rows(spark, [(t.name,) for t in spec.tables], ["table_name"])
-    given = names.select(F.col("table_name"), F.lower("table_name").alias("_k"))
-    wanted = declared.select(F.col("table_name"), F.lower("table_name").alias("_k"))
-
-    def report(df: DataFrame, kind: str, text: str) -> DataFrame:
-        return df.select(
-            F.lit(kind).alias("kind"),
-            F.col("table_name"),
-            F.lit(None).cast("string").alias("column_name"),
-            F.lit(None).cast("string").alias("row_key"),
-            F.concat(F.lit("Table "), F.col("table_name"), F.lit(text)).alias("message"),
+    found = given.selectExpr("table_name", "lower(table_name) AS _k")
+    wanted = declared.selectExpr("table_name", "lower(table_name) AS _k")
+
+    def report(df: DataFrame, kind: str, ending: str) -> DataFrame:
+        return df.selectExpr(
+            f"{lit(kind)} AS kind",
+            "table_name",
+            f"{text(None)} AS column_name",
+            f"{text(None)} AS row_key",
+            f"concat('Table ', table_name, {lit(ending)}) AS message",
         )
 
-    unknown = given.join(wanted, "_k", "left_anti")
-    missing = wanted.join(given, "_k", "left_anti")
-    return report(unknown, "unknown_table", " is not part of the spec").unionByName(
-        report(missing, "missing_table", " is not in the dataset")
-    )
+    unknown = report(found.join(wanted, "_k", "left_anti"), "unknown_table", " is not part of the spec")
+    return unknown.union(report(wanted.join(found, "_k", "left_anti"), "missing_table", " is not in the dataset"))
 
 
-def unsupported_checks(spark: SparkSession, table: Table, df: DataFrame | None = None) -> DataFrame:
-    """One violation per check that cannot be evaluated; it names no row."""
-    rows = [
-        ("unsupported_check", table.name, column, None, f"{table.name} CHECK ({text}) was not validated: {reason}")
-        for column, text, reason in supported_checks(table, df)[1]
+def unsupported_notes(table: Table, df: DataFrame | None = None) -> list[tuple[str | None, ...]]:
+    """One note per check that cannot be evaluated; it names no row."""
+    return [
+        ("unsupported_check", table.name, column, None, f"{table.name} CHECK ({words}) was not validated: {reason}")
+        for column, words, reason in supported_checks(table, df)[1]
     ]
-    return literal_rows(spark, rows, FIELDS)
 
 
 def _lookup(data: Mapping[str, DataFrame], name: str) -> DataFrame | None:
@@ -527,10 +505,7 @@ def validate(
             notes.append(("missing_table", table.name, None, None, f"Table {table.name} is not in the dataset"))
             continue
         locator = locator_of(table, df, locators)
-        for column, text, reason in supported_checks(table, df)[1]:
-            notes.append(
-                ("unsupported_check", table.name, column, None, f"{table.name} CHECK ({text}) was not validated: {reason}")
-            )
+        notes.extend(unsupported_notes(table, df))
         parts.append(apply_rules(df, table, typed_rules(table, df), locator))
         parts.extend(key_violations(table, df, locator))
         for fk in table.foreign_keys:
@@ -579,17 +554,18 @@ def assert_valid(
         raise DataValidationError(f"{violations.count()} constraint violations: {head}{more}", violations)
 
 
-def unique_capacity(df: DataFrame, name: str, group: Sequence[str]) -> DataFrame:
+def unique_capacity(df: DataFrame, table_name: str, group: Sequence[str]) -> DataFrame:
     """Whether the values seen in each member could give every row its own tuple.
 
     Values are counted per member first, so a frequent value crosses the
     shuffle once per task.
     """
-    members = F.array(*[F.struct(F.lit(c).alias("member"), ref(c).cast("string").alias("value")) for c in group])
-    values = df.select(F.explode(members).alias("_m")).groupBy("_m.member", "_m.value").agg(F.count(F.lit(1)).alias("n"))
+    members = ", ".join(f"named_struct('member', {lit(c)}, 'value', CAST({name(c)} AS STRING))" for c in group)
+    values = df.selectExpr(f"inline(array({members}))").groupBy("member", "value").agg(F.count(F.lit(1)).alias("n"))
     sizes = values.groupBy("member").agg(F.count("value").alias("size"), F.sum("n").alias("n_rows"))
+    title = f"{table_name}({', '.join(group)})"
     return sizes.agg(
-        F.lit(f"{name}({', '.join(group)})").alias("unique_group"),
-        F.aggregate(F.collect_list("size"), F.lit(1).cast("bigint"), lambda a, s: a * s).alias("capacity"),
+        F.lit(title).alias("unique_group"),
+        F.expr("aggregate(collect_list(size), 1L, (a, s) -> a * s)").alias("capacity"),
         F.max("n_rows").alias("n_rows"),
-    ).withColumn("fits", F.col("capacity") >= F.col("n_rows"))
+    ).selectExpr("*", "capacity >= n_rows AS fits")

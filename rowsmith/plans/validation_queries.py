@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +23,8 @@ from rowsmith.functions.checks import (
     or_,
     resolve,
 )
+from rowsmith.functions.text import any_of, lit, name
 from rowsmith.operators import validate as v
-from rowsmith.operators.shared import ref
 from rowsmith.plans import tpch
 from rowsmith.plans.registry import query, sql_key, sql_repeats, sql_violation
 from rowsmith.plans.tpch import SPEC, load
@@ -54,7 +53,7 @@ def of_kind(spark: SparkSession, sf_dir: str, name: str, kind: str) -> DataFrame
 def failing(df: DataFrame, table: Table, check: Node, key: str) -> DataFrame:
     """The answer of a rule per row: 1 true, 0 false, NULL unknown."""
     node = resolve(check, {c.name.casefold(): c for c in table.columns})
-    return df.select(ref(key), evaluate(node).holds.cast("int").alias("answer"))
+    return df.selectExpr(key, f"CAST({evaluate(node).holds} AS INT) AS answer")
 
 
 @query(
@@ -253,30 +252,26 @@ def bounds_profile(table: Table, df: DataFrame, columns: list[str]) -> DataFrame
     Values are counted first, so the distinct count costs one shuffle and a
     frequent value crosses it once per task.
     """
-    stacked = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column_name"), ref(c).cast("decimal(20,4)").alias("value")) for c in columns])
-        ).alias("_c")
-    ).select("_c.column_name", "_c.value")
-    outside = F.lit(False)
-    for name in columns:
-        bounds = column_bounds(table, name)
-        beyond = F.lit(False)
+    members = ", ".join(
+        f"named_struct('column_name', {lit(c)}, 'value', CAST({name(c)} AS DECIMAL(20, 4)))" for c in columns
+    )
+    outside = []
+    for column in columns:
+        bounds = column_bounds(table, column)
+        beyond = []
         if bounds.minimum is not None:
-            low = F.lit(bounds.minimum)
-            beyond = beyond | (F.col("value") <= low if bounds.minimum_exclusive else F.col("value") < low)
+            beyond.append(f"value {'<=' if bounds.minimum_exclusive else '<'} {lit(bounds.minimum)}")
         if bounds.maximum is not None:
-            high = F.lit(bounds.maximum)
-            beyond = beyond | (F.col("value") >= high if bounds.maximum_exclusive else F.col("value") > high)
+            beyond.append(f"value {'>=' if bounds.maximum_exclusive else '>'} {lit(bounds.maximum)}")
         if bounds.allowed is not None:
-            beyond = beyond | ~F.col("value").isin(*[F.lit(a) for a in bounds.allowed])
-        outside = outside | ((F.col("column_name") == name) & beyond)
-    counted = stacked.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+            beyond.append(f"value NOT IN ({', '.join(lit(a) for a in bounds.allowed)})")
+        outside.append(f"column_name = {lit(column)} AND ({any_of(beyond)})")
+    counted = df.selectExpr(f"inline(array({members}))").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("column_name").agg(
         F.min("value").alias("low"),
         F.max("value").alias("high"),
         F.count("value").alias("distinct_values"),
-        F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outside"),
+        F.expr(f"coalesce(sum(n) FILTER (WHERE {any_of(outside)}), 0L)").alias("outside"),
     )
 
 
