@@ -17,14 +17,13 @@ from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from itertools import combinations
 from math import prod
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from rowsmith.functions import vocab
-from rowsmith.functions.checks import ORDERING, column_bounds, column_pairs, literal
+from rowsmith.functions.checks import ORDERING, column_bounds, column_pairs
 from rowsmith.functions.draw import LONG_LIMIT, Draws, digits36, permute, suffix36
 from rowsmith.operators.numbering import dense_index
-from rowsmith.operators.shared import not_null, ref
+from rowsmith.functions.text import array, lit, name, not_null, sql_type
 from rowsmith.operators.validate import DataValidationError, assert_valid, supported_checks
 from rowsmith.spec import CURRENT_TIMESTAMP, DatasetSpec, ForeignKey, SpecError, Table, default_value
 from rowsmith.spec import Column as SpecColumn
@@ -112,9 +111,9 @@ class Plan:
         return None
 
 
-def _known(lookup: Callable, name: str):
+def _known(lookup: Callable, wanted: str):
     try:
-        return lookup(name)
+        return lookup(wanted)
     except SpecError as error:
         raise GenerationError(f"the plan names something unknown: {error}") from None
 
@@ -175,17 +174,17 @@ def to_tick(value: object, column: SpecColumn, rounding: str = ROUND_FLOOR) -> i
     return int((moment - EPOCH).total_seconds())
 
 
-def from_tick(tick: Column, column: SpecColumn) -> Column:
+def from_tick(tick: str, column: SpecColumn) -> str:
+    """SQL of the value that a tick stands for."""
     kind = column.type.name
     if kind == "INT":
-        return tick.cast("bigint")
+        return tick
     if kind == "DECIMAL":
-        scale = column.type.scale or 0
-        exact = tick.cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-scale))
-        return exact.cast(column.type.spark_type())
+        unit = f"{Decimal(1).scaleb(-(column.type.scale or 0)):f}BD"
+        return f"CAST(CAST({tick} AS DECIMAL(19, 0)) * {unit} AS {sql_type(column.type.spark_type())})"
     if kind == "DATE":
-        return F.date_from_unix_date(tick.cast("int"))
-    return literal(EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), tick.cast("decimal(18,6)"))
+        return f"date_from_unix_date(CAST({tick} AS INT))"
+    return f"{lit(EPOCH)} + make_dt_interval(0, 0, 0, CAST({tick} AS DECIMAL(18, 6)))"
 
 
 def _window(column: SpecColumn) -> tuple[object, object]:
@@ -358,7 +357,8 @@ def narrowed_ranges(table: Table, order: ColumnOrder, ranges: dict[str, Range])
 
 # --- column expressions ------------------------------------------------------
 
-Expression = Callable[[Column], Column]
+# SQL of a value, given the SQL of a row id.
+Expression = Callable[[str], str]
 
 
 @dataclass
@@ -452,27 +452,24 @@ class Generator:
                 self._build_plain(built)
                 self._build_ordered(built)
         self._build_foreign_keys()
-        return {name: self.frame(name) for name in self.tables}
+        return {t: self.frame(t) for t in self.tables}
 
-    def frame(self, name: str, keep_row_id: bool = False) -> DataFrame:
+    def frame(self, table_name: str, keep_row_id: bool = False) -> DataFrame:
         """The finished table in declared column order."""
-        built = self.tables[name]
+        built = self.tables[table_name]
         if built.given is not None:
             return built.given
-        row = F.col(ROW)
-        base = built.base if built.base is not None else self.spark.range(built.rows).select(F.col("id").alias(ROW))
-        values = [expression(row).alias(c) for c, expression in built.closed.items()]
-        indexes = [index(row).alias(f"_k{i}") for i, (index, _, _) in enumerate(built.joins)]
-        df = base.select(row, *values, *indexes)
+        base = built.base if built.base is not None else self.spark.range(built.rows).selectExpr(f"id AS {ROW}")
+        indexes = [f"{index(ROW)} AS _k{i}" for i, (index, _, _) in enumerate(built.joins)]
+        df = base.selectExpr(ROW, *indexes)
         for i, (_, parents, columns) in enumerate(built.joins):
-            picked = parents.select(F.col("_index").alias(f"_k{i}"), *[ref(c) for c in columns])
-            df = df.join(picked, f"_k{i}", "left")
-        present = set(built.closed) | built.joined
+            df = df.join(parents.selectExpr(f"_index AS _k{i}", *[name(c) for c in columns]), f"_k{i}", "left")
+        values = {c: name(c) for c in built.joined} | {c: f(ROW) for c, f in built.closed.items()}
         columns = [
-            (ref(c.name) if c.name in present else F.lit(None)).cast(c.type.spark_type()).alias(c.name)
+            f"CAST({values.get(c.name, 'NULL')} AS {sql_type(c.type.spark_type())}) AS {name(c.name)}"
             for c in built.table.columns
         ]
-        return df.select(*([row] if keep_row_id else []), *columns)
+        return df.selectExpr(*([ROW] if keep_row_id else []), *columns)
 
     def _key_order(self) -> list[Table]:
         """Tables whose keys borrow from others come after them."""
@@ -505,8 +502,8 @@ class Generator:
         sources = [fk for fk in table.foreign_keys if set(fk.columns) <= set(key)]
         if not sources:
             built.closed[key[0]] = self.distinct_value(table, table.column(key[0]), built.rows)
-            for name in key[1:]:
-                built.closed[name] = self.value(table, table.column(name), built.rows)
+            for part in key[1:]:
+                built.closed[part] = self.value(table, table.column(part), built.rows)
             return
         borrowed = {c for fk in sources for c in fk.columns}
         local = [table.column(c) for c in key if c not in borrowed]
@@ -526,12 +523,12 @@ class Generator:
             capacity = min(capacity, LONG_LIMIT)
             deal = self.spread(table, "deal", built.rows, built.rows)
             shuffle = self.spread(table, "parent", capacity, min(capacity, built.rows))
-            combination = lambda row: shuffle(F.pmod(deal(row), F.lit(capacity)))
+            combination = lambda row: shuffle(f"pmod({deal(row)}, {lit(capacity)})")
             ordinal = lambda row: _div(deal(row), capacity)
             self._build_discriminators(table, local, ordinal, -(-built.rows // capacity))
         step = 1
         for fk, parent in zip(sources, parents):
-            index = lambda row, step=step, size=parent.size: F.pmod(_div(combination(row), step), F.lit(size))
+            index = self._digit(combination, step, parent.size)
             self._take(built, fk, parent, index)
             step *= parent.size
 
@@ -546,7 +543,7 @@ class Generator:
                 raise GenerationError(
                     f"{table.name}.{column.name} cannot number {most} rows of one parent within {start}..{allowed.high}"
                 )
-            closed[column.name] = lambda row: ordinal(row) + F.lit(start).cast("bigint")
+            closed[column.name] = lambda row: f"{ordinal(row)} + {lit(start)}"
             return
         sizes = [self._finite_size(table, c, most) for c in columns]
         if prod(sizes) < most:
@@ -554,10 +551,14 @@ class Generator:
             raise GenerationError(f"could not build distinct key columns ({names}) for {table.name}")
         step = 1
         for column, size in zip(columns, sizes):
-            part = lambda row, step=step, size=size: F.pmod(_div(ordinal(row), step), F.lit(size))
-            closed[column.name] = self.nth_value(table, column, part, size)
+            closed[column.name] = self.nth_value(table, column, self._digit(ordinal, step, size), size)
             step *= size
 
+    @staticmethod
+    def _digit(number: Expression, step: int, base: int) -> Expression:
+        """One digit of a number in mixed radix."""
+        return lambda row: f"pmod({_div(number(row), step)}, {lit(base)})"
+
     def _key_range(self, table: Table, column: SpecColumn) -> Range:
         """An integer key is not held to the default window, only to declared bounds."""
         return column_range(table, column, self.column_plan(table, column), window=(1, LONG_LIMIT - 1))
@@ -588,7 +589,7 @@ class Generator:
             span = column_range(table, column, plan)
             if span.allowed is not None:
                 return lambda row: from_tick(_pick(span.allowed, number(row)), column)
-            return lambda row: from_tick(number(row) + F.lit(span.low).cast("bigint"), column)
+            return lambda row: from_tick(f"({number(row)} + {lit(span.low)})", column)
         listed = allowed_values(table, column, plan)
         if listed is None and kind == "ENUM":
             listed = list(column.type.values)
@@ -608,7 +609,7 @@ class Generator:
             raise GenerationError(
                 f"{table.name}.{column.name} cannot allocate {rows} sequential keys within {start}..{allowed.high}"
             )
-        return lambda row: row.cast("bigint") + F.lit(start).cast("bigint")
+        return lambda row: f"CAST({row} AS BIGINT) + {lit(start)}"
 
     def unique_value(self, table: Table, column: SpecColumn, rows: int) -> Expression:
         size = self._finite_size(table, column, rows)
@@ -624,16 +625,14 @@ class Generator:
         if length is not None and length < width:
             raise GenerationError(f"could not produce {count} unique values for {table.name}.{column.name}")
         token = self.token(table, column)
-        text = self.text(table, column)
+        words = self.text(table, column)
 
-        def built(row: Column) -> Column:
+        def built(row: str) -> str:
             suffix = suffix36(number(row), width)
-            base = text(row)
-            if token == "sequence":
-                return base
+            base = words(row)
             if token == "email" and (length is None or length >= width + 40):
-                return F.concat(F.substring_index(base, "@", 1), suffix, F.lit("@"), F.substring_index(base, "@", -1))
-            return F.concat(base if length is None else F.substring(base, 1, length - width), suffix)
+                return f"concat(substring_index({base}, '@', 1), {suffix}, '@', substring_index({base}, '@', -1))"
+            return f"concat({base if length is None else f'substring({base}, 1, {length - width})'}, {suffix})"
 
         return built
 
@@ -660,24 +659,25 @@ class Generator:
         if span.allowed is not None:
             if floor is None:
                 if sequential:
-                    return lambda row: _pick(span.allowed, F.least(row.cast("bigint"), F.lit(len(span.allowed) - 1)))
+                    return lambda row: _pick(span.allowed, f"least({row}, {lit(len(span.allowed) - 1)})")
                 return lambda row: _pick(span.allowed, draws.below(len(span.allowed), row))
-            listed = F.array(*[F.lit(t).cast("bigint") for t in span.allowed if span.low <= t <= span.high])
+            listed = array([t for t in span.allowed if span.low <= t <= span.high])
 
-            def among(row: Column) -> Column:
-                kept = F.filter(listed, lambda t: t >= floor(row))
-                last = F.size(kept) - 1
-                place = F.least(row.cast("bigint"), last) if sequential else draws.below(F.greatest(F.size(kept), F.lit(1)), row)
-                return F.get(kept, place.cast("int"))
+            def among(row: str) -> str:
+                kept = f"filter({listed}, t -> t >= {floor(row)})"
+                if sequential:
+                    place = f"least({row}, CAST(size({kept}) - 1 AS BIGINT))"
+                else:
+                    place = draws.below(f"greatest(size({kept}), 1)", row)
+                return f"get({kept}, CAST({place} AS INT))"
 
             return among
-        low = (lambda row: F.lit(span.low).cast("bigint")) if floor is None else floor
-        high = F.lit(span.high).cast("bigint")
+        low = (lambda row: lit(span.low)) if floor is None else floor
         if sequential:
-            return lambda row: F.least(low(row) + row.cast("bigint"), high)
+            return lambda row: f"least({low(row)} + {row}, {lit(span.high)})"
         if floor is None:
-            return lambda row: low(row) + draws.below(span.high - span.low + 1, row)
-        return lambda row: low(row) + draws.below(high - low(row) + 1, row)
+            return lambda row: f"({lit(span.low)} + {draws.below(span.high - span.low + 1, row)})"
+        return lambda row: f"({low(row)} + {draws.below(f'({lit(span.high)} - {low(row)} + 1)', row)})"
 
     def value(self, table: Table, column: SpecColumn, rows: int) -> Expression:
         """An ordinary, never NULL value of a column."""
@@ -693,11 +693,11 @@ class Generator:
         if listed is not None:
             return lambda row: _pick(listed, draws.below(len(listed), row))
         if kind == "BOOLEAN":
-            return lambda row: draws.below(2, row) == 0
-        text = self.text(table, column)
+            return lambda row: f"({draws.below(2, row)} = 0)"
+        words = self.text(table, column)
         if column.type.length is None:
-            return text
-        return lambda row: F.substring(text(row), 1, column.type.length)
+            return words
+        return lambda row: f"substring({words(row)}, 1, {column.type.length})"
 
     def with_nulls(self, table: Table, column: SpecColumn, value: Expression) -> Expression:
         """NULL at the planned rate, decided before and apart from the value."""
@@ -706,15 +706,15 @@ class Generator:
             return value
         draws = self.draws(table, column)
         self.tables[table.name].holes.add(column.name)
-        return lambda row: F.when(~draws.chance(plan.nullable_probability, row, "null"), value(row))
+        return lambda row: f"CASE WHEN NOT ({draws.chance(plan.nullable_probability, row, 'null')}) THEN {value(row)} END"
 
     def with_default(self, table: Table, column: SpecColumn, value: Expression) -> Expression:
         default = default_value(column)
         if default is None or default == CURRENT_TIMESTAMP:
             return value
         draws = self.draws(table, column)
-        typed = literal(default).cast(column.type.spark_type())
-        return lambda row: F.when(draws.below(DEFAULT_SHARE, row, "default") == 0, typed).otherwise(value(row))
+        typed = f"CAST({lit(default)} AS {sql_type(column.type.spark_type())})"
+        return lambda row: f"CASE WHEN {draws.below(DEFAULT_SHARE, row, 'default')} = 0 THEN {typed} ELSE {value(row)} END"
 
     def column_expression(self, table: Table, column: SpecColumn, rows: int, unique: bool) -> Expression:
         if unique:
@@ -753,7 +753,7 @@ class Generator:
                 number = self.spread(table, "|".join(group), prod(sizes.values()), built.rows)
                 step = 1
                 for column in free:
-                    part = lambda row, step=step, size=sizes[column.name]: F.pmod(_div(number(row), step), F.lit(size))
+                    part = self._digit(number, step, sizes[column.name])
                     built.closed[column.name] = self.nth_value(table, column, part, sizes[column.name])
                     step *= sizes[column.name]
         return unique
@@ -766,18 +766,18 @@ class Generator:
         ranges = {c: column_range(table, table.column(c), self.column_plan(table, table.column(c))) for c in order.columns}
         ranges = narrowed_ranges(table, order, ranges)
         ticks: dict[str, Expression] = {}
-        for name in order.columns:
-            column, span = table.column(name), ranges[name]
-            lower = [(ticks[other], strict) for other, strict in order.below(name)]
+        for part in order.columns:
+            column, span = table.column(part), ranges[part]
+            lower = [(ticks[other], strict) for other, strict in order.below(part)]
 
-            def floor(row: Column, span: Range = span, lower: list = lower) -> Column:
+            def floor(row: str, span: Range = span, lower: list = lower) -> str:
                 # greatest() skips NULLs, so a NULL neighbour does not bind.
-                marks = [tick(row) + int(strict) for tick, strict in lower]
-                return F.greatest(F.lit(span.low).cast("bigint"), *marks)
+                marks = [f"{tick(row)} + {int(strict)}" for tick, strict in lower]
+                return f"greatest({lit(span.low)}, {', '.join(marks)})"
 
             drawn = self.tick(table, column, span, floor if lower else None)
-            ticks[name] = self.with_nulls(table, column, drawn)
-            built.closed[name] = lambda row, tick=ticks[name], column=column: from_tick(tick(row), column)
+            ticks[part] = self.with_nulls(table, column, drawn)
+            built.closed[part] = lambda row, tick=ticks[part], column=column: from_tick(tick(row), column)
 
     # -- foreign keys
 
@@ -789,27 +789,26 @@ class Generator:
             whole = not set(columns) & parent.holes
             if whole and all(c in parent.closed for c in columns):
                 return Parents(parent.rows, columns, closed=[parent.closed[c] for c in columns])
-            frame = self.frame(fk.parent, keep_row_id=True).select(ROW, *[ref(c) for c in columns])
+            frame = self.frame(fk.parent, keep_row_id=True).selectExpr(ROW, *[name(c) for c in columns])
             if whole:
                 return Parents(parent.rows, columns, frame=frame.withColumnRenamed(ROW, "_index"))
             usable, spread = frame.where(not_null(columns)), [ROW]
         else:
             key = [c for c in parent.table.primary_key if c not in columns]
-            usable = parent.given.select(*[ref(c) for c in columns], *[ref(c) for c in key]).where(not_null(columns))
+            usable = parent.given.selectExpr(*[name(c) for c in (*columns, *key)]).where(not_null(columns))
             spread = key
         size = usable.count()
         indexed = dense_index(usable, columns, "_index", max(size, 1), spread)
-        return Parents(size, columns, frame=indexed.select("_index", *[ref(c) for c in columns]))
+        return Parents(size, columns, frame=indexed.selectExpr("_index", *[name(c) for c in columns]))
 
     def _take(self, built: Built, fk: ForeignKey, parents: Parents, index: Expression) -> None:
         """Set the foreign key columns to the parent tuple with the given index."""
         if parents.closed is not None:
-            for name, expression in zip(fk.columns, parents.closed):
-                built.closed[name] = lambda row, expression=expression: expression(index(row))
+            for column, expression in zip(fk.columns, parents.closed):
+                built.closed[column] = lambda row, expression=expression: expression(f"({index(row)})")
             return
-        renamed = parents.frame.select(
-            "_index", *[ref(p).alias(c) for p, c in zip(parents.columns, fk.columns)]
-        )
+        pairs = [f"{name(p)} AS {name(c)}" for p, c in zip(parents.columns, fk.columns)]
+        renamed = parents.frame.selectExpr("_index", *pairs)
         built.joins.append((index, renamed, list(fk.columns)))
         built.joined.update(fk.columns)
 
@@ -823,27 +822,26 @@ class Generator:
             if not built.has(fk.columns)
         ]
         while pending:
-            ready = [(b, fk) for b, fk in pending if self.tables[fk.parent].has(fk.parent_columns)]
+            ready = [item for item in pending if self.tables[item[1].parent].has(item[1].parent_columns)]
+            for built, fk in ready:
+                self._assign(built, fk)
             if not ready:
                 ready = [self._breakable(pending)]
                 self._all_null(*ready[0])
-            else:
-                for built, fk in ready:
-                    self._assign(built, fk)
-            pending = [item for item in pending if not any(item is done for done in ready)]
+            done = {id(item) for item in ready}
+            pending = [item for item in pending if id(item) not in done]
 
     def _breakable(self, pending: list[tuple[Built, ForeignKey]]) -> tuple[Built, ForeignKey]:
-        for built, fk in pending:
-            if all(built.table.column(c).nullable for c in fk.columns):
-                return next(item for item in pending if item[0] is built and item[1] is fk)
+        for item in pending:
+            if all(item[0].table.column(c).nullable for c in item[1].columns):
+                return item
         edges = ", ".join(f"{built.table.name}{fk}" for built, fk in pending)
         raise GenerationError(f"cannot assign foreign keys: {edges} form a cycle of NOT NULL references")
 
     def _all_null(self, built: Built, fk: ForeignKey) -> None:
-        for name in fk.columns:
-            kind = built.table.column(name).type.spark_type()
-            built.closed[name] = lambda row, kind=kind: F.lit(None).cast(kind)
-            built.holes.add(name)
+        for column in fk.columns:
+            built.closed[column] = lambda row: "NULL"
+            built.holes.add(column)
 
     def _assign(self, built: Built, fk: ForeignKey) -> None:
         table = built.table
@@ -871,7 +869,7 @@ class Generator:
         if nullable and probability:
             chance = Draws(self.seed, table.name, label, self.hash_method)
             always = index
-            index = lambda row: F.when(~chance.chance(probability, row, "null"), always(row))
+            index = lambda row: f"CASE WHEN NOT ({chance.chance(probability, row, 'null')}) THEN {always(row)} END"
             built.holes.update(fk.columns)
             if parents.closed is not None:
                 # A NULL index must give NULL columns even where a parent is a constant.
@@ -879,26 +877,19 @@ class Generator:
                 parents = Parents(
                     parents.size,
                     parents.columns,
-                    closed=[lambda k, e=e: F.when(k.isNotNull(), e(k)) for e in inner],
+                    closed=[lambda k, e=e: f"CASE WHEN {k} IS NOT NULL THEN {e(k)} END" for e in inner],
                 )
         self._take(built, fk, parents, index)
 
 
-def _div(number: Column, by: int) -> Column:
-    """Whole-number division of numbers that are not negative, in 64-bit integers."""
-    if by == 1:
-        return number
-    divisor = F.lit(by).cast("bigint")
-    return F.call_function("div", number, divisor)
+def _div(number: str, by: int) -> str:
+    """Whole-number division that stays in 64-bit integers."""
+    return number if by == 1 else f"({number} div {lit(by)})"
 
 
-def _pick(values: Sequence, position: Column) -> Column:
+def _pick(values: Sequence, position: str) -> str:
     """The listed value at a zero-based position."""
-    if values and isinstance(values[0], int) and not isinstance(values[0], bool):
-        listed = [F.lit(v).cast("bigint") for v in values]
-    else:
-        listed = [literal(v) for v in values]
-    return F.element_at(F.array(*listed), (position + 1).cast("int"))
+    return f"element_at({array(values)}, CAST({position} + 1 AS INT))"
 
 
 # --- before any row ----------------------------------------------------------

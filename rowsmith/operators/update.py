@@ -11,8 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.operators.shared import any_of, ref
-from rowsmith.operators.validate import FIELDS, assert_valid, literal_rows, raw_fields, row_key
+from rowsmith.functions.text import any_of, array, lit, name, text
+from rowsmith.operators.shared import ref
+from rowsmith.operators.validate import assert_valid, raw_entries, row_key
 from rowsmith.spec import DatasetSpec, Table
 
 PAGE_DEFAULT, PAGE_LIMIT = 50, 1_000
@@ -34,16 +35,16 @@ def compare(stored: DataFrame, edited: DataFrame, keys: Sequence[str], values: S
     Carries the key, the stored values as `old_<name>` and the edited values
     as `new_<name>`. NULL equals NULL.
     """
-    old = stored.select(*[ref(k) for k in keys], *[ref(v).alias(f"old_{v}") for v in values], F.lit(True).alias("_old"))
-    new = edited.select(*[ref(k) for k in keys], *[ref(v).alias(f"new_{v}") for v in values], F.lit(True).alias("_new"))
-    differs = any_of([~ref(f"old_{v}").eqNullSafe(ref(f"new_{v}")) for v in values])
+    key = [name(k) for k in keys]
+    old = stored.selectExpr(*key, *[f"{name(v)} AS {name('old_' + v)}" for v in values], "TRUE AS _old")
+    new = edited.selectExpr(*key, *[f"{name(v)} AS {name('new_' + v)}" for v in values], "TRUE AS _new")
+    differs = any_of([f"NOT ({name('old_' + v)} <=> {name('new_' + v)})" for v in values])
     status = (
-        F.when(F.col("_old").isNull(), "added")
-        .when(F.col("_new").isNull(), "removed")
-        .when(differs, "changed")
-        .otherwise("same")
+        "CASE WHEN _old IS NULL THEN 'added' WHEN _new IS NULL THEN 'removed' "
+        f"WHEN {differs} THEN 'changed' ELSE 'same' END AS status"
     )
-    return old.join(new, list(keys), "full_outer").withColumn("status", status).drop("_old", "_new")
+    paired = old.join(new, list(keys), "full_outer")
+    return paired.selectExpr(*[name(c) for c in paired.columns if c not in ("_old", "_new")], status)
 
 
 def key_changes(stored: DataFrame, edited: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -56,7 +57,7 @@ def changed_rows(table: Table, stored: DataFrame, edited: DataFrame) -> DataFram
     keys = keys_of(table)
     values = [c for c in table.column_names if c not in keys]
     pairs = compare(stored, edited, keys, values).where("status = 'changed'")
-    return pairs.select(*[ref(c) if c in keys else ref(f"new_{c}").alias(c) for c in table.column_names])
+    return pairs.selectExpr(*[name(c) if c in keys else f"{name('new_' + c)} AS {name(c)}" for c in table.column_names])
 
 
 def merged(table: Table, stored: DataFrame, edited: DataFrame) -> DataFrame:
@@ -64,9 +65,10 @@ def merged(table: Table, stored: DataFrame, edited: DataFrame) -> DataFrame:
     keys = keys_of(table)
     values = [c for c in table.column_names if c not in keys]
     pairs = compare(stored, edited, keys, values).where("status <> 'added'")
-    return pairs.select(
+    chosen = "CASE WHEN status = 'changed' THEN {new} ELSE {old} END AS {column}"
+    return pairs.selectExpr(
         *[
-            ref(c) if c in keys else F.when(F.col("status") == "changed", ref(f"new_{c}")).otherwise(ref(f"old_{c}")).alias(c)
+            name(c) if c in keys else chosen.format(new=name("new_" + c), old=name("old_" + c), column=name(c))
             for c in table.column_names
         ]
     )
@@ -107,37 +109,30 @@ def normalized_rows(table: Table, df: DataFrame, raw: str, locator: Sequence[str
     Returns (rows, violations). An edited row must be an object that carries
     every declared column, whatever the case of its names, and no other.
     """
-    names = {c.casefold(): c for c in table.column_names}
-    entries = df.select(*[ref(c) for c in locator], raw_fields(raw).alias("_entries"))
-    lower = F.transform("_entries", lambda e: F.lower(e["key"]))
-    entries = entries.withColumn("_names", lower)
+    declared = {c.casefold(): c for c in table.column_names}
+    where = [name(c) for c in locator]
+    entries = df.selectExpr(*where, f"{raw_entries(raw)} AS _entries")
+    entries = entries.selectExpr("*", "transform(_entries, e -> lower(e.key)) AS _names")
     values = [
-        F.get(F.col("_entries"), (F.array_position(F.col("_names"), low) - 1).cast("int"))["value"].alias(name)
-        for low, name in names.items()
+        f"get(_entries, CAST(array_position(_names, {lit(low)}) AS INT) - 1).value AS {name(column)}"
+        for low, column in declared.items()
     ]
-    rows = entries.where("_entries IS NOT NULL").select(*[ref(c) for c in locator], *values)
+    rows = entries.where("_entries IS NOT NULL").selectExpr(*where, *values)
 
-    known = F.array(*[F.lit(n) for n in names])
-    unknown = F.transform(
-        F.filter("_entries", lambda e: ~F.lower(e["key"]).isin(*names)),
-        lambda e: _report("unknown_column", e["key"]),
-    )
-    absent = F.transform(F.array_except(known, F.col("_names")), lambda n: _report("missing_column", n))
-    shape = F.array(_report("row_shape", F.lit(None).cast("string")))
-    reports = F.when(F.col("_entries").isNull(), shape).otherwise(F.concat(unknown, absent))
-    violations = entries.select(*[ref(c) for c in locator], F.explode(reports).alias("_v")).select(
-        F.col("_v.kind").alias("kind"),
-        F.lit(table.name).alias("table_name"),
-        F.col("_v.name").alias("column_name"),
-        row_key(locator).alias("row_key"),
+    known = array(list(declared))
+    report = "named_struct('kind', '{kind}', 'name', {column})"
+    unknown = (
+        f"transform(filter(_entries, e -> NOT array_contains({known}, lower(e.key))), "
+        f"e -> {report.format(kind='unknown_column', column='e.key')})"
     )
+    absent = f"transform(array_except({known}, _names), n -> {report.format(kind='missing_column', column='n')})"
+    shape = f"array({report.format(kind='row_shape', column=text(None))})"
+    violations = entries.selectExpr(
+        *where, f"inline(CASE WHEN _entries IS NULL THEN {shape} ELSE concat({unknown}, {absent}) END)"
+    ).selectExpr("kind", f"{lit(table.name)} AS table_name", "name AS column_name", f"{row_key(locator)} AS row_key")
     return rows, violations
 
 
-def _report(kind: str, name):
-    return F.struct(F.lit(kind).alias("kind"), name.alias("name"))
-
-
 def page_by_key(table: Table, df: DataFrame, limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
     """One page in key order (order of all columns when there is no key)."""
     if not 1 <= limit <= PAGE_LIMIT:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowsmith.functions.checks import literal
+from rowsmith.functions.text import lit, name, sql_type
 from rowsmith.operators.shared import ref
 from rowsmith.operators.update import update_table
 from rowsmith.operators.validate import assert_valid
@@ -39,17 +39,17 @@ def fill_defaults(table: Table, df: DataFrame) -> DataFrame:
     A NULL in a column that is present stays NULL.
     """
     present = {c.casefold() for c in df.columns}
-    added = {}
+    added = []
     for column in table.columns:
         if column.name.casefold() in present:
             continue
         value = default_value(column, portable=True)
         if value == CURRENT_TIMESTAMP:
-            filled = F.current_date() if column.type.name == "DATE" else F.localtimestamp()
+            filled = "current_date()" if column.type.name == "DATE" else "localtimestamp()"
         else:
-            filled = literal(value)
-        added[column.name] = filled.cast(column.type.spark_type())
-    return df.withColumns(added) if added else df
+            filled = lit(value)
+        added.append(f"CAST({filled} AS {sql_type(column.type.spark_type())}) AS {name(column.name)}")
+    return df.selectExpr("*", *added)
 
 
 def write_dataset(spark: SparkSession, spec: DatasetSpec, data: Mapping[str, DataFrame], path: str) -> None:
