@@ -143,17 +143,18 @@ def csv_columns(table: Table, df: DataFrame) -> DataFrame:
 
 def write_csv(table: Table, df: DataFrame, path: str, compression: str = "none") -> None:
     """Header, declared column order, NULL as empty, one file per partition."""
-    csv_columns(table, df).write.mode("overwrite").csv(
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    writer = csv_columns(table, df).write.mode("overwrite").option("timestampNTZFormat", stamp)
+    writer.csv(
         path,
         header=True,
         nullValue="",
         emptyValue="",
         dateFormat="yyyy-MM-dd",
-        timestampFormat="yyyy-MM-dd HH:mm:ss",
+        timestampFormat=stamp,
         quote='"',
         escape='"',
         compression=compression,
-        **{"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"},
     )
 
 
