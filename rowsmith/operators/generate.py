@@ -460,7 +460,9 @@ class Generator:
         if built.given is not None:
             return built.given
         base = built.base if built.base is not None else self.spark.range(built.rows).selectExpr(f"id AS {ROW}")
-        indexes = [f"{index(ROW)} AS _k{i}" for i, (index, _, _) in enumerate(built.joins)]
+        # Rows without a parent get an index of their own below zero: equal NULLs
+        # would all meet in one task of the join.
+        indexes = [f"coalesce({index(ROW)}, -1L - {ROW}) AS _k{i}" for i, (index, _, _) in enumerate(built.joins)]
         df = base.selectExpr(ROW, *indexes)
         for i, (_, parents, columns) in enumerate(built.joins):
             df = df.join(parents.selectExpr(f"_index AS _k{i}", *[name(c) for c in columns]), f"_k{i}", "left")

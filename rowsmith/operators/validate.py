@@ -338,9 +338,32 @@ def primary_key_null(table: Table, df: DataFrame, locator: Sequence[str] | None
     return apply_rules(df, table, [key_null_rule(table)], locator or table.primary_key)
 
 
+class Repeats:
+    """Violations of repeated keys: rows as they are, and rows with a number of copies.
+
+    Copies are unrolled once for all keys of a dataset, because that step
+    spreads them over the cluster and a shuffle per key would be wasted.
+    """
+
+    def __init__(self, single: list[DataFrame] | None = None, counted: list[DataFrame] | None = None) -> None:
+        self.single, self.counted = single or [], counted or []
+
+    def add(self, other: Repeats) -> None:
+        self.single += other.single
+        self.counted += other.counted
+
+    def parts(self) -> list[DataFrame]:
+        if not self.counted:
+            return self.single
+        return [*self.single, repeat_rows(_union(self.counted), "_times", ["table_name", "row_key"])]
+
+    def frame(self) -> DataFrame:
+        return _union(self.parts())
+
+
 def repeated(
     kind: str, table: Table, df: DataFrame, key: Sequence[str], locator: Sequence[str], message: str
-) -> DataFrame:
+) -> Repeats:
     """Every occurrence of a key after its first, in the order of the locator.
 
     Rows with a NULL in the key do not take part.
@@ -352,7 +375,7 @@ def repeated(
     if set(locator) <= set(key):
         # The key itself names the row, so counting is enough: no row moves twice.
         counted = rows.groupBy(*[name(c) for c in key]).agg(count).where("n > 1")
-        return repeat_rows(counted.selectExpr(*report, "n - 1 AS _times"), "_times", ["row_key"])
+        return Repeats(counted=[counted.selectExpr(*report, "n - 1 AS _times")])
 
     lengths = {c: table.column(c).type.length if table.has_column(c) else None for c in key}
     keyed = rows.selectExpr(
@@ -370,30 +393,37 @@ def repeated(
         .agg(F.count(F.lit(1)).alias("_same"))
         .where("_same > 1")
     )
-    return later.union(repeat_rows(tied.selectExpr(*report, "_same - 1 AS _times"), "_times", ["row_key"]))
+    return Repeats([later], [tied.selectExpr(*report, "_same - 1 AS _times")])
 
 
-def primary_key_duplicate(table: Table, df: DataFrame, locator: Sequence[str] | None = None) -> DataFrame:
+def _key_repeats(table: Table, df: DataFrame, locator: Sequence[str]) -> Repeats:
     key = table.primary_key
-    message = f"{table.name} repeats primary key ({', '.join(key)})"
-    return repeated("primary_key_duplicate", table, df, key, locator or key, message)
+    return repeated("primary_key_duplicate", table, df, key, locator, f"{table.name} repeats primary key ({', '.join(key)})")
+
+
+def _unique_repeats(table: Table, df: DataFrame, group: Sequence[str], locator: Sequence[str]) -> Repeats:
+    return repeated("unique_duplicate", table, df, group, locator, f"{table.name} repeats unique ({', '.join(group)})")
+
+
+def primary_key_duplicate(table: Table, df: DataFrame, locator: Sequence[str] | None = None) -> DataFrame:
+    return _key_repeats(table, df, locator or table.primary_key).frame()
 
 
 def unique_duplicate(table: Table, df: DataFrame, group: Sequence[str], locator: Sequence[str] | None = None) -> DataFrame:
     where = list(locator or table.primary_key) or list(df.columns)
-    message = f"{table.name} repeats unique ({', '.join(group)})"
-    return repeated("unique_duplicate", table, df, group, where, message)
+    return _unique_repeats(table, df, group, where).frame()
 
 
-def key_violations(table: Table, df: DataFrame, locator: Sequence[str]) -> list[DataFrame]:
-    parts = []
+def key_repeats(table: Table, df: DataFrame, locator: Sequence[str]) -> Repeats:
+    """Repeats of the primary key and of every unique group of a table."""
+    found = Repeats()
     present = {c.casefold() for c in df.columns}
     if table.primary_key and all(c.casefold() in present for c in table.primary_key):
-        parts.append(primary_key_duplicate(table, df, locator))
+        found.add(_key_repeats(table, df, locator))
     for group in table.unique:
         if all(c.casefold() in present for c in group):
-            parts.append(unique_duplicate(table, df, group, locator))
-    return parts
+            found.add(_unique_repeats(table, df, group, locator))
+    return found
 
 
 # --- foreign keys ------------------------------------------------------------
@@ -499,6 +529,7 @@ def validate(
         if name.casefold() not in known
     ]
     parts: list[DataFrame] = []
+    repeats = Repeats()
     for table in spec.tables:
         df = _lookup(data, table.name)
         if df is None:
@@ -507,12 +538,12 @@ def validate(
         locator = locator_of(table, df, locators)
         notes.extend(unsupported_notes(table, df))
         parts.append(apply_rules(df, table, typed_rules(table, df), locator))
-        parts.extend(key_violations(table, df, locator))
+        repeats.add(key_repeats(table, df, locator))
         for fk in table.foreign_keys:
             parent = _lookup(data, fk.parent)
             if parent is not None:
                 parts.append(foreign_key_missing(table, df, fk, spec.table(fk.parent), parent, locator))
-    return _union([literal_rows(spark, notes, FIELDS), *parts])
+    return _union([literal_rows(spark, notes, FIELDS), *parts, *repeats.parts()])
 
 
 def summarize(violations: DataFrame, samples: int = 3) -> DataFrame:

@@ -1,7 +1,7 @@
 """Queries for generated keys, values, texts, foreign keys and whole datasets.
 
 Row ids come from the test tables, one generated row per given row, and given
-tables serve as parents. Draws use md5 here so that SQL can repeat them.
+tables serve as parents. Draws use md5 where SQL repeats them.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ def built(
     scaffolds: Mapping[str, DataFrame],
     plans: tuple[ColumnPlan, ...] = (),
     existing: Mapping[str, DataFrame] | None = None,
+    hash_method: str = "md5",
 ) -> DataFrame:
     """Generate the first table of a spec over given row ids."""
     tables = tables if isinstance(tables, tuple) else (tables,)
@@ -60,15 +61,23 @@ def built(
         )
     rows = {name: df.count() for name, df in scaffolds.items()}
     generator = Generator(
-        spark, spec, plan, rows, SEED, existing=existing, scaffolds=scaffolds, hash_method="md5"
+        spark, spec, plan, rows, SEED, existing=existing, scaffolds=scaffolds, hash_method=hash_method
     )
     generator.build()
     return generator.frame(first.name, keep_row_id=True)
 
 
-def over_events(spark: SparkSession, sf_dir: str, columns: tuple[Column, ...], plans: tuple[ColumnPlan, ...] = (), checks: tuple = ()) -> DataFrame:
+def over_events(
+    spark: SparkSession,
+    sf_dir: str,
+    columns: tuple[Column, ...],
+    plans: tuple[ColumnPlan, ...] = (),
+    checks: tuple = (),
+    hash_method: str = "md5",
+) -> DataFrame:
     table = Table("t", columns, checks=checks)
-    return built(spark, table, {"t": ids(spark, sf_dir, "events", "event_id")}, plans)
+    scaffolds = {"t": ids(spark, sf_dir, "events", "event_id")}
+    return built(spark, table, scaffolds, plans, hash_method=hash_method)
 
 
 def from_events(*columns: str) -> str:
@@ -408,7 +417,7 @@ def gen_text_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text generator once per event."""
     tokens = sorted(set(vocab.GENERATOR_ALIASES.values())) + ["opening_hours"]
     columns = tuple(Column(f"{t}" if t == "opening_hours" else f"c_{t}", VARCHAR(200)) for t in tokens)
-    return over_events(spark, sf_dir, columns, tuple(ColumnPlan(f"c_{t}", generator=t) for t in tokens[:-1]))
+    return over_events(spark, sf_dir, columns, tuple(ColumnPlan(f"c_{t}", generator=t) for t in tokens[:-1]), hash_method="xxhash64")
 
 
 @query("gen_locale")
@@ -416,7 +425,7 @@ def gen_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names per locale; an unknown locale falls back to the default one."""
     locales = ("en_US", "de_DE", "fr_FR", "xx_XX")
     columns = tuple(Column(f"first_name_{x.lower()}", VARCHAR(40)) for x in locales)
-    return over_events(spark, sf_dir, columns, tuple(ColumnPlan(c.name, locale=x) for c, x in zip(columns, locales)))
+    return over_events(spark, sf_dir, columns, tuple(ColumnPlan(c.name, locale=x) for c, x in zip(columns, locales)), hash_method="xxhash64")
 
 
 

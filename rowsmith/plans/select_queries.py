@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rowsmith.operators.shared import rows_of_groups
 from rowsmith.plans import tpch
 from rowsmith.plans.registry import query
 from rowsmith.plans.select import guarded_select
@@ -100,24 +101,29 @@ def q_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buyers.withColumn("side", F.lit("buyer")).union(idle.withColumn("side", F.lit("idle")))
 
 
+_BAND = 4_000
+
+
 @query(
     "q_range_join",
-    """SELECT a.event_id AS event_id, count(*) AS n_close FROM events a JOIN events b
-       ON b.ts > a.ts AND b.ts <= a.ts + INTERVAL 10 MINUTE AND b.event_type = 'purchase' WHERE a.event_type = 'view' GROUP BY a.event_id""",
+    f"""SELECT n_name AS band, count(*) AS n FROM lineitem JOIN nation
+        ON l_extendedprice >= n_nationkey * {_BAND} AND l_extendedprice < (n_nationkey + 1) * {_BAND} GROUP BY n_name""",
 )
 def q_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases within ten minutes after each view.
+    """Line items per price band, one band of equal width per nation.
 
-    Both sides are cut into ten-minute slots, so the range join is an equi
-    join: a purchase is looked for in the view's slot and the next one.
+    Prices are cut at the band width, so the range join becomes an equi join
+    on the cut with the exact range checked after it. No pair is formed that
+    is not in the result.
     """
-    events = load(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    slot = F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01', ts)") / 600)
-    views = events.where("event_type = 'view'").select("event_id", F.col("ts").alias("seen"), slot.alias("s"))
-    views = views.select("event_id", "seen", F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("slot"))
-    buys = events.where("event_type = 'purchase'").select(F.col("ts").alias("bought"), slot.alias("slot"))
-    close = views.join(buys, "slot").where("bought > seen AND bought <= seen + INTERVAL 10 MINUTE")
-    return close.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_close"))
+    cut = F.floor(F.col("l_extendedprice") / _BAND).alias("cut")
+    prices = load(spark, sf_dir, "lineitem").select("l_extendedprice", cut)
+    low = F.col("n_nationkey") * _BAND
+    bands = load(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("band"), F.col("n_nationkey").cast("bigint").alias("cut"), low.alias("low"), (low + _BAND).alias("high")
+    )
+    inside = prices.join(bands, "cut").where("l_extendedprice >= low AND l_extendedprice < high")
+    return inside.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
 _GROUP = """SELECT l_returnflag, l_linestatus, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(12,2))) AS quantity,
@@ -165,31 +171,40 @@ def q_rollup_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q_window_rank",
-    """SELECT o_custkey, o_orderkey, rank() OVER w AS place, lag(o_orderkey) OVER w AS previous, ntile(4) OVER w AS quarter
-       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)""",
+    """SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place
+       FROM orders) WHERE place <= 3""",
 )
 def q_window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three dearest orders of each customer.
+
+    The rank limit also runs before the shuffle, so a customer with very many
+    orders sends three rows per task.
+    """
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return load(spark, sf_dir, "orders").select(
-        "o_custkey",
-        "o_orderkey",
-        F.rank().over(w).alias("place"),
-        F.lag("o_orderkey").over(w).alias("previous"),
-        F.ntile(4).over(w).alias("quarter"),
-    )
+    ranked = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).alias("place"))
+    return ranked.where("place <= 3")
 
 
 @query(
     "q_window_frame",
-    """SELECT event_id, sum(CAST(value AS DECIMAL(10,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last_three,
-       count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS so_far FROM events""",
+    """WITH daily AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(CAST(value AS DECIMAL(10,2))) AS total FROM events GROUP BY ALL)
+       SELECT user_id, day, sum(total) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last_three,
+       count(*) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS days, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS before FROM daily""",
 )
 def q_window_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return load(spark, sf_dir, "events").select(
-        "event_id",
-        F.sum(tpch.dec("value", 10)).over(w.rowsBetween(-2, 0)).alias("last_three"),
-        F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"),
+    """Running totals over the days of each user.
+
+    Events are summed per user and day first, so a window holds at most one
+    row per day however many events a user has.
+    """
+    daily = load(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum(tpch.dec("value", 10)).alias("total"))
+    w = Window.partitionBy("user_id").orderBy("day")
+    return daily.select(
+        "user_id",
+        "day",
+        F.sum("total").over(w.rowsBetween(-2, 0)).alias("last_three"),
+        F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("days"),
+        F.lag("day").over(w).alias("before"),
     )
 
 
@@ -227,12 +242,14 @@ def q_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
        OR o_totalprice = (SELECT max(o_totalprice) FROM orders)""",
 )
 def q_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A correlated average becomes an aggregate joined back on its key."""
-    orders = load(spark, sf_dir, "orders")
-    means = orders.groupBy("o_custkey").agg((F.avg(tpch.dec("o_totalprice")) * F.lit(1.5)).alias("bar"))
+    """A correlated average becomes an aggregate matched back to its rows."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    means = orders.groupBy("o_custkey").agg(
+        (F.avg(tpch.dec("o_totalprice")) * F.lit(1.5)).alias("bar"), F.count(F.lit(1)).alias("n")
+    )
     top = orders.agg(F.max("o_totalprice").alias("top")).first()["top"]
-    kept = orders.join(means, "o_custkey").where((F.col("o_totalprice") > F.col("bar")) | (F.col("o_totalprice") == F.lit(top)))
-    return kept.select("o_orderkey", "o_totalprice")
+    kept = rows_of_groups(orders, means, ["o_custkey"])
+    return kept.where((F.col("o_totalprice") > F.col("bar")) | (F.col("o_totalprice") == F.lit(top))).select("o_orderkey", "o_totalprice")
 
 
 @query(
@@ -270,7 +287,7 @@ def q_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     "q_json_array",
     """SELECT 'events' AS origin, event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS number FROM events
        UNION ALL SELECT 'embeddings', vec_id, len(embedding) FROM embeddings
-       UNION ALL SELECT 'positive', vec_id, len(list_filter(embedding, x -> x > 0)) FROM embeddings""",
+       UNION ALL SELECT 'positive', vec_id, len(list_filter(embedding, lambda x: x > 0)) FROM embeddings""",
 )
 def q_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").selectExpr(
