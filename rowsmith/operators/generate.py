@@ -24,6 +24,7 @@ from rowsmith.functions.checks import ORDERING, column_bounds, column_pairs
 from rowsmith.functions.draw import LONG_LIMIT, Draws, digits36, permute, suffix36
 from rowsmith.operators.numbering import dense_index
 from rowsmith.functions.text import array, lit, name, not_null, sql_type
+from rowsmith.operators.shared import written
 from rowsmith.operators.validate import DataValidationError, assert_valid, supported_checks
 from rowsmith.spec import CURRENT_TIMESTAMP, DatasetSpec, ForeignKey, SpecError, Table, default_value
 from rowsmith.spec import Column as SpecColumn
@@ -989,14 +990,17 @@ def generate(
     check: bool = True,
     **options: object,
 ) -> dict[str, DataFrame]:
-    """Generate a dataset; with `check`, validate it before it is returned.
+    """Generate a dataset; with `check`, write and validate it before it is returned.
 
-    See `Generator` for the options.
+    Without `check` the tables stay lazy. See `Generator` for the options.
     """
-    data = Generator(spark, spec, plan, rows, seed, **options).build()
-    if check:
-        try:
-            assert_valid(spark, spec, data)
-        except DataValidationError as error:
-            raise GenerationError(f"generated dataset does not satisfy the spec: {error}") from error
+    generator = Generator(spark, spec, plan, rows, seed, **options)
+    data = generator.build()
+    if not check:
+        return data
+    data = {t: df if t in generator.existing else written(df) for t, df in data.items()}
+    try:
+        assert_valid(spark, spec, data)
+    except DataValidationError as error:
+        raise GenerationError(f"generated dataset does not satisfy the spec: {error}") from error
     return data

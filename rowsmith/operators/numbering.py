@@ -33,7 +33,8 @@ def number_blocks(df: DataFrame, group: Sequence[str], block: Column, order: Seq
         .drop("_size")
     )
     joined = numbered.join(offsets, [*group, "_block"])
-    return joined.withColumn(name, F.col("_inner") + F.col("_before")).drop("_inner", "_before", "_block")
+    number = (F.col("_inner") + F.col("_before")).alias(name)
+    return joined.select(*[ref(c) for c in df.columns], number)
 
 
 def number_within(df: DataFrame, group: Sequence[str], row_id: str, rows: int, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -9,6 +9,7 @@ by a shuffle join that sees no hot key.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a table once to the shared folder as Parquet and read it from there.
+
+    For whole tables that several scans follow: each scan reads only its
+    columns, and nothing is computed again.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ref(column: str) -> Column:
     return F.col(name(column))
 
@@ -96,7 +109,7 @@ def narrow_key(df: DataFrame, column: str, declared_length: int | None) -> str:
 def rows_of_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join rows to the groups they belong to, whatever the size of a group.
 
-    `groups` holds one row per key with the number of rows in `n`. Its size is
+    `groups` holds one row per key with the number of rows in `_n`. Its size is
     measured first. Few groups are broadcast, so rows do not move at all. With
     many, the largest `HOT_KEYS` groups are broadcast and the rest, which can
     no longer dominate a partition, go through an ordinary shuffle join.
@@ -107,7 +120,7 @@ def rows_of_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> D
     measured = groups.agg(F.expr(f"sum(CAST({width} AS BIGINT))").alias("bytes")).first()
     if (measured["bytes"] or 0) * 2 <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), keys)
-    hot = groups.orderBy(F.desc("n"), *keys).limit(HOT_KEYS)
+    hot = groups.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
     hot_keys = F.broadcast(hot.select(*keys))
     cold_groups = groups.join(hot_keys, keys, "left_anti")
     hot_rows = rows.join(F.broadcast(hot), keys)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rowsmith.functions.text import any_of, array, lit, name, text
 from rowsmith.operators.shared import ref
@@ -30,7 +29,7 @@ def keys_of(table: Table) -> list[str]:
 
 
 def compare(stored: DataFrame, edited: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Pair stored and edited rows by key and name the outcome in `status`.
+    """Pair stored and edited rows by key and name the outcome in `_status`.
 
     Carries the key, the stored values as `old_<name>` and the edited values
     as `new_<name>`. NULL equals NULL.
@@ -41,7 +40,7 @@ def compare(stored: DataFrame, edited: DataFrame, keys: Sequence[str], values: S
     differs = any_of([f"NOT ({name('old_' + v)} <=> {name('new_' + v)})" for v in values])
     status = (
         "CASE WHEN _old IS NULL THEN 'added' WHEN _new IS NULL THEN 'removed' "
-        f"WHEN {differs} THEN 'changed' ELSE 'same' END AS status"
+        f"WHEN {differs} THEN 'changed' ELSE 'same' END AS _status"
     )
     paired = old.join(new, list(keys), "full_outer")
     return paired.selectExpr(*[name(c) for c in paired.columns if c not in ("_old", "_new")], status)
@@ -49,14 +48,14 @@ def compare(stored: DataFrame, edited: DataFrame, keys: Sequence[str], values: S
 
 def key_changes(stored: DataFrame, edited: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys on one side only, with `status` added or removed; empty when unchanged."""
-    return compare(stored, edited, keys, []).where(F.col("status").isin("added", "removed"))
+    return compare(stored, edited, keys, []).where("_status <> 'same'").withColumnRenamed("_status", "status")
 
 
 def changed_rows(table: Table, stored: DataFrame, edited: DataFrame) -> DataFrame:
     """Edited rows whose values differ from the stored row of the same key."""
     keys = keys_of(table)
     values = [c for c in table.column_names if c not in keys]
-    pairs = compare(stored, edited, keys, values).where("status = 'changed'")
+    pairs = compare(stored, edited, keys, values).where("_status = 'changed'")
     return pairs.selectExpr(*[name(c) if c in keys else f"{name('new_' + c)} AS {name(c)}" for c in table.column_names])
 
 
@@ -64,8 +63,8 @@ def merged(table: Table, stored: DataFrame, edited: DataFrame) -> DataFrame:
     """The stored table with changed rows replaced; a change to NULL is kept."""
     keys = keys_of(table)
     values = [c for c in table.column_names if c not in keys]
-    pairs = compare(stored, edited, keys, values).where("status <> 'added'")
-    chosen = "CASE WHEN status = 'changed' THEN {new} ELSE {old} END AS {column}"
+    pairs = compare(stored, edited, keys, values).where("_status <> 'added'")
+    chosen = "CASE WHEN _status = 'changed' THEN {new} ELSE {old} END AS {column}"
     return pairs.selectExpr(
         *[
             name(c) if c in keys else chosen.format(new=name("new_" + c), old=name("old_" + c), column=name(c))

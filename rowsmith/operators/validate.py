@@ -236,10 +236,13 @@ def apply_rules(df: DataFrame, table: Table, rules: Sequence[Rule], locator: Seq
     )
 
 
-def row_violations(table: Table, df: DataFrame, locator: Sequence[str] | None = None) -> DataFrame:
-    """All row-level violations of a typed table; also runs on a stream."""
+def row_violations(
+    table: Table, df: DataFrame, locator: Sequence[str] | None = None, kinds: Sequence[str] | None = None
+) -> DataFrame:
+    """Row-level violations of a typed table, all or of some kinds; also runs on a stream."""
     where = list(locator or table.primary_key) or list(df.columns)
-    return apply_rules(df, table, typed_rules(table, df), where)
+    rules = [r for r in typed_rules(table, df) if kinds is None or r.kind in kinds]
+    return apply_rules(df, table, rules, where)
 
 
 # --- rows that still are text ------------------------------------------------
@@ -371,11 +374,11 @@ def repeated(
     key, locator = list(key), list(locator)
     rows = df.where(not_null(key))
     report = _violation(kind, table, _single(key), message, row_key(locator))
-    count = F.count(F.lit(1)).alias("n")
+    count = F.count(F.lit(1)).alias("_n")
     if set(locator) <= set(key):
         # The key itself names the row, so counting is enough: no row moves twice.
-        counted = rows.groupBy(*[name(c) for c in key]).agg(count).where("n > 1")
-        return Repeats(counted=[counted.selectExpr(*report, "n - 1 AS _times")])
+        counted = rows.groupBy(*[name(c) for c in key]).agg(count).where("_n > 1")
+        return Repeats(counted=[counted.selectExpr(*report, "_n - 1 AS _times")])
 
     lengths = {c: table.column(c).type.length if table.has_column(c) else None for c in key}
     keyed = rows.selectExpr(
@@ -383,7 +386,7 @@ def repeated(
     )
     shared = [f"_k{i}" for i in range(len(key))]
     place = name(locator[0]) if len(locator) == 1 else f"struct({names(locator)})"
-    groups = keyed.groupBy(*shared).agg(count, F.expr(f"min({place})").alias("_first")).where("n > 1")
+    groups = keyed.groupBy(*shared).agg(count, F.expr(f"min({place})").alias("_first")).where("_n > 1")
     members = rows_of_groups(keyed, groups, shared)
     later = members.where(f"NOT ({place} <=> _first)").selectExpr(*report)
     # Rows that cannot be told apart from the first: all but one of them repeat it.
@@ -453,7 +456,7 @@ def foreign_key_missing(
         parents = parents.distinct()
     if broadcasts_by_itself(parents):
         return keyed.join(parents, shared, "left_anti").selectExpr(*report)
-    wanted = keyed.groupBy(*shared).agg(F.count(F.lit(1)).alias("n"))
+    wanted = keyed.groupBy(*shared).agg(F.count(F.lit(1)).alias("_n"))
     missing = wanted.join(parents, shared, "left_anti")
     return rows_of_groups(keyed, missing, shared).selectExpr(*report)
 

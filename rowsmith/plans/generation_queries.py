@@ -17,6 +17,7 @@ from rowsmith.functions import vocab
 from rowsmith.functions.checks import between, cmp, col, in_
 from rowsmith.operators.generate import ROW, ColumnPlan, Generator, Plan, TablePlan, generate
 from rowsmith.operators.numbering import dense_index, number_within
+from rowsmith.operators.shared import written
 from rowsmith.operators.validate import validate
 from rowsmith.plans.registry import query, sql_base36, sql_draw, sql_permute, sql_words
 from rowsmith.plans.tpch import load
@@ -689,11 +690,12 @@ SHOP = DatasetSpec(
 )
 
 
-def shop(spark: SparkSession, sf_dir: str, check: bool = True) -> dict[str, DataFrame]:
+def shop(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Accounts of the given customers, as many as orders; payments, as many as line items."""
     rows = {"accounts": load(spark, sf_dir, "orders").count(), "payments": load(spark, sf_dir, "lineitem").count()}
     existing = {"customer": load(spark, sf_dir, "customer").select("c_custkey")}
-    return generate(spark, SHOP, rows=rows, seed=SEED, existing=existing, check=check)
+    data = generate(spark, SHOP, rows=rows, seed=SEED, existing=existing, check=False)
+    return {t: df if t in existing else written(df) for t, df in data.items()}
 
 
 @query(
@@ -702,7 +704,7 @@ def shop(spark: SparkSession, sf_dir: str, check: bool = True) -> dict[str, Data
        UNION ALL SELECT 'accounts', count(*), 0 FROM orders UNION ALL SELECT 'payments', count(*), 0 FROM lineitem""",
 )
 def gen_dataset_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = shop(spark, sf_dir, check=False)
+    data = shop(spark, sf_dir)
     counts = None
     for table, df in data.items():
         part = df.agg(F.lit(table).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))

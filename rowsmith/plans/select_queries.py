@@ -245,7 +245,7 @@ def q_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A correlated average becomes an aggregate matched back to its rows."""
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     means = orders.groupBy("o_custkey").agg(
-        (F.avg(tpch.dec("o_totalprice")) * F.lit(1.5)).alias("bar"), F.count(F.lit(1)).alias("n")
+        (F.avg(tpch.dec("o_totalprice")) * F.lit(1.5)).alias("bar"), F.count(F.lit(1)).alias("_n")
     )
     top = orders.agg(F.max("o_totalprice").alias("top")).first()["top"]
     kept = rows_of_groups(orders, means, ["o_custkey"])

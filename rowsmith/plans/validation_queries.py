@@ -33,9 +33,8 @@ from rowsmith.spec import BOOLEAN, DATE, DATETIME, DECIMAL, ENUM, INT, VARCHAR,
 SHOWN = ("kind", "table_name", "column_name", "row_key")
 
 
-def shown(violations: DataFrame, kind: str | None = None) -> DataFrame:
-    kept = violations if kind is None else violations.where(F.col("kind") == kind)
-    return kept.select(*SHOWN)
+def shown(violations: DataFrame) -> DataFrame:
+    return violations.select(*SHOWN)
 
 
 def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +43,7 @@ def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def of_kind(spark: SparkSession, sf_dir: str, name: str, kind: str) -> DataFrame:
     table = SPEC.table(name)
-    return shown(v.row_violations(table, rows_of(spark, sf_dir, name)), kind)
+    return shown(v.row_violations(table, rows_of(spark, sf_dir, name), kinds=[kind]))
 
 
 # --- predicates --------------------------------------------------------------
@@ -326,7 +325,7 @@ def val_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql_violation("type_mismatch", "customer", "c_acctbal", sql_key("c_custkey"), "customer", "c_acctbal IS NOT NULL"),
 )
 def val_type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(v.row_violations(tpch.CUSTOMER, load(spark, sf_dir, "customer")), "type_mismatch")
+    return shown(v.row_violations(tpch.CUSTOMER, load(spark, sf_dir, "customer"), kinds=["type_mismatch"]))
 
 
 @query(
