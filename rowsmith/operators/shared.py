@@ -102,7 +102,8 @@ def narrow_key(df: DataFrame, column: str, declared_length: int | None) -> str:
     """
     is_text = isinstance(df.schema[column].dataType, T.StringType)
     if is_text and (declared_length is None or declared_length > 128):
-        return f"sha2({name(column)}, 256)"
+        # Never NULL, so a join on it need not compute it once more to filter NULLs.
+        return f"coalesce(sha2({name(column)}, 256), '')"
     return name(column)
 
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from rowsmith.functions.text import any_of, array, lit, name, text
-from rowsmith.operators.shared import ref
+from rowsmith.operators.shared import ref, written
 from rowsmith.operators.validate import assert_valid, raw_entries, row_key
 from rowsmith.spec import DatasetSpec, Table
 
@@ -42,8 +42,8 @@ def compare(stored: DataFrame, edited: DataFrame, keys: Sequence[str], values: S
         "CASE WHEN _old IS NULL THEN 'added' WHEN _new IS NULL THEN 'removed' "
         f"WHEN {differs} THEN 'changed' ELSE 'same' END AS _status"
     )
-    paired = old.join(new, list(keys), "full_outer")
-    return paired.selectExpr(*[name(c) for c in paired.columns if c not in ("_old", "_new")], status)
+    pairs = old.join(new, list(keys), "full_outer")
+    return pairs.selectExpr(*[name(c) for c in pairs.columns if c not in ("_old", "_new")], status)
 
 
 def key_changes(stored: DataFrame, edited: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -51,45 +51,59 @@ def key_changes(stored: DataFrame, edited: DataFrame, keys: Sequence[str]) -> Da
     return compare(stored, edited, keys, []).where("_status <> 'same'").withColumnRenamed("_status", "status")
 
 
-def changed_rows(table: Table, stored: DataFrame, edited: DataFrame) -> DataFrame:
-    """Edited rows whose values differ from the stored row of the same key."""
+def paired(table: Table, stored: DataFrame, edited: DataFrame) -> DataFrame:
+    """Stored and edited rows of a table, paired by primary key."""
     keys = keys_of(table)
-    values = [c for c in table.column_names if c not in keys]
-    pairs = compare(stored, edited, keys, values).where("_status = 'changed'")
-    return pairs.selectExpr(*[name(c) if c in keys else f"{name('new_' + c)} AS {name(c)}" for c in table.column_names])
+    return compare(stored, edited, keys, [c for c in table.column_names if c not in keys])
 
 
-def merged(table: Table, stored: DataFrame, edited: DataFrame) -> DataFrame:
+def changed_of(table: Table, pairs: DataFrame) -> DataFrame:
+    """The edited side of pairs whose values differ."""
+    keys = table.primary_key
+    return pairs.where("_status = 'changed'").selectExpr(
+        *[name(c) if c in keys else f"{name('new_' + c)} AS {name(c)}" for c in table.column_names]
+    )
+
+
+def merged_of(table: Table, pairs: DataFrame) -> DataFrame:
     """The stored table with changed rows replaced; a change to NULL is kept."""
-    keys = keys_of(table)
-    values = [c for c in table.column_names if c not in keys]
-    pairs = compare(stored, edited, keys, values).where("_status <> 'added'")
     chosen = "CASE WHEN _status = 'changed' THEN {new} ELSE {old} END AS {column}"
-    return pairs.selectExpr(
+    return pairs.where("_status <> 'added'").selectExpr(
         *[
-            name(c) if c in keys else chosen.format(new=name("new_" + c), old=name("old_" + c), column=name(c))
+            name(c) if c in table.primary_key else chosen.format(new=name("new_" + c), old=name("old_" + c), column=name(c))
             for c in table.column_names
         ]
     )
 
 
+def changed_rows(table: Table, stored: DataFrame, edited: DataFrame) -> DataFrame:
+    """Edited rows whose values differ from the stored row of the same key."""
+    return changed_of(table, paired(table, stored, edited))
+
+
+def merged(table: Table, stored: DataFrame, edited: DataFrame) -> DataFrame:
+    return merged_of(table, paired(table, stored, edited))
+
+
 def update_table(
     spark: SparkSession, spec: DatasetSpec, data: Mapping[str, DataFrame], table_name: str, edited: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Check an edited table and return (new table, changed rows).
 
     The whole dataset with the edited table must be valid and the set of keys
-    must not change; otherwise nothing is returned.
+    must not change; otherwise nothing is returned. The pairs are written
+    once, and the key check and both results read them from there.
     """
     table = spec.table(table_name)
-    keys = keys_of(table)
+    keys_of(table)
     edited = normalized(table, edited)
     others = {n: df for n, df in data.items() if n.casefold() != table.name.casefold()}
     stored = next(df for n, df in data.items() if n.casefold() == table.name.casefold())
     assert_valid(spark, spec, {**others, table.name: edited}, ignore=("unsupported_check",))
-    if key_changes(stored, edited, keys).limit(1).count():
+    pairs = written(paired(table, stored, edited))
+    if not pairs.where("_status IN ('added', 'removed')").isEmpty():
         raise UpdateError(f"the primary key values of table {table.name!r} must not change")
-    return merged(table, stored, edited), changed_rows(table, stored, edited)
+    return merged_of(table, pairs), changed_of(table, pairs)
 
 
 def normalized(table: Table, df: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ from rowsmith.operators.shared import (
     narrow_key,
     repeat_rows,
     rows_of_groups,
+    written,
 )
 from rowsmith.spec import Column as SpecColumn
 from rowsmith.spec import DatasetSpec, ForeignKey, Table
@@ -387,16 +388,16 @@ def repeated(
     shared = [f"_k{i}" for i in range(len(key))]
     place = name(locator[0]) if len(locator) == 1 else f"struct({names(locator)})"
     groups = keyed.groupBy(*shared).agg(count, F.expr(f"min({place})").alias("_first")).where("_n > 1")
-    members = rows_of_groups(keyed, groups, shared)
-    later = members.where(f"NOT ({place} <=> _first)").selectExpr(*report)
-    # Rows that cannot be told apart from the first: all but one of them repeat it.
-    tied = (
-        members.where(f"{place} <=> _first")
-        .groupBy(*shared, *[name(c) for c in locator])
+    # Rows that cannot be told apart count as copies: the first row of a key is
+    # left out once, every other occurrence is reported.
+    members = (
+        rows_of_groups(keyed, groups, shared)
+        .groupBy(*shared, *[name(c) for c in locator], "_first")
         .agg(F.count(F.lit(1)).alias("_same"))
-        .where("_same > 1")
+        .selectExpr(*report, f"_same - CASE WHEN {place} <=> _first THEN 1 ELSE 0 END AS _times")
     )
-    return Repeats([later], [tied.selectExpr(*report, "_same - 1 AS _times")])
+    single = members.where("_times = 1").drop("_times")
+    return Repeats([single], [members.where("_times > 1")])
 
 
 def _key_repeats(table: Table, df: DataFrame, locator: Sequence[str]) -> Repeats:
@@ -432,33 +433,81 @@ def key_repeats(table: Table, df: DataFrame, locator: Sequence[str]) -> Repeats:
 # --- foreign keys ------------------------------------------------------------
 
 
+def _parent_keys(child: DataFrame, fk: ForeignKey, parent: DataFrame, shared: Sequence[str]) -> DataFrame:
+    """The parent keys, named `shared` and in the child's types."""
+    pairs = zip(fk.columns, fk.parent_columns, shared)
+    return parent.selectExpr(*[f"{_as_child(child, parent, c, p)} AS {s}" for c, p, s in pairs])
+
+
+def _comparable(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> bool:
+    return all(_same_family(child.schema[c], parent.schema[p]) for c, p in zip(fk.columns, fk.parent_columns))
+
+
+class Lookups:
+    """Foreign keys of a table, split by the size of their parents.
+
+    A parent small enough for Catalyst to broadcast is looked up in the same
+    scan as the row rules. For a large one the distinct child keys are probed,
+    so a key with very many child rows crosses the shuffle once, and the few
+    missing keys are matched back to their rows.
+    """
+
+    def __init__(self, table: Table, child: DataFrame) -> None:
+        self.table, self.child, self.probed = table, child, child
+        self.rules: list[Rule] = []
+        self.large: list[tuple[ForeignKey, Table, DataFrame]] = []
+
+    def add(self, fk: ForeignKey, parent_table: Table, parent: DataFrame) -> None:
+        complete = not_null(fk.columns)
+        if not _comparable(self.child, fk, parent):
+            self._rule(fk, complete)
+            return
+        position = len(self.rules)
+        shared = [f"_f{position}_{i}" for i in range(len(fk.columns))]
+        keys = _parent_keys(self.child, fk, parent, shared)
+        if not broadcasts_by_itself(keys):
+            self.large.append((fk, parent_table, parent))
+            return
+        found = f"_p{position}"
+        keys = keys.distinct().selectExpr(*shared, f"TRUE AS {found}")
+        match = " AND ".join(f"{name(c)} = {s}" for c, s in zip(fk.columns, shared))
+        self.probed = self.probed.join(keys, F.expr(match), "left")
+        self._rule(fk, f"{complete} AND {found} IS NULL")
+
+    def _rule(self, fk: ForeignKey, broken: str) -> None:
+        self.rules.append(Rule("foreign_key_missing", _single(fk.columns), foreign_key_message(self.table, fk), broken))
+
+    def large_violations(self, locator: Sequence[str]) -> list[DataFrame]:
+        return [self._large(fk, parent_table, parent, locator) for fk, parent_table, parent in self.large]
+
+    def _large(self, fk: ForeignKey, parent_table: Table, parent: DataFrame, locator: Sequence[str]) -> DataFrame:
+        shared = [f"_f{i}" for i in range(len(fk.columns))]
+        report = _violation(
+            "foreign_key_missing", self.table, _single(fk.columns), foreign_key_message(self.table, fk), row_key(locator)
+        )
+        keyed = self.child.where(not_null(fk.columns)).selectExpr(
+            *[f"{name(c)} AS {s}" for c, s in zip(fk.columns, shared)], *[name(c) for c in locator]
+        )
+        keys = _parent_keys(self.child, fk, parent, shared)
+        if set(fk.parent_columns) != set(parent_table.primary_key) and tuple(fk.parent_columns) not in parent_table.unique:
+            keys = keys.distinct()
+        wanted = keyed.groupBy(*shared).agg(F.count(F.lit(1)).alias("_n"))
+        missing = wanted.join(keys, shared, "left_anti")
+        return rows_of_groups(keyed, missing, shared).selectExpr(*report)
+
+
+def foreign_key_message(table: Table, fk: ForeignKey) -> str:
+    return f"{table.name} references {fk.parent} ({', '.join(fk.parent_columns)}), which does not exist"
+
+
 def foreign_key_missing(
     table: Table, child: DataFrame, fk: ForeignKey, parent_table: Table, parent: DataFrame, locator: Sequence[str] | None = None
 ) -> DataFrame:
-    """Child rows whose complete foreign key has no parent row.
-
-    A parent small enough for Catalyst to broadcast is probed in place. Else
-    the distinct child keys are probed, so a key with very many child rows
-    crosses the shuffle once, and the few missing keys are matched back.
-    """
+    """Child rows whose complete foreign key has no parent row."""
     where = list(locator or table.primary_key) or list(child.columns)
-    fields, targets = list(fk.columns), list(fk.parent_columns)
-    message = f"{table.name} references {fk.parent} ({', '.join(targets)}), which does not exist"
-    report = _violation("foreign_key_missing", table, _single(fields), message, row_key(where))
-    rows = child.where(not_null(fields))
-    if not all(_same_family(child.schema[c], parent.schema[p]) for c, p in zip(fields, targets)):
-        return rows.selectExpr(*report)
-
-    shared = [f"_f{i}" for i in range(len(fields))]
-    keyed = rows.selectExpr(*[f"{name(c)} AS {s}" for c, s in zip(fields, shared)], *[name(c) for c in where])
-    parents = parent.selectExpr(*[f"{_as_child(child, parent, c, p)} AS {s}" for c, p, s in zip(fields, targets, shared)])
-    if set(targets) != set(parent_table.primary_key) and tuple(targets) not in parent_table.unique:
-        parents = parents.distinct()
-    if broadcasts_by_itself(parents):
-        return keyed.join(parents, shared, "left_anti").selectExpr(*report)
-    wanted = keyed.groupBy(*shared).agg(F.count(F.lit(1)).alias("_n"))
-    missing = wanted.join(parents, shared, "left_anti")
-    return rows_of_groups(keyed, missing, shared).selectExpr(*report)
+    lookups = Lookups(table, child)
+    lookups.add(fk, parent_table, parent)
+    return _union([apply_rules(lookups.probed, table, lookups.rules, where), *lookups.large_violations(where)])
 
 
 def _as_child(child: DataFrame, parent: DataFrame, field: str, target: str) -> str:
@@ -540,22 +589,27 @@ def validate(
             continue
         locator = locator_of(table, df, locators)
         notes.extend(unsupported_notes(table, df))
-        parts.append(apply_rules(df, table, typed_rules(table, df), locator))
-        repeats.add(key_repeats(table, df, locator))
+        lookups = Lookups(table, df)
+        present = {c.casefold() for c in df.columns}
         for fk in table.foreign_keys:
             parent = _lookup(data, fk.parent)
-            if parent is not None:
-                parts.append(foreign_key_missing(table, df, fk, spec.table(fk.parent), parent, locator))
+            if parent is not None and all(c.casefold() in present for c in fk.columns):
+                lookups.add(fk, spec.table(fk.parent), parent)
+        parts.append(apply_rules(lookups.probed, table, [*typed_rules(table, df), *lookups.rules], locator))
+        parts.extend(lookups.large_violations(locator))
+        repeats.add(key_repeats(table, df, locator))
     return _union([literal_rows(spark, notes, FIELDS), *parts, *repeats.parts()])
 
 
 def summarize(violations: DataFrame, samples: int = 3) -> DataFrame:
     """Violation counts per kind, table and column, with the first row keys.
 
-    The rank limit is applied before the shuffle as well, so a kind with very
-    many violations sends at most `samples` rows per task to its group.
+    The violations are written once and read twice. The rank limit is applied
+    before the shuffle as well, so a kind with very many violations sends at
+    most `samples` rows per task to its group.
     """
     group = ["kind", "table_name", "column_name"]
+    violations = written(violations)
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("row_key"))
     first = (
         violations.select(*group, "row_key")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rowsmith.operators.shared import rows_of_groups
+from rowsmith.operators.shared import repeat_rows, rows_of_groups
 from rowsmith.plans import tpch
 from rowsmith.plans.registry import query
 from rowsmith.plans.select import guarded_select
@@ -230,12 +230,20 @@ def q_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
         "union": customer.union(keys("supplier", "s_suppkey")).distinct(),
         "intersect": orders.intersect(events),
         "except": customer.subtract(orders),
-        "except_all": orders.exceptAll(events),
+        "except_all": except_all(orders, events, "k"),
     }
     tagged = [df.select(F.lit(op).alias("op"), "k") for op, df in parts.items()]
     return tagged[0].union(tagged[1]).union(tagged[2]).union(tagged[3])
 
 
+def except_all(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """EXCEPT ALL by counting: a value with very many copies is unrolled by all tasks."""
+    kept = left.groupBy(key).agg(F.count(F.lit(1)).alias("_left"))
+    lost = right.groupBy(key).agg(F.count(F.lit(1)).alias("_right"))
+    times = (F.col("_left") - F.coalesce("_right", F.lit(0))).alias("_times")
+    return repeat_rows(kept.join(lost, key, "left").select(key, times), "_times", [key])
+
+
 @query(
     "q_subquery",
     """SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT avg(CAST(o_totalprice AS DECIMAL(12,2))) * 1.5 FROM orders i WHERE i.o_custkey = o.o_custkey)
