@@ -254,11 +254,11 @@ def column_range(table: Table, column: SpecColumn, plan: ColumnPlan | None, wind
     allowed = allowed_values(table, column, plan)
     ticks = None
     if allowed is not None:
-        ticks = tuple(t for t in sorted({to_tick(v, column) for v in allowed}) if low <= t <= high)
+        ticks = tuple(t for t in sorted({to_tick(v, column) for v in allowed if _is_tick(v, column)}) if low <= t <= high)
         if ticks:
             low, high = ticks[0], ticks[-1]
     if low > high or ticks == ():
-        raise GenerationError(f"{table.name}.{column.name} has an empty range after its checks, plan and type")
+        raise GenerationError(f"{table.name}.{column.name}: checks, plan and type leave no value")
     if high - low >= LONG_LIMIT:
         raise GenerationError(f"{table.name}.{column.name} has more than 2^62 possible values; bound it")
     return Range(low, high, ticks)
@@ -285,7 +285,7 @@ def allowed_values(table: Table, column: SpecColumn, plan: ColumnPlan | None) ->
     if column.type.name == "ENUM":
         values = [v for v in values if v in column.type.values]
     if not values:
-        raise GenerationError(f"{table.name}.{column.name} has no value left after its checks and categories")
+        raise GenerationError(f"{table.name}.{column.name}: checks and categories share no value")
     return values
 
 
@@ -313,19 +313,19 @@ def column_order(table: Table) -> ColumnOrder | None:
         left, right = table.column(pair.left), table.column(pair.right)
         problem = None
         if not pair.conjunct:
-            problem = "column comparisons under OR/NOT are not supported"
+            problem = "columns compared inside OR or NOT give no order to draw in"
         elif pair.op not in ORDERING:
-            problem = f"operator {pair.op!r} between two columns is not supported"
+            problem = f"{pair.op!r} between columns gives no order to draw in"
         elif left.name in constrained or right.name in constrained:
-            problem = "comparisons over a key column or a unique column are not supported"
+            problem = "key and unique columns are not drawn in order"
         elif left.type != right.type:
-            problem = f"{left.name} and {right.name} do not share one comparable type"
+            problem = f"{left.name} and {right.name} differ in type"
         elif left.type.name not in ORDERED:
-            problem = f"type {left.type.name} cannot be ordered across columns"
+            problem = f"type {left.type.name} has no ticks to order"
         elif left.name == right.name and pair.op in ("<", ">"):
-            problem = "a column cannot be strictly ordered against itself"
+            problem = "no value lies below itself"
         if problem:
-            raise GenerationError(f"cannot generate data for {table.name} CHECK ({pair.text}): {problem}")
+            raise GenerationError(f"{table.name} CHECK ({pair.text}): {problem}")
         if left.name != right.name:
             low, high = (left.name, right.name) if pair.op in ("<", "<=") else (right.name, left.name)
             edges.add((low, high, pair.op in ("<", ">")))
@@ -336,7 +336,7 @@ def column_order(table: Table) -> ColumnOrder | None:
     while len(drawn) < len(involved):
         ready = [c for c in involved if c not in drawn and all(low in drawn for low, high, _ in edges if high == c)]
         if not ready:
-            raise GenerationError(f"cannot generate data for {table.name}: its column comparisons form a cycle")
+            raise GenerationError(f"{table.name}: its compared columns form a circle")
         drawn.extend(ready)
     return ColumnOrder(tuple(drawn), tuple(sorted(edges)))
 
@@ -352,7 +352,7 @@ def narrowed_ranges(table: Table, order: ColumnOrder, ranges: dict[str, Range])
         for other, strict in order.above(c):
             high[c] = min(high[c], high[other] - strict)
         if low[c] > high[c]:
-            raise GenerationError(f"{table.name}.{c} has an empty range after combining its column comparisons")
+            raise GenerationError(f"{table.name}.{c}: the compared columns leave it no value")
     return {c: Range(low[c], high[c], ranges[c].allowed) for c in order.columns}
 
 
@@ -483,7 +483,7 @@ class Generator:
                 continue
             lenders = {fk.parent for fk in table.foreign_keys if set(fk.columns) & set(table.primary_key)}
             if table.name in lenders:
-                raise GenerationError(f"table {table.name!r} cannot derive its key from a self-referencing foreign key")
+                raise GenerationError(f"the primary key of {table.name} borrows from itself")
             needs[table.name] = lenders
         ordered: list[Table] = []
         while len(ordered) < len(needs):
@@ -491,7 +491,7 @@ class Generator:
             ready = [t for t in self.spec.tables if t.name not in done and needs[t.name] <= done]
             if not ready:
                 stuck = sorted(set(needs) - done)
-                raise GenerationError(f"foreign keys inside primary keys form a cycle across {', '.join(stuck)}")
+                raise GenerationError(f"primary keys borrow from each other in a circle: {', '.join(stuck)}")
             ordered.extend(ready)
         return ordered
 
@@ -513,11 +513,11 @@ class Generator:
         parents = [self.parents(table, fk) for fk in sources]
         capacity = prod(p.size for p in parents)
         if capacity == 0:
-            raise GenerationError(f"table {table.name!r} cannot borrow keys: a parent has no usable rows")
+            raise GenerationError(f"the primary key of {table.name} borrows from a parent without usable rows")
         if not local:
             if capacity < built.rows:
                 raise GenerationError(
-                    f"table {table.name!r} needs {built.rows} distinct key combinations but its parents offer {capacity}"
+                    f"{table.name}: {built.rows} keys are wanted, the parents combine to {capacity}"
                 )
             combination = self.spread(table, "key", capacity, built.rows)
         else:
@@ -544,14 +544,14 @@ class Generator:
             start = max(allowed.low, 1)
             if start + most - 1 > allowed.high:
                 raise GenerationError(
-                    f"{table.name}.{column.name} cannot number {most} rows of one parent within {start}..{allowed.high}"
+                    f"{table.name}.{column.name}: {most} rows of one parent do not fit {start}..{allowed.high}"
                 )
             closed[column.name] = lambda row: f"{ordinal(row)} + {lit(start)}"
             return
         sizes = [self._finite_size(table, c, most) for c in columns]
         if prod(sizes) < most:
             names = ", ".join(c.name for c in columns)
-            raise GenerationError(f"could not build distinct key columns ({names}) for {table.name}")
+            raise GenerationError(f"{table.name} ({names}): {most} rows of one parent are more than their values combine to")
         step = 1
         for column, size in zip(columns, sizes):
             closed[column.name] = self.nth_value(table, column, self._digit(ordinal, step, size), size)
@@ -610,14 +610,14 @@ class Generator:
         start = max(allowed.low, 1)
         if start + rows - 1 > allowed.high:
             raise GenerationError(
-                f"{table.name}.{column.name} cannot allocate {rows} sequential keys within {start}..{allowed.high}"
+                f"{table.name}.{column.name}: {rows} counted keys do not fit {start}..{allowed.high}"
             )
         return lambda row: f"CAST({row} AS BIGINT) + {lit(start)}"
 
     def unique_value(self, table: Table, column: SpecColumn, rows: int) -> Expression:
         size = self._finite_size(table, column, rows)
         if size < rows:
-            raise GenerationError(f"{table.name} ({column.name}) needs {rows} distinct values but offers only {size}")
+            raise GenerationError(f"{table.name}.{column.name}: {rows} different values are wanted, {size} exist")
         if column.type.name in ("VARCHAR", "TEXT") and allowed_values(table, column, self.column_plan(table, column)) is None:
             return self._unique_text(table, column, lambda row: row, rows)
         return self.nth_value(table, column, self.spread(table, column.name, size, rows), size)
@@ -626,7 +626,7 @@ class Generator:
         """Readable text made unique by a fixed-width suffix that fits the length."""
         width, length = digits36(count), column.type.length
         if length is not None and length < width:
-            raise GenerationError(f"could not produce {count} unique values for {table.name}.{column.name}")
+            raise GenerationError(f"{table.name}.{column.name}: {count} different texts do not fit {length} characters")
         token = self.token(table, column)
         words = self.text(table, column)
 
@@ -713,9 +713,12 @@ class Generator:
 
     def with_default(self, table: Table, column: SpecColumn, value: Expression) -> Expression:
         default = default_value(column)
+        draws = self.draws(table, column)
+        if column.nullable and (column.default or "").upper() == "NULL":
+            self.tables[table.name].holes.add(column.name)
+            return lambda row: f"CASE WHEN {draws.below(DEFAULT_SHARE, row, 'default')} <> 0 THEN {value(row)} END"
         if default is None or default == CURRENT_TIMESTAMP:
             return value
-        draws = self.draws(table, column)
         typed = f"CAST({lit(default)} AS {sql_type(column.type.spark_type())})"
         return lambda row: f"CASE WHEN {draws.below(DEFAULT_SHARE, row, 'default')} = 0 THEN {typed} ELSE {value(row)} END"
 
@@ -839,7 +842,7 @@ class Generator:
             if all(item[0].table.column(c).nullable for c in item[1].columns):
                 return item
         edges = ", ".join(f"{built.table.name}{fk}" for built, fk in pending)
-        raise GenerationError(f"cannot assign foreign keys: {edges} form a cycle of NOT NULL references")
+        raise GenerationError(f"required foreign keys wait for each other: {edges}")
 
     def _all_null(self, built: Built, fk: ForeignKey) -> None:
         for column in fk.columns:
@@ -853,7 +856,7 @@ class Generator:
         parents = self.parents(table, fk)
         if parents.size == 0:
             if not nullable:
-                raise GenerationError(f"{table.name} requires a parent row in {fk.parent} but none is available")
+                raise GenerationError(f"{table.name} {fk}: the parent has no usable rows and the key may not be NULL")
             self._all_null(built, fk)
             return
         label = "|".join(fk.columns)
@@ -861,7 +864,7 @@ class Generator:
         if any(set(fk.columns) == set(g) for g in groups):
             if parents.size < built.rows:
                 raise GenerationError(
-                    f"{table.name} needs {built.rows} distinct references to {fk.parent} but only {parents.size} exist"
+                    f"{table.name} {fk}: {built.rows} different parents are wanted, {parents.size} exist"
                 )
             index = self.spread(table, label, parents.size, built.rows)
         else:
@@ -915,9 +918,9 @@ def row_counts(
         name = table.name.casefold()
         count = rows if isinstance(rows, int) else asked.get(name, planned.get(name, DEFAULT_ROWS))
         if count < 1:
-            raise GenerationError(f"table {table.name!r} needs at least one row")
+            raise GenerationError(f"{table.name}: a row count below 1")
         if max_rows is not None and count > max_rows:
-            raise GenerationError(f"table {table.name!r} requests {count} rows, above the maximum of {max_rows}")
+            raise GenerationError(f"{table.name}: {count} rows are more than the allowed {max_rows}")
         counts[table.name] = count
     return counts
 
@@ -932,20 +935,19 @@ def preflight(
             continue
         refused = supported_checks(table)[1]
         if refused:
-            raise GenerationError(f"cannot generate data for unsupported check constraint: {table.name} ({refused[0][1]})")
+            raise GenerationError(f"{table.name} CHECK ({refused[0][1]}) cannot be evaluated, so it cannot be met")
         for first, second in combinations(table.foreign_keys, 2):
             if set(first.columns) & set(second.columns) and first != second:
-                raise GenerationError(f"table {table.name!r} has overlapping foreign keys: {first} and {second}")
+                raise GenerationError(f"{table.name}: foreign keys {first} and {second} share columns")
         for fk in table.foreign_keys:
             shared = set(fk.columns) & set(table.primary_key)
             if shared and shared != set(fk.columns):
-                raise GenerationError(f"table {table.name!r} has a foreign key only partly inside its primary key: {fk}")
+                raise GenerationError(f"{table.name}: foreign key {fk} lies only partly inside the primary key")
         for group in [g for g in (*table.unique, table.primary_key) if g]:
             sizes = [_declared_size(table, table.column(c)) for c in group]
             if None not in sizes and prod(sizes) < rows[table.name]:
                 raise GenerationError(
-                    f"{table.name} ({', '.join(group)}) needs {rows[table.name]} distinct values "
-                    f"but its domain offers only {prod(sizes)}"
+                    f"{table.name} ({', '.join(group)}): {rows[table.name]} different tuples are wanted, {prod(sizes)} exist"
                 )
         orders[table.name] = column_order(table)
         for column in table.columns:
@@ -967,17 +969,17 @@ def _check_hints(table: Table, column: SpecColumn, plan: ColumnPlan | None) -> N
         return
     where = f"{table.name}.{column.name}"
     if plan.distribution not in vocab.DISTRIBUTIONS:
-        raise GenerationError(f"{where} asks for the {plan.distribution!r} distribution, which is not supported")
+        raise GenerationError(f"{where}: no distribution is called {plan.distribution!r}")
     for hint in (plan.generator, plan.semantic_type):
         if hint and not vocab.is_known_generator(hint):
-            raise GenerationError(f"{where} asks for the unknown generator {hint!r}")
+            raise GenerationError(f"{where}: no generator is called {hint!r}")
     if plan.categories:
         if column.type.name == "ENUM":
             outside = [c for c in plan.categories if c not in column.type.values]
             if outside:
-                raise GenerationError(f"{where} plans categories outside its ENUM domain: {outside}")
+                raise GenerationError(f"{where}: categories {outside} are no values of the ENUM")
         elif column.type.name not in ("VARCHAR", "TEXT"):
-            raise GenerationError(f"{where} plans categories, which do not apply to type {column.type.name}")
+            raise GenerationError(f"{where}: categories need a text or ENUM column, not {column.type.name}")
 
 
 def generate(
@@ -1002,5 +1004,5 @@ def generate(
     try:
         assert_valid(spark, spec, data)
     except DataValidationError as error:
-        raise GenerationError(f"generated dataset does not satisfy the spec: {error}") from error
+        raise GenerationError(f"the generated tables break their own spec: {error}") from error
     return data

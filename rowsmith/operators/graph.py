@@ -2,7 +2,8 @@
 
 An edge (src, dst) says that src depends on dst. All steps are joins and
 aggregations over edges, repeated until nothing changes; each round is
-written to the shared checkpoint folder, so plans stay short.
+written to the shared checkpoint folder, so plans stay short. A node may hold
+any share of the edges: edges meet node tables through `even_join`.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.operators.shared import materialize
+from rowsmith.operators.shared import even_join, materialize
 
 
 class CycleError(ValueError):
@@ -43,7 +44,8 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         open_nodes = materialize(open_nodes.join(blocked, "node", "left_semi"))
         if open_nodes.isEmpty():
             break
-        waiting = materialize(waiting.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        settled_targets = ready.select(F.col("node").alias("dst"))
+        waiting = materialize(even_join(waiting, settled_targets, ["dst"], "left_anti").select("src", "dst"))
         level += 1
     result = settled[0]
     for part in settled[1:]:
@@ -67,20 +69,15 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         if core.isEmpty():
             break
         colour = _spread_smallest(core)
-        coloured = (
-            core.join(colour.withColumnsRenamed({"node": "src", "colour": "a"}), "src")
-            .join(colour.withColumnsRenamed({"node": "dst", "colour": "b"}), "dst")
-            .where("a = b")
-            .select("src", "dst", F.col("a").alias("colour"))
-        )
+        starts = even_join(core, colour.withColumnsRenamed({"node": "src", "colour": "a"}), ["src"])
+        both = even_join(starts, colour.withColumnsRenamed({"node": "dst", "colour": "b"}), ["dst"])
+        coloured = both.where("a = b").select("src", "dst", F.col("a").alias("colour"))
         members = _reach_back(materialize(coloured), colour)
         found.append(members)
         done = members.select("node")
-        core = materialize(
-            core.join(done.withColumnRenamed("node", "src"), "src", "left_anti")
-            .join(done.withColumnRenamed("node", "dst"), "dst", "left_anti")
-            .select("src", "dst")
-        )
+        outside = even_join(core, done.withColumnRenamed("node", "src"), ["src"], "left_anti")
+        outside = even_join(outside, done.withColumnRenamed("node", "dst"), ["dst"], "left_anti")
+        core = materialize(outside.select("src", "dst"))
     named = None
     for part in found:
         named = part if named is None else named.union(part)
@@ -103,12 +100,9 @@ def dependency_groups(edges: DataFrame) -> DataFrame:
     """(node, component, level): components in dependency-first layers."""
     edges = materialize(edges.select("src", "dst").distinct())
     labelled = materialize(components(edges))
-    between = (
-        edges.join(labelled.withColumnsRenamed({"node": "src", "component": "a"}), "src")
-        .join(labelled.withColumnsRenamed({"node": "dst", "component": "b"}), "dst")
-        .where("a <> b")
-        .select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    )
+    starts = even_join(edges, labelled.withColumnsRenamed({"node": "src", "component": "a"}), ["src"])
+    both = even_join(starts, labelled.withColumnsRenamed({"node": "dst", "component": "b"}), ["dst"])
+    between = both.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     groups = labelled.select(F.col("component").alias("node")).distinct()
     order = levels(between, groups).withColumnRenamed("node", "component")
     return labelled.join(order, "component").select("node", "component", "level")
@@ -120,7 +114,8 @@ def _trim(core: DataFrame) -> DataFrame:
     while True:
         heads = core.select(F.col("dst").alias("src")).distinct()
         tails = core.select(F.col("src").alias("dst")).distinct()
-        kept = materialize(core.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
+        kept = even_join(even_join(core, heads, ["src"], "left_semi"), tails, ["dst"], "left_semi")
+        kept = materialize(kept.select("src", "dst"))
         left = kept.count()
         if left == 0 or left == size:
             return kept
@@ -132,7 +127,7 @@ def _spread_smallest(core: DataFrame) -> DataFrame:
     colour = materialize(nodes_of(core).select("node", F.col("node").alias("colour")))
     while True:
         passed = (
-            core.join(colour.withColumnRenamed("node", "src"), "src")
+            even_join(core, colour.withColumnRenamed("node", "src"), ["src"])
             .groupBy(F.col("dst").alias("node"))
             .agg(F.min("colour").alias("offer"))
         )
@@ -154,7 +149,7 @@ def _reach_back(coloured: DataFrame, colour: DataFrame) -> DataFrame:
     frontier = members
     while True:
         step = (
-            coloured.join(frontier.select(F.col("node").alias("dst"), F.col("component").alias("colour")), ["dst", "colour"])
+            even_join(coloured, frontier.select(F.col("node").alias("dst"), F.col("component").alias("colour")), ["dst", "colour"])
             .select(F.col("src").alias("node"), F.col("colour").alias("component"))
             .distinct()
             .join(members, ["node", "component"], "left_anti")

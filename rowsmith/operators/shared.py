@@ -107,6 +107,13 @@ def narrow_key(df: DataFrame, column: str, declared_length: int | None) -> str:
     return name(column)
 
 
+def fits_broadcast(df: DataFrame, columns: Sequence[str]) -> bool:
+    """Whether a written table is small enough to broadcast, by measuring it."""
+    width = " + ".join(f"coalesce(octet_length(CAST({name(c)} AS STRING)), 1) + 16" for c in columns)
+    measured = df.agg(F.expr(f"sum(CAST({width} AS BIGINT))").alias("bytes")).first()
+    return (measured["bytes"] or 0) * 2 <= BROADCAST_BYTES
+
+
 def rows_of_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join rows to the groups they belong to, whatever the size of a group.
 
@@ -117,15 +124,31 @@ def rows_of_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> D
     """
     keys = list(keys)
     groups = materialize(groups)
-    width = " + ".join(f"coalesce(octet_length(CAST({name(k)} AS STRING)), 1) + 16" for k in keys)
-    measured = groups.agg(F.expr(f"sum(CAST({width} AS BIGINT))").alias("bytes")).first()
-    if (measured["bytes"] or 0) * 2 <= BROADCAST_BYTES:
+    if fits_broadcast(groups, keys):
         return rows.join(F.broadcast(groups), keys)
     hot = groups.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
+    return _split_join(rows, groups, keys, hot, "inner")
+
+
+def even_join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows to a table with one row per key, where a key may repeat in `rows` without bound.
+
+    `how` is inner, left_semi or left_anti. Works as `rows_of_groups`, with the
+    heaviest keys counted here.
+    """
+    keys = list(keys)
+    keyed = materialize(keyed)
+    if fits_broadcast(keyed, keyed.columns):
+        return rows.join(F.broadcast(keyed), keys, how)
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return _split_join(rows, keyed, keys, counted.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS), how)
+
+
+def _split_join(rows: DataFrame, keyed: DataFrame, keys: list[str], hot: DataFrame, how: str) -> DataFrame:
+    """Broadcast what belongs to the hot keys (a fixed number), shuffle the rest."""
     hot_keys = F.broadcast(hot.select(*keys))
-    cold_groups = groups.join(hot_keys, keys, "left_anti")
-    hot_rows = rows.join(F.broadcast(hot), keys)
-    cold_rows = rows.join(hot_keys, keys, "left_anti").join(cold_groups, keys)
+    hot_rows = rows.join(hot_keys, keys, "left_semi").join(F.broadcast(keyed.join(hot_keys, keys, "left_semi")), keys, how)
+    cold_rows = rows.join(hot_keys, keys, "left_anti").join(keyed.join(hot_keys, keys, "left_anti"), keys, how)
     return hot_rows.unionByName(cold_rows)
 
 

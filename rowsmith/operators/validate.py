@@ -156,7 +156,7 @@ def typed_rules(table: Table, df: DataFrame) -> list[Rule]:
         field = physical.get(column.name.casefold())
         typed_null = f"CAST(NULL AS {sql_type(column.type.spark_type())})"
         if field is None:
-            operands[column.name] = Operand(typed_null, "TRUE")
+            operands[column.name] = Operand(comparable(column, typed_null), "TRUE")
             if not column.nullable and column.default is None:
                 rules.append(_missing(table, column, "TRUE"))
             continue
@@ -164,16 +164,21 @@ def typed_rules(table: Table, df: DataFrame) -> list[Rule]:
         if not column.nullable:
             rules.append(_null(table, column, f"{value} IS NULL"))
         if matches_type(column, field.dataType):
-            operands[column.name] = Operand(value, f"{value} IS NULL")
+            operands[column.name] = Operand(comparable(column, value), f"{value} IS NULL")
             rules.extend(value_rules(table, column, value, field.dataType))
         else:
             rules.append(_mistyped(table, column, f"{value} IS NOT NULL"))
-            operands[column.name] = Operand(typed_null, f"{value} IS NULL", f"{value} IS NOT NULL")
+            operands[column.name] = Operand(comparable(column, typed_null), f"{value} IS NULL", f"{value} IS NOT NULL")
     if table.primary_key and all(c.casefold() in physical for c in table.primary_key):
         rules.append(key_null_rule(table))
     return rules + check_rules(table, operands, df)
 
 
+def comparable(column: SpecColumn, value: str) -> str:
+    """A value as checks compare it: booleans count as the numbers 0 and 1."""
+    return f"CAST({value} AS INT)" if column.type.name == "BOOLEAN" else value
+
+
 def _missing(table: Table, column: SpecColumn, broken: str) -> Rule:
     return Rule("missing_column", column.name, f"{table.name} lacks required column {column.name!r}", broken)
 
@@ -306,7 +311,7 @@ def raw_violations(table: Table, df: DataFrame, raw: str, locator: Sequence[str]
         if column.type.name in _RAW_FORMS:
             rules.append(_mistyped(table, column, wrong))
         rules.extend(value_rules(table, column, value))
-        operands[column.name] = Operand(value, f"{source} IS NULL", wrong)
+        operands[column.name] = Operand(comparable(column, value), f"{source} IS NULL", wrong)
     for rule in check_rules(table, operands, None):
         rules.append(Rule(rule.kind, rule.column, rule.message, f"{mapping} AND ({rule.broken})", dynamic=True))
 
@@ -455,9 +460,9 @@ class Lookups:
     def __init__(self, table: Table, child: DataFrame) -> None:
         self.table, self.child, self.probed = table, child, child
         self.rules: list[Rule] = []
-        self.large: list[tuple[ForeignKey, Table, DataFrame]] = []
+        self.large: list[tuple[ForeignKey, DataFrame]] = []
 
-    def add(self, fk: ForeignKey, parent_table: Table, parent: DataFrame) -> None:
+    def add(self, fk: ForeignKey, parent: DataFrame) -> None:
         complete = not_null(fk.columns)
         if not _comparable(self.child, fk, parent):
             self._rule(fk, complete)
@@ -466,7 +471,7 @@ class Lookups:
         shared = [f"_f{position}_{i}" for i in range(len(fk.columns))]
         keys = _parent_keys(self.child, fk, parent, shared)
         if not broadcasts_by_itself(keys):
-            self.large.append((fk, parent_table, parent))
+            self.large.append((fk, parent))
             return
         found = f"_p{position}"
         keys = keys.distinct().selectExpr(*shared, f"TRUE AS {found}")
@@ -478,9 +483,9 @@ class Lookups:
         self.rules.append(Rule("foreign_key_missing", _single(fk.columns), foreign_key_message(self.table, fk), broken))
 
     def large_violations(self, locator: Sequence[str]) -> list[DataFrame]:
-        return [self._large(fk, parent_table, parent, locator) for fk, parent_table, parent in self.large]
+        return [self._large(fk, parent, locator) for fk, parent in self.large]
 
-    def _large(self, fk: ForeignKey, parent_table: Table, parent: DataFrame, locator: Sequence[str]) -> DataFrame:
+    def _large(self, fk: ForeignKey, parent: DataFrame, locator: Sequence[str]) -> DataFrame:
         shared = [f"_f{i}" for i in range(len(fk.columns))]
         report = _violation(
             "foreign_key_missing", self.table, _single(fk.columns), foreign_key_message(self.table, fk), row_key(locator)
@@ -488,25 +493,24 @@ class Lookups:
         keyed = self.child.where(not_null(fk.columns)).selectExpr(
             *[f"{name(c)} AS {s}" for c, s in zip(fk.columns, shared)], *[name(c) for c in locator]
         )
-        keys = _parent_keys(self.child, fk, parent, shared)
-        if set(fk.parent_columns) != set(parent_table.primary_key) and tuple(fk.parent_columns) not in parent_table.unique:
-            keys = keys.distinct()
+        # The join needs this shuffle anyway, and repeats leave before it.
+        keys = _parent_keys(self.child, fk, parent, shared).distinct()
         wanted = keyed.groupBy(*shared).agg(F.count(F.lit(1)).alias("_n"))
         missing = wanted.join(keys, shared, "left_anti")
         return rows_of_groups(keyed, missing, shared).selectExpr(*report)
 
 
 def foreign_key_message(table: Table, fk: ForeignKey) -> str:
-    return f"{table.name} references {fk.parent} ({', '.join(fk.parent_columns)}), which does not exist"
+    return f"{table.name} names a {fk.parent} ({', '.join(fk.parent_columns)}) that is not there"
 
 
 def foreign_key_missing(
-    table: Table, child: DataFrame, fk: ForeignKey, parent_table: Table, parent: DataFrame, locator: Sequence[str] | None = None
+    table: Table, child: DataFrame, fk: ForeignKey, parent: DataFrame, locator: Sequence[str] | None = None
 ) -> DataFrame:
     """Child rows whose complete foreign key has no parent row."""
     where = list(locator or table.primary_key) or list(child.columns)
     lookups = Lookups(table, child)
-    lookups.add(fk, parent_table, parent)
+    lookups.add(fk, parent)
     return _union([apply_rules(lookups.probed, table, lookups.rules, where), *lookups.large_violations(where)])
 
 
@@ -594,7 +598,7 @@ def validate(
         for fk in table.foreign_keys:
             parent = _lookup(data, fk.parent)
             if parent is not None and all(c.casefold() in present for c in fk.columns):
-                lookups.add(fk, spec.table(fk.parent), parent)
+                lookups.add(fk, parent)
         parts.append(apply_rules(lookups.probed, table, [*typed_rules(table, df), *lookups.rules], locator))
         parts.extend(lookups.large_violations(locator))
         repeats.add(key_repeats(table, df, locator))

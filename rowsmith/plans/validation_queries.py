@@ -429,7 +429,7 @@ def val_unique_tuple(spark: SparkSession, sf_dir: str) -> DataFrame:
 def val_fk_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = tpch.DOCUMENTS
     documents, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
-    return shown(v.foreign_key_missing(table, documents, table.foreign_keys[0], tpch.LABELS, labels))
+    return shown(v.foreign_key_missing(table, documents, table.foreign_keys[0], labels))
 
 
 @query(
@@ -447,7 +447,7 @@ def val_fk_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = tpch.LINEITEM
     finished = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     lineitem = load(spark, sf_dir, "lineitem")
-    return shown(v.foreign_key_missing(table, lineitem, table.foreign_keys[0], tpch.ORDERS, finished))
+    return shown(v.foreign_key_missing(table, lineitem, table.foreign_keys[0], finished))
 
 
 @query(
@@ -470,7 +470,7 @@ def val_fk_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     table = DatasetSpec((table,)).table("turns")
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("nullif(turn + 1, 4)").alias("next_turn"))
-    return shown(v.foreign_key_missing(table, turns, table.foreign_keys[0], table, turns))
+    return shown(v.foreign_key_missing(table, turns, table.foreign_keys[0], turns))
 
 
 @query(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,8 @@ def write_dataset(spark: SparkSession, spec: DatasetSpec, data: Mapping[str, Dat
     Rows are computed once: validation reads the written files. Checks that
     cannot be evaluated do not block a write.
     """
+    if is_published(spark, path):
+        raise StoreError(f"{path} already holds a dataset; a new version needs its own path")
     given = {name.casefold(): df for name, df in data.items()}
     declared = {t.name.casefold() for t in spec.tables}
     # Problems with names and types must show before a cast could hide them.
@@ -95,12 +98,17 @@ def _storable(table: Table, df: DataFrame) -> bool:
     return True
 
 
-def read_spec(spark: SparkSession, path: str) -> DatasetSpec:
+def is_published(spark: SparkSession, path: str) -> bool:
     try:
-        row = spark.read.text(f"{path}/{SPEC_FOLDER}", wholetext=True).first()
-    except Exception as error:
-        raise StoreError(f"{path} holds no published dataset") from error
-    return DatasetSpec.from_json(row["value"])
+        return not spark.read.text(f"{path}/{SPEC_FOLDER}").isEmpty()
+    except AnalysisException:
+        return False
+
+
+def read_spec(spark: SparkSession, path: str) -> DatasetSpec:
+    if not is_published(spark, path):
+        raise StoreError(f"{path} holds no published dataset")
+    return DatasetSpec.from_json(spark.read.text(f"{path}/{SPEC_FOLDER}", wholetext=True).first()["value"])
 
 
 def read_table(spark: SparkSession, location: str, table: Table) -> DataFrame:

@@ -168,6 +168,8 @@ def test_circular_dataset_round_trip_with_defaults(spark, tmp_path):
     assert spec == TEAM
     assert data["Team"].first() == (1, "core", Decimal("100.00"), 7)
     assert data["Team"].schema["budget"].dataType.simpleString() == "decimal(9,2)"
+    with pytest.raises(store.StoreError, match="already holds"):
+        store.write_dataset(spark, TEAM, team(spark), path)
 
 
 def test_failed_write_publishes_nothing(spark, tmp_path):

@@ -85,7 +85,7 @@ def test_missing_parent_of_a_hot_key(spark, large, request):
         request.getfixturevalue("no_broadcast")
     parents = spark.range(1, 700).where("id % 2 = 0").withColumnRenamed("id", "k")
     spec = DatasetSpec((TABLE, PARENT))
-    got = v.foreign_key_missing(spec.table("t"), rows(spark), spec.table("t").foreign_keys[0], PARENT, parents)
+    got = v.foreign_key_missing(spec.table("t"), rows(spark), spec.table("t").foreign_keys[0], parents)
     expected = [str(i) for i, k in enumerate(repeats()[0]) if k == 0 or k % 2]
     assert sorted(r["row_key"] for r in got.collect()) == sorted(expected)
 
@@ -95,7 +95,7 @@ def test_foreign_key_to_a_column_that_repeats(spark, no_broadcast):
     parent = Table("t", TABLE.columns, ("id",))
     spec = DatasetSpec((child, parent))
     children = spark.createDataFrame([(1, "word 0"), (2, "word 9999"), (3, None)], "id bigint, t string")
-    got = v.foreign_key_missing(spec.table("c"), children, spec.table("c").foreign_keys[0], parent, rows(spark))
+    got = v.foreign_key_missing(spec.table("c"), children, spec.table("c").foreign_keys[0], rows(spark))
     assert [r["row_key"] for r in got.collect()] == ["2"]
 
 
