@@ -11,13 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.operators.shared import even_join, materialize
+from rowsmith.operators.shared import even_join, fits_broadcast, materialize
 
 
 class CycleError(ValueError):
     """Levels were asked of a graph that has a cycle."""
 
 
+def _small(edges: DataFrame) -> bool:
+    """Whether the names in an edge table, and so any table of its nodes, fit a broadcast."""
+    return fits_broadcast(edges, ["src", "dst"])
+
+
 def nodes_of(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node")))
     return ends.distinct()
@@ -30,6 +35,7 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     rounds is the depth of the graph.
     """
     waiting = materialize(edges.select("src", "dst").distinct())
+    small = _small(waiting)
     open_nodes = materialize((nodes.select("node") if nodes is not None else nodes_of(waiting)).distinct())
     settled: list[DataFrame] = []
     level = 0
@@ -45,7 +51,7 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         if open_nodes.isEmpty():
             break
         settled_targets = ready.select(F.col("node").alias("dst"))
-        waiting = materialize(even_join(waiting, settled_targets, ["dst"], "left_anti").select("src", "dst"))
+        waiting = materialize(even_join(waiting, settled_targets, ["dst"], "left_anti", small).select("src", "dst"))
         level += 1
     result = settled[0]
     for part in settled[1:]:
@@ -61,22 +67,23 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     along edges; nodes that also reach back to it form its component.
     """
     edges = materialize(edges.select("src", "dst").distinct())
+    small = _small(edges)
     everyone = (nodes.select("node") if nodes is not None else nodes_of(edges)).distinct()
     core = edges.where("src <> dst")
     found: list[DataFrame] = []
     while True:
-        core = _trim(core)
+        core = _trim(core, small)
         if core.isEmpty():
             break
-        colour = _spread_smallest(core)
-        starts = even_join(core, colour.withColumnsRenamed({"node": "src", "colour": "a"}), ["src"])
-        both = even_join(starts, colour.withColumnsRenamed({"node": "dst", "colour": "b"}), ["dst"])
+        colour = _spread_smallest(core, small)
+        starts = even_join(core, colour.withColumnsRenamed({"node": "src", "colour": "a"}), ["src"], small=small)
+        both = even_join(starts, colour.withColumnsRenamed({"node": "dst", "colour": "b"}), ["dst"], small=small)
         coloured = both.where("a = b").select("src", "dst", F.col("a").alias("colour"))
-        members = _reach_back(materialize(coloured), colour)
+        members = _reach_back(materialize(coloured), colour, small)
         found.append(members)
         done = members.select("node")
-        outside = even_join(core, done.withColumnRenamed("node", "src"), ["src"], "left_anti")
-        outside = even_join(outside, done.withColumnRenamed("node", "dst"), ["dst"], "left_anti")
+        outside = even_join(core, done.withColumnRenamed("node", "src"), ["src"], "left_anti", small)
+        outside = even_join(outside, done.withColumnRenamed("node", "dst"), ["dst"], "left_anti", small)
         core = materialize(outside.select("src", "dst"))
     named = None
     for part in found:
@@ -99,22 +106,23 @@ def cycles(edges: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 def dependency_groups(edges: DataFrame) -> DataFrame:
     """(node, component, level): components in dependency-first layers."""
     edges = materialize(edges.select("src", "dst").distinct())
+    small = _small(edges)
     labelled = materialize(components(edges))
-    starts = even_join(edges, labelled.withColumnsRenamed({"node": "src", "component": "a"}), ["src"])
-    both = even_join(starts, labelled.withColumnsRenamed({"node": "dst", "component": "b"}), ["dst"])
+    starts = even_join(edges, labelled.withColumnsRenamed({"node": "src", "component": "a"}), ["src"], small=small)
+    both = even_join(starts, labelled.withColumnsRenamed({"node": "dst", "component": "b"}), ["dst"], small=small)
     between = both.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     groups = labelled.select(F.col("component").alias("node")).distinct()
     order = levels(between, groups).withColumnRenamed("node", "component")
     return labelled.join(order, "component").select("node", "component", "level")
 
 
-def _trim(core: DataFrame) -> DataFrame:
+def _trim(core: DataFrame, small: bool) -> DataFrame:
     """Drop edges from nodes nothing points to and to nodes that point nowhere."""
     size = None
     while True:
         heads = core.select(F.col("dst").alias("src")).distinct()
         tails = core.select(F.col("src").alias("dst")).distinct()
-        kept = even_join(even_join(core, heads, ["src"], "left_semi"), tails, ["dst"], "left_semi")
+        kept = even_join(even_join(core, heads, ["src"], "left_semi", small), tails, ["dst"], "left_semi", small)
         kept = materialize(kept.select("src", "dst"))
         left = kept.count()
         if left == 0 or left == size:
@@ -122,12 +130,12 @@ def _trim(core: DataFrame) -> DataFrame:
         core, size = kept, left
 
 
-def _spread_smallest(core: DataFrame) -> DataFrame:
+def _spread_smallest(core: DataFrame, small: bool) -> DataFrame:
     """(node, colour): the smallest name that reaches each node."""
     colour = materialize(nodes_of(core).select("node", F.col("node").alias("colour")))
     while True:
         passed = (
-            even_join(core, colour.withColumnRenamed("node", "src"), ["src"])
+            even_join(core, colour.withColumnRenamed("node", "src"), ["src"], small=small)
             .groupBy(F.col("dst").alias("node"))
             .agg(F.min("colour").alias("offer"))
         )
@@ -143,13 +151,13 @@ def _spread_smallest(core: DataFrame) -> DataFrame:
             return colour
 
 
-def _reach_back(coloured: DataFrame, colour: DataFrame) -> DataFrame:
+def _reach_back(coloured: DataFrame, colour: DataFrame, small: bool) -> DataFrame:
     """Nodes that reach the node their colour is named after, inside the colour."""
     members = materialize(colour.where("node = colour").select("node", F.col("colour").alias("component")))
     frontier = members
     while True:
         step = (
-            even_join(coloured, frontier.select(F.col("node").alias("dst"), F.col("component").alias("colour")), ["dst", "colour"])
+            even_join(coloured, frontier.select(F.col("node").alias("dst"), F.col("component").alias("colour")), ["dst", "colour"], small=small)
             .select(F.col("src").alias("node"), F.col("colour").alias("component"))
             .distinct()
             .join(members, ["node", "component"], "left_anti")

@@ -130,13 +130,16 @@ def rows_of_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> D
     return _split_join(rows, groups, keys, hot, "inner")
 
 
-def even_join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def even_join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
     """Join rows to a table with one row per key, where a key may repeat in `rows` without bound.
 
     `how` is inner, left_semi or left_anti. Works as `rows_of_groups`, with the
-    heaviest keys counted here.
+    heaviest keys counted here. `small` says that the caller has measured a
+    bound on the keyed table already.
     """
     keys = list(keys)
+    if small:
+        return rows.join(F.broadcast(keyed), keys, how)
     keyed = materialize(keyed)
     if fits_broadcast(keyed, keyed.columns):
         return rows.join(F.broadcast(keyed), keys, how)

@@ -123,3 +123,13 @@ def test_row_rules_read_only_their_columns_once(spark, tmp_path):
 def test_checkpoint_folder_is_taken_from_the_session(spark):
     folder = shared.checkpoint_dir(spark)
     assert folder == spark.sparkContext.getCheckpointDir()
+
+
+def test_graph_steps_on_the_large_path(spark, no_broadcast):
+    from rowsmith.operators import graph
+
+    pairs = [(f"leaf{i:03d}", "hub") for i in range(200)] + [("hub", "root"), ("root", "hub"), ("root", "base")]
+    groups = graph.dependency_groups(spark.createDataFrame(pairs, "src string, dst string"))
+    found = {r["node"]: (r["component"], r["level"]) for r in groups.collect()}
+    assert found["base"] == ("base", 0) and found["hub"] == found["root"] == ("hub", 1)
+    assert len(found) == 203 and all(found[f"leaf{i:03d}"] == (f"leaf{i:03d}", 2) for i in range(200))
