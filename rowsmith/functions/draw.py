@@ -13,7 +13,6 @@ from math import gcd
 from rowsmith.functions.text import lit
 
 LONG_LIMIT = 2**62
-HASHES = ("xxhash64", "md5")
 
 
 @dataclass(frozen=True)

@@ -24,7 +24,7 @@ from rowsmith.functions.checks import ORDERING, column_bounds, column_pairs
 from rowsmith.functions.draw import LONG_LIMIT, Draws, digits36, permute, suffix36
 from rowsmith.operators.numbering import dense_index
 from rowsmith.functions.text import array, lit, name, not_null, sql_type
-from rowsmith.operators.shared import written
+from rowsmith.operators.shared import at_once, checkpoint_dir, written
 from rowsmith.operators.validate import DataValidationError, assert_valid, supported_checks
 from rowsmith.spec import CURRENT_TIMESTAMP, DatasetSpec, ForeignKey, SpecError, Table, default_value
 from rowsmith.spec import Column as SpecColumn
@@ -1000,7 +1000,9 @@ def generate(
     data = generator.build()
     if not check:
         return data
-    data = {t: df if t in generator.existing else written(df) for t, df in data.items()}
+    checkpoint_dir(spark)
+    own = [t for t in data if t not in generator.existing]
+    data.update(zip(own, at_once(lambda t: written(data[t]), own)))
     try:
         assert_valid(spark, spec, data)
     except DataValidationError as error:

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def at_once(action: Callable[[str], Any], names: Sequence[str]) -> list[Any]:
+    """Start the Spark jobs of several tables together, so small ones fill the gaps of large ones."""
+    with ThreadPoolExecutor(max_workers=max(1, min(8, len(names)))) as pool:
+        return list(pool.map(action, names))
+
+
 def ref(column: str) -> Column:
     return F.col(name(column))
 

@@ -8,7 +8,6 @@ group of columns; foreign keys cost one join.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from decimal import Decimal
 from functools import reduce
 
 from pyspark.errors import AnalysisException

@@ -17,7 +17,7 @@ from rowsmith.functions import vocab
 from rowsmith.functions.checks import between, cmp, col, in_
 from rowsmith.operators.generate import ROW, ColumnPlan, Generator, Plan, TablePlan, generate
 from rowsmith.operators.numbering import dense_index, number_within
-from rowsmith.operators.shared import written
+from rowsmith.operators.shared import at_once, checkpoint_dir, written
 from rowsmith.operators.validate import validate
 from rowsmith.plans.registry import query, sql_base36, sql_draw, sql_permute, sql_words
 from rowsmith.plans.tpch import load
@@ -695,7 +695,9 @@ def shop(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     rows = {"accounts": load(spark, sf_dir, "orders").count(), "payments": load(spark, sf_dir, "lineitem").count()}
     existing = {"customer": load(spark, sf_dir, "customer").select("c_custkey")}
     data = generate(spark, SHOP, rows=rows, seed=SEED, existing=existing, check=False)
-    return {t: df if t in existing else written(df) for t, df in data.items()}
+    own = [t for t in data if t not in existing]
+    checkpoint_dir(spark)
+    return {**data, **dict(zip(own, at_once(lambda t: written(data[t]), own)))}
 
 
 @query(

@@ -28,7 +28,7 @@ from rowsmith.operators import validate as v
 from rowsmith.plans import tpch
 from rowsmith.plans.registry import query, sql_key, sql_repeats, sql_violation
 from rowsmith.plans.tpch import SPEC, load
-from rowsmith.spec import BOOLEAN, DATE, DATETIME, DECIMAL, ENUM, INT, VARCHAR, Column, DatasetSpec, ForeignKey, Table
+from rowsmith.spec import BOOLEAN, DATE, INT, Column, DatasetSpec, ForeignKey, Table
 
 SHOWN = ("kind", "table_name", "column_name", "row_key")
 

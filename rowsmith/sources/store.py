@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowsmith.functions.text import lit, name, sql_type
-from rowsmith.operators.shared import ref
+from rowsmith.operators.shared import at_once, ref
 from rowsmith.operators.update import update_table
 from rowsmith.operators.validate import assert_valid
 from rowsmith.spec import CURRENT_TIMESTAMP, DatasetSpec, Table, default_value
@@ -69,14 +69,15 @@ def write_dataset(spark: SparkSession, spec: DatasetSpec, data: Mapping[str, Dat
             df = given[table.name.casefold()]
             if any(not table.has_column(c) for c in df.columns) or not _storable(table, df):
                 assert_valid(spark, spec, data, ignore=("unsupported_check",))
-    for table in spec.tables:
-        df = given.get(table.name.casefold())
-        if df is not None:
-            exact = typed_projection(table, fill_defaults(table, df))
-            exact.write.mode("overwrite").parquet(f"{path}/{table.name}")
-    written = {
-        t.name: spark.read.parquet(f"{path}/{t.name}") for t in spec.tables if t.name.casefold() in given
-    }
+
+    def write(table_name: str) -> DataFrame:
+        table = spec.table(table_name)
+        exact = typed_projection(table, fill_defaults(table, given[table_name.casefold()]))
+        exact.write.mode("overwrite").parquet(f"{path}/{table_name}")
+        return spark.read.schema(exact.schema).parquet(f"{path}/{table_name}")
+
+    stored = [t.name for t in spec.tables if t.name.casefold() in given]
+    written = dict(zip(stored, at_once(write, stored)))
     extra = {name: df for name, df in data.items() if name.casefold() not in declared}
     assert_valid(spark, spec, {**written, **extra}, ignore=("unsupported_check",))
     spark.range(1).select(F.lit(spec.to_json()).alias("value")).coalesce(1).write.mode("overwrite").text(
