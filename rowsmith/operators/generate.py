@@ -800,7 +800,9 @@ class Generator:
                 return Parents(parent.rows, columns, frame=frame.withColumnRenamed(ROW, "_index"))
             usable, spread = frame.where(not_null(columns)), [ROW]
         else:
-            key = [c for c in parent.table.primary_key if c not in columns]
+            # Referenced values may repeat without bound; the rest of the row spreads them.
+            whole_row = parent.table.primary_key or parent.table.column_names
+            key = [c for c in whole_row if c not in columns]
             usable = parent.given.selectExpr(*[name(c) for c in (*columns, *key)]).where(not_null(columns))
             spread = key
         size = usable.count()

@@ -468,12 +468,11 @@ class Lookups:
             return
         position = len(self.rules)
         shared = [f"_f{position}_{i}" for i in range(len(fk.columns))]
-        keys = _parent_keys(self.child, fk, parent, shared)
+        found = f"_p{position}"
+        keys = _parent_keys(self.child, fk, parent, shared).distinct().selectExpr(*shared, f"TRUE AS {found}")
         if not broadcasts_by_itself(keys):
             self.large.append((fk, parent))
             return
-        found = f"_p{position}"
-        keys = keys.distinct().selectExpr(*shared, f"TRUE AS {found}")
         match = " AND ".join(f"{name(c)} = {s}" for c, s in zip(fk.columns, shared))
         self.probed = self.probed.join(keys, F.expr(match), "left")
         self._rule(fk, f"{complete} AND {found} IS NULL")
