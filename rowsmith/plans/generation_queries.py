@@ -527,7 +527,7 @@ _LINE_KEYS = "(SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_or
 
 @query(
     "gen_fk_null",
-    f"""SELECT r AS row_id, l_orderkey, l_linenumber FROM (SELECT event_id AS r,
+    f"""SELECT r AS row_id, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM (SELECT event_id AS r,
           CASE WHEN NOT {draw('l_orderkey|l_linenumber', 1000000, 'null', row='event_id')} < 250000
                THEN {draw('l_orderkey|l_linenumber', '(SELECT count(*) FROM lineitem)', 'parent', row='event_id')} END AS k FROM events)
         LEFT JOIN {_LINE_KEYS} ON li = k""",

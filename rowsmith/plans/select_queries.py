@@ -126,7 +126,7 @@ def q_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
-_GROUP = """SELECT l_returnflag, l_linestatus, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(12,2))) AS quantity,
+_GROUP = """SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS quantity,
  count(*) FILTER (WHERE l_discount > 0.05) AS discounted FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10"""
 
 
@@ -181,14 +181,14 @@ def q_window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders sends three rows per task.
     """
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    ranked = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).alias("place"))
+    ranked = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).cast("bigint").alias("place"))
     return ranked.where("place <= 3")
 
 
 @query(
     "q_window_frame",
     """WITH daily AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(CAST(value AS DECIMAL(10,2))) AS total FROM events GROUP BY ALL)
-       SELECT user_id, day, sum(total) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last_three,
+       SELECT user_id, day, CAST(sum(total) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DECIMAL(30,2)) AS last_three,
        count(*) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS days, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS before FROM daily""",
 )
 def q_window_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
