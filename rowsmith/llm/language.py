@@ -34,8 +34,8 @@ from rowsmith.operators.shared import written
 END = np.uint64(0x5DEECE66D1234567)  # the hash that stands for the end of a text
 BITMAP_BITS = 26
 GATE_BITS = 22
-FLUSH_WORDS = 400_000
-BLOCK_TOKENS = 2_000_000
+FLUSH_WORDS = 150_000
+BLOCK_TOKENS = 1_000_000
 
 
 @dataclass(frozen=True)

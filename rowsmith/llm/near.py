@@ -7,10 +7,13 @@ texts agree in as many registers as long ones. Four registers make a band, and 3
 bands give candidates. The Jaccard estimate, corrected for chance
 collisions of registers, drops poor candidates; the rest are confirmed on full sets.
 
-Documents with the same set are one class. Classes in a band bucket are compared
-with the smallest of it, never all with all. What these links leave in several
-components of one bucket is then compared across the components, so that no bucket is
-left with a pair that is neither compared nor connected.
+Documents with the same set are one class. Classes in a band bucket are estimated against
+the smallest of it, never all against all; classes that this leaves in several
+families of one bucket are estimated across the families. Likely pairs make families.
+A family that fits one task is settled there on full sets. In a larger one
+every class is confirmed against its smallest likely partner first; what that leaves
+outside the main component is compared with all of the family, block by block. No pair of a
+bucket stays uncompared unless it is connected already.
 
 At a similarity of 0.75 a pair shares no band with probability 5e-6, at 0.8 with 5e-8.
 
@@ -31,13 +34,15 @@ from pyspark.sql import functions as F
 
 from rowsmith.llm import text as tx
 from rowsmith.llm.components import components
-from rowsmith.operators.shared import written
+from rowsmith.operators.shared import shuffle_partitions, written
 
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
 REST_BITS = 64 - BUCKET_BITS
 MANTISSA_BITS = 10
 EMPTY = np.uint16(0xFFFF)
+BLOCK_ROWS = 1024
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -207,47 +212,160 @@ def confirmed(pairs: DataFrame, sets: DataFrame, settings: NearSettings) -> Data
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """Deal rows (g, label, node, bytes, payload) to blocks (g, q, j) in which all labels of a group meet.
+
+    The most common label of a group is its main one. Rows of other labels are
+    asked against all rows, so they go to every block of their column, and all rows
+    to every block of their line: block sizes stay fixed, and no row of the main
+    label meets another one for nothing.
+    """
+    count = rows.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("size"))
+    main = count.groupBy("g").agg(
+        F.max(F.struct("k", "label"))["label"].alias("main"), F.sum("k").alias("k"), F.sum("size").alias("size"),
+        F.max(F.struct("k", "size")).alias("most"),
+    )
+    parts = lambda k, size: F.ceil(F.greatest(k / BLOCK_ROWS, size / BLOCK_BYTES, F.lit(1e-9)))
+    plan = main.select(
+        "g", "main", parts(F.col("k"), F.col("size")).alias("lines"), parts(F.col("k") - F.col("most.k"), F.col("size") - F.col("most.size")).alias("columns")
+    )
+    placed = rows.join(plan, "g")
+    spread = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    home = placed.select("g", every(F.col("columns")).alias("q"), spread(F.col("lines"), 1).alias("j"), F.lit(False).alias("asks"), "label", "node", "payload")
+    asked = placed.where("label <> main").select(
+        "g", spread(F.col("columns"), 2).alias("q"), every(F.col("lines")).alias("j"), F.lit(True).alias("asks"), "label", "node", "payload"
+    )
+    return home.unionByName(asked)
+
+
+def one_per_label(x: np.ndarray, y: np.ndarray, nodes_x, nodes_y, labels_y) -> pa.Table:
+    """Pairs (x, y) by place, one for each x and label of y."""
+    order = np.lexsort((nodes_y[y], labels_y[y], x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (x[1:] != x[:-1]) | (labels_y[y][1:] != labels_y[y][:-1])
+    return pa.table({"a": pa.array(nodes_x[x[new]]), "b": pa.array(nodes_y[y[new]])})
+
+
+def compare_blocks(dealt: DataFrame, alike) -> DataFrame:
+    """Pairs of different labels for which alike(payloads, payloads) holds."""
+
+    def run(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+        asks = block["asks"].to_numpy()
+        x, y = (block.filter(pa.array(m)) for m in (asks, ~asks))
+        if not len(x) or not len(y):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        nx, ny, lx, ly = (t[c].to_numpy() for c in ("node", "label") for t in (x, y))
+        good = alike(x["payload"].to_pylist(), y["payload"].to_pylist()) & (lx[:, None] != ly[None, :])
+        return one_per_label(*np.nonzero(good), nx, ny, ly)
+
+    return dealt.groupBy("g", "q", "j").applyInArrow(run, "a long, b long")
+
+
+def similar(sets: list[bytes], others: list[bytes], percent: int) -> np.ndarray:
+    """Matrix of whether 100 * common >= percent * union, for sets of shingle hashes; by products of incidence matrices."""
+    x, y = ([np.frombuffer(v, dtype=np.uint64) for v in s] for s in (sets, others))
+    if len(x) * len(y) <= 64:
+        common = np.array([[len(np.intersect1d(p, q, assume_unique=True)) for q in y] for p in x], dtype=np.int64)
+    else:
+        # Only shingles in both sides can be common.
+        shared = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)))
+        common = np.zeros((len(x), len(y)), dtype=np.int64)
+        for at in range(0, len(shared), 4096):
+            part = shared[at : at + 4096]
+            a, b = np.zeros((len(x), len(part)), dtype=np.float32), np.zeros((len(y), len(part)), dtype=np.float32)
+            for m, own in ((a, x), (b, y)):
+                for i, s in enumerate(own):
+                    s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
+                    k = np.minimum(np.searchsorted(part, s), len(part) - 1)
+                    m[i, k[part[k] == s]] = 1
+            common += (a @ b.T).astype(np.int64)
+    size_x, size_y = np.array([len(p) for p in x]), np.array([len(q) for q in y])
+    return (100 * common >= percent * (size_x[:, None] + size_y[None, :] - common)) & (common > 0)
+
+
+def settled(families: DataFrame, percent: int) -> DataFrame:
+    """node, root for families (f, node, shingles) that fit one task."""
+
+    def solve(nodes: list[int], sets: list[bytes]):
+        linked = similar(sets, sets, percent)
+        label = np.arange(len(nodes))
+        while True:
+            # The smallest label among the neighbours, then that one's own.
+            lower = np.where(linked, label[None, :], len(nodes)).min(axis=1)
+            lower = np.minimum(lower, label)
+            lower = lower[lower]
+            if (lower == label).all():
+                break
+            label = lower
+        order = np.array(nodes)
+        return order, order[label]
+
+    def run(batches):
+        current, nodes, sets, out = None, [], [], ([], [])
+
+        def close():
+            if nodes:
+                for held, more in zip(out, solve(nodes, sets)):
+                    held.append(more)
+
+        for t in batches:
+            for f, node, shingle in zip(t.column("f").to_pylist(), t.column("node").to_pylist(), t.column("shingles").to_pylist()):
+                if f != current:
+                    close()
+                    current, nodes, sets = f, [], []
+                nodes.append(node)
+                sets.append(shingle)
+        close()
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["node", "root"])
+
+    spread = families.repartition(shuffle_partitions(families.sparkSession), "f").sortWithinPartitions("f", "node")
+    return spread.select("f", "node", "shingles").mapInArrow(run, "node long, root long")
+
+
 def links(docs: DataFrame, classes: DataFrame, settings: NearSettings) -> DataFrame:
-    """node, root for every class that has a link."""
+    """node, root for every class that has a likely partner; without a link the root is the node's own."""
+    percent = settings.percent
     keyed = bands(classes, settings.band)
     buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("_last")).where("a < _last").select("key", "a")
     met = written(keyed.join(buckets, "key").select("key", "a", F.col("node").alias("b")))
-    pairs = met.where("a < b").select("a", "b").distinct()
-    good = written(likely(pairs, classes, settings))
-    first = written(good.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    nodes = good.select(F.col("a").alias("node")).union(good.select("b")).distinct()
-    sets = written(full_sets(docs, nodes, settings))
-    sure = written(confirmed(first, sets, settings))
+    good = written(likely(met.where("a < b").select("a", "b").distinct(), classes, settings))
+    family = written(components(good))
+
+    # Buckets that hold several families: estimate across them.
+    placed = met.join(family.withColumnRenamed("node", "b"), "b", "left").select("key", F.col("b").alias("node"), F.coalesce("root", "b").alias("label"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key")
+    open_ = placed.join(mixed, "key").join(classes.select("node", "registers"), "node")
+    rows = written(open_.select(F.col("key").alias("g"), "label", "node", F.lit(2 * BUCKETS).alias("bytes"), F.col("registers").alias("payload")))
+    least = (percent / 100 - settings.slack) * BUCKETS
+
+    def near(x, y):
+        a, b = (np.frombuffer(b"".join(v), dtype=np.uint16).reshape(-1, BUCKETS) for v in (x, y))
+        return np.array([(b == one).sum(axis=1) >= least for one in a])
+
+    more = written(likely(compare_blocks(blocks(rows), near), classes, settings))
+    if not more.isEmpty():
+        good = good.unionByName(more)
+        family = written(components(good))
+
+    nodes = family.select("node", F.col("root").alias("f"))
+    sets = written(full_sets(docs, nodes.select("node"), settings).join(nodes, "node"))
+    size = sets.groupBy("f").agg(F.count(F.lit(1)).alias("_k"), F.sum(F.octet_length("shingles")).alias("_size"))
+    large = written(size.where((F.col("_k") > BLOCK_ROWS) | (F.col("_size") > 2 * BLOCK_BYTES)).select("f"))
+    if large.isEmpty():
+        return settled(sets, percent)
+    small = settled(sets.join(large, "f", "left_anti"), percent)
+    members = written(sets.join(large, "f", "left_semi"))
+    first = good.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a")).join(members.select(F.col("node").alias("b")), "b", "left_semi")
+    sure = written(confirmed(first.select("a", "b"), members, settings))
     found = components(sure)
-
-    def apart(some: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components so far."""
-        own = found.select(F.col("node").alias("a"), F.col("root").alias("_ra"))
-        other = found.select(F.col("node").alias("b"), F.col("root").alias("_rb"))
-        return (
-            some.join(own, "a", "left").join(other, "b", "left")
-            .where("coalesce(_ra, a) <> coalesce(_rb, b)").select("a", "b")
-        )
-
-    rest = apart(good.join(first, ["a", "b"], "left_anti"))
-    sure = written(sure.union(confirmed(rest, sets, settings)))
-    found = components(sure)
-
-    # Buckets that still hold several components: compare across them.
-    placed = met.join(found.select(F.col("node").alias("b"), "root"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("key")
-    open_ = written(placed.join(mixed, "key", "left_semi"))
-    left = open_.select("key", F.col("b").alias("x"), F.col("root").alias("_rx"), "a")
-    right = open_.select("key", F.col("b").alias("y"), F.col("root").alias("_ry"))
-    across = (
-        left.join(right, "key").where("x < y AND _rx <> _ry AND x <> a")
-        .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    rows = members.join(found, "node", "left").select(
+        F.col("f").alias("g"), F.coalesce("root", "node").alias("label"), "node", F.octet_length("shingles").alias("bytes"), F.col("shingles").alias("payload")
     )
-    more = written(likely(across, classes, settings))
-    more_nodes = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
-    if more.isEmpty():
-        return found
-    return components(sure.union(confirmed(more, written(full_sets(docs, more_nodes, settings)), settings)))
+    across = compare_blocks(blocks(written(rows)), lambda x, y: similar(x, y, percent))
+    return small.unionByName(components(sure.unionByName(across)))
 
 
 def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) -> DataFrame:

@@ -67,7 +67,9 @@ def near_rows(odd_rows):
     return rows
 
 
-def test_near_duplicates(make, near_rows):
+@pytest.mark.parametrize("block_rows", [1024, 3])
+def test_near_duplicates(make, near_rows, monkeypatch, block_rows):
+    monkeypatch.setattr(near, "BLOCK_ROWS", block_rows)
     assert rows_of(near.near_duplicates(make(near_rows))) == brute_near(near_rows)
 
 
