@@ -4,9 +4,9 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from rowsmith.plans.catalog import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,5 +28,9 @@ def test_query_agrees_with_sql(spark, connection, name):
         assert QUERIES[name](spark, SF_DIR).count() > 0
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["kind", "table_name", "column_name", "row_key"]
