@@ -360,7 +360,7 @@ def links(docs: DataFrame, classes: DataFrame, settings: NearSettings) -> DataFr
     members = written(sets.join(large, "f", "left_semi"))
     first = good.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a")).join(members.select(F.col("node").alias("b")), "b", "left_semi")
     sure = written(confirmed(first.select("a", "b"), members, settings))
-    found = components(sure)
+    found = written(components(sure))
     rows = members.join(found, "node", "left").select(
         F.col("f").alias("g"), F.coalesce("root", "node").alias("label"), "node", F.octet_length("shingles").alias("bytes"), F.col("shingles").alias("payload")
     )

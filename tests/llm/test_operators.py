@@ -94,9 +94,12 @@ def test_registers_of_equal_sets_agree_and_estimate_is_close():
     assert abs((regs[0] == regs[1]).mean() - 0.8) < 0.12
 
 
-def test_contraction_finds_long_chains(spark):
-    from rowsmith.llm.components import components
+@pytest.mark.parametrize("tail", [20_000, 0])
+def test_contraction_finds_long_chains(spark, monkeypatch, tail):
+    from rowsmith.llm import components as module
 
+    components = module.components
+    monkeypatch.setattr(module, "TAIL", tail)
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     found = {r["node"]: r["root"] for r in components(links).collect()}
     assert len({found[i] for i in range(301)}) == 1 and found[1000] == found[1001] != found[0]
