@@ -32,7 +32,12 @@ def number_blocks(df: DataFrame, group: Sequence[str], block: Column, order: Seq
         .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
         .drop("_size")
     )
-    joined = numbered.join(offsets, [*group, "_block"])
+    # Rows without a group are a group like any other, whatever the number of blocks.
+    renamed = offsets.select(*[ref(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_block").alias("_of"), "_before")
+    same = F.col("_block") == F.col("_of")
+    for i, c in enumerate(group):
+        same = same & ref(c).eqNullSafe(F.col(f"_g{i}"))
+    joined = numbered.join(renamed, same)
     number = (F.col("_inner") + F.col("_before")).alias(name)
     return joined.select(*[ref(c) for c in df.columns], number)
 

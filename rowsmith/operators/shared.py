@@ -132,7 +132,7 @@ def rows_of_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> D
     """
     keys = list(keys)
     groups = materialize(groups)
-    if fits_broadcast(groups, keys):
+    if fits_broadcast(groups, groups.columns):
         return rows.join(F.broadcast(groups), keys)
     hot = groups.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
     return _split_join(rows, groups, keys, hot, "inner")

@@ -656,6 +656,6 @@ def unique_capacity(df: DataFrame, table_name: str, group: Sequence[str]) -> Dat
     title = f"{table_name}({', '.join(group)})"
     return sizes.agg(
         F.lit(title).alias("unique_group"),
-        F.expr("aggregate(collect_list(size), 1L, (a, s) -> a * s)").alias("capacity"),
+        F.expr(f"aggregate(collect_list(size), 1L, (a, s) -> CASE WHEN s > 0 AND a > {2**63 - 1}L div s THEN {2**63 - 1}L ELSE a * s END)").alias("capacity"),
         F.max("n_rows").alias("n_rows"),
     ).selectExpr("*", "capacity >= n_rows AS fits")

@@ -18,6 +18,8 @@ ROWS_DEFAULT, ROWS_LIMIT = 200, 1_000
 
 # Functions that reach outside the dataset from inside a SELECT.
 FORBIDDEN_FUNCTIONS = ("reflect", "java_method", "try_reflect")
+# In an analysed plan, tables and views of a catalog carry its name; the dataset's own views have none.
+_FOREIGN = re.compile(r"SubqueryAlias \S+\.\S|RelationV2|HiveTableRelation")
 _FORBIDDEN = re.compile(r"\b(" + "|".join(FORBIDDEN_FUNCTIONS) + r")\b", re.IGNORECASE)
 
 
@@ -52,6 +54,9 @@ def guarded_select(
         plan = session.sql(f"EXPLAIN {body}").first()[0]
         if plan.startswith("Error"):
             raise QueryError("the query does not parse or names something unknown")
-        return session.sql(f"SELECT * FROM (\n{body}\n) AS q").limit(max_rows)
+        asked = session.sql(f"SELECT * FROM (\n{body}\n) AS q")
+        if _FOREIGN.search(str(asked._jdf.queryExecution().analyzed().toString())):
+            raise QueryError("the query names a table outside the dataset")
+        return asked.limit(max_rows)
     except PySparkException as error:
         raise QueryError(f"the query was refused: {error.getCondition()}") from error

@@ -79,11 +79,11 @@ def q_cte_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q_outer_join",
-    """SELECT d.doc_id AS doc_id, l.doc_id AS label_id, l.quality FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) AS d
+    """SELECT d.doc_id AS doc_id, l.doc_id AS label_id, l.quality FROM (SELECT doc_id FROM documents) AS d
        FULL OUTER JOIN (SELECT doc_id, quality FROM labels) AS l ON l.doc_id = d.doc_id""",
 )
 def q_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = load(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id")
+    documents = load(spark, sf_dir, "documents").select("doc_id")
     labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "quality")
     return documents.join(labels, F.col("doc_id") == F.col("label_id"), "full_outer")
 

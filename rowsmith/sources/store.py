@@ -146,6 +146,9 @@ def csv_columns(table: Table, df: DataFrame) -> DataFrame:
         value = ref(present[column.name.casefold()])
         if isinstance(df.schema[present[column.name.casefold()]].dataType, T.BooleanType):
             value = F.when(value, "True").when(~value, "False")
+        elif isinstance(df.schema[present[column.name.casefold()]].dataType, (T.TimestampType, T.TimestampNTZType, T.DecimalType)):
+            # As text a timestamp keeps a fraction of a second where it has one, and (in ANSI mode) a decimal has no exponent.
+            value = value.cast("string")
         columns.append(value.alias(column.name))
     return df.select(*columns)
 
@@ -163,6 +166,8 @@ def write_csv(table: Table, df: DataFrame, path: str, compression: str = "none")
         timestampFormat=stamp,
         quote='"',
         escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
         compression=compression,
     )
 
