@@ -364,7 +364,11 @@ Expression = Callable[[str], str]
 
 @dataclass
 class Built:
-    """The state of one table: closed-form columns, and columns that need a join."""
+    """The state of one table: closed-form columns, columns that need a join, and compared columns.
+
+    Compared columns are drawn as ticks, level by level; a level reads the
+    tick columns of those before it.
+    """
 
     table: Table
     rows: int
@@ -374,11 +378,27 @@ class Built:
     joins: list[tuple[Expression, DataFrame, list[str]]] = field(default_factory=list)
     joined: set[str] = field(default_factory=set)
     holes: set[str] = field(default_factory=set)
+    levels: list[dict[str, Expression]] = field(default_factory=list)
+    compared: dict[str, str] = field(default_factory=dict)
+
+    def with_ticks(self, df: DataFrame, row: str) -> DataFrame:
+        """Add the tick columns; each expression names its neighbours' columns, so its text stays short."""
+        for level in self.levels:
+            df = df.selectExpr("*", *[f"{tick(row)} AS {name(tick_name(c))}" for c, tick in level.items()])
+        return df
+
+    def value(self, column: str, row: str) -> str:
+        """The SQL of a column that needs no join, over a frame with ticks."""
+        return self.compared.get(column) or self.closed[column](row)
 
     def has(self, columns: Sequence[str]) -> bool:
         if self.given is not None:
             return True
-        return all(c in self.closed or c in self.joined for c in columns)
+        return all(c in self.closed or c in self.joined or c in self.compared for c in columns)
+
+
+def tick_name(column: str) -> str:
+    return f"_tick_{column}"
 
 
 @dataclass
@@ -412,14 +432,17 @@ class Generator:
         hash_method: str = "xxhash64",
         locale: str = vocab.DEFAULT_LOCALE,
         max_rows: int | None = None,
+        only: Sequence[str] | None = None,
     ) -> None:
         if plan is not None:
             plan.check(spec)
         self.spark, self.spec, self.plan, self.seed = spark, spec, plan, seed
         self.hash_method, self.locale = hash_method, locale
         self.existing, self.scaffolds = dict(existing or {}), dict(scaffolds or {})
-        self.rows = row_counts(spec, plan, rows, max_rows, skip=self.existing)
-        self.orders = preflight(spec, plan, self.rows, skip=self.existing)
+        # With `only`, no other table is judged: single columns of those tables are wanted.
+        skip = {*self.existing, *(t.name for t in spec.tables if only is not None and t.name not in only)}
+        self.rows = row_counts(spec, plan, rows, max_rows, skip)
+        self.orders = preflight(spec, plan, self.rows, skip)
         self.tables = {
             t.name: Built(t, self.rows.get(t.name, 0), self.scaffolds.get(t.name), self.existing.get(t.name))
             for t in spec.tables
@@ -442,6 +465,36 @@ class Generator:
         salt = self.salt(table, label)
         return lambda row: permute(row, size, rows, salt)
 
+    def places(self, table: Table, label: str, sizes: Sequence[int], rows: int) -> list[Expression]:
+        """An index below each size for every number below `rows`; the tuples of two numbers differ.
+
+        Where the product of capacity and rows fits 63 bits, one permutation
+        numbers all combinations. Otherwise as many of the largest sizes as
+        are needed tell the numbers apart, the last of them by a different
+        section of its range for each round, and the rest are drawn freely.
+        """
+        capacity = prod(sizes)
+        if capacity * rows <= LONG_LIMIT:
+            number = self.spread(table, label, capacity, rows)
+            return [self._digit(number, prod(sizes[:i]), size) for i, size in enumerate(sizes)]
+        deal = self.spread(table, label, rows, rows)
+        draws = Draws(self.seed, table.name, label, self.hash_method)
+        out: list[Expression] = [
+            lambda row, i=i, size=size: draws.below(size, deal(row), f"free{i}") for i, size in enumerate(sizes)
+        ]
+        told = 1
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            if told * sizes[i] < rows:
+                out[i] = self._digit(deal, told, sizes[i])
+                told *= sizes[i]
+                continue
+            section = sizes[i] // -(-rows // told)
+            out[i] = lambda row, i=i, told=told, section=section: (
+                f"({_div(deal(row), told)} * {lit(section)} + {draws.below(section, deal(row), f'section{i}')})"
+            )
+            break
+        return out
+
     # -- building
 
     def build(self) -> dict[str, DataFrame]:
@@ -467,7 +520,8 @@ class Generator:
         df = base.selectExpr(ROW, *indexes)
         for i, (_, parents, columns) in enumerate(built.joins):
             df = df.join(parents.selectExpr(f"_index AS _k{i}", *[name(c) for c in columns]), f"_k{i}", "left")
-        values = {c: name(c) for c in built.joined} | {c: f(ROW) for c, f in built.closed.items()}
+        df = built.with_ticks(df, ROW)
+        values = {c: name(c) for c in built.joined} | {c: built.value(c, ROW) for c in (*built.closed, *built.compared)}
         columns = [
             f"CAST({values.get(c.name, 'NULL')} AS {sql_type(c.type.spark_type())}) AS {name(c.name)}"
             for c in built.table.columns
@@ -519,21 +573,18 @@ class Generator:
                 raise GenerationError(
                     f"{table.name}: {built.rows} keys are wanted, the parents combine to {capacity}"
                 )
-            combination = self.spread(table, "key", capacity, built.rows)
+            indexes = self.places(table, "key", [p.size for p in parents], built.rows)
         else:
             # Rows are dealt to parent combinations in rounds; the round number
             # counts the rows of each parent, so no window is needed.
-            capacity = min(capacity, LONG_LIMIT)
             deal = self.spread(table, "deal", built.rows, built.rows)
-            shuffle = self.spread(table, "parent", capacity, min(capacity, built.rows))
-            combination = lambda row: shuffle(f"pmod({deal(row)}, {lit(capacity)})")
-            ordinal = lambda row: _div(deal(row), capacity)
-            self._build_discriminators(table, local, ordinal, -(-built.rows // capacity))
-        step = 1
-        for fk, parent in zip(sources, parents):
-            index = self._digit(combination, step, parent.size)
+            used = min(capacity, built.rows)
+            shuffled = self.places(table, "parent", [p.size for p in parents], used)
+            indexes = [lambda row, index=index: index(f"pmod({deal(row)}, {lit(used)})") for index in shuffled]
+            ordinal = lambda row: _div(deal(row), used)
+            self._build_discriminators(table, local, ordinal, -(-built.rows // used))
+        for fk, parent, index in zip(sources, parents, indexes):
             self._take(built, fk, parent, index)
-            step *= parent.size
 
     def _build_discriminators(self, table: Table, columns: list[SpecColumn], ordinal: Expression, most: int) -> None:
         """Give the rows of one parent different local key parts, from their ordinal."""
@@ -756,12 +807,9 @@ class Generator:
             if roomy is not None:
                 unique.add(roomy.name)
             elif free and prod(sizes.values()) >= built.rows:
-                number = self.spread(table, "|".join(group), prod(sizes.values()), built.rows)
-                step = 1
-                for column in free:
-                    part = self._digit(number, step, sizes[column.name])
+                parts = self.places(table, "|".join(group), list(sizes.values()), built.rows)
+                for column, part in zip(free, parts):
                     built.closed[column.name] = self.nth_value(table, column, part, sizes[column.name])
-                    step *= sizes[column.name]
         return unique
 
     def _build_ordered(self, built: Built) -> None:
@@ -771,19 +819,21 @@ class Generator:
             return
         ranges = {c: column_range(table, table.column(c), self.column_plan(table, table.column(c))) for c in order.columns}
         ranges = narrowed_ranges(table, order, ranges)
-        ticks: dict[str, Expression] = {}
+        level: dict[str, int] = {}
         for part in order.columns:
             column, span = table.column(part), ranges[part]
-            lower = [(ticks[other], strict) for other, strict in order.below(part)]
+            lower = [(name(tick_name(other)), strict) for other, strict in order.below(part)]
+            level[part] = 1 + max((level[other] for other, _ in order.below(part)), default=-1)
 
             def floor(row: str, span: Range = span, lower: list = lower) -> str:
                 # greatest() skips NULLs, so a NULL neighbour does not bind.
-                marks = [f"{tick(row)} + {int(strict)}" for tick, strict in lower]
+                marks = [f"{tick} + {int(strict)}" for tick, strict in lower]
                 return f"greatest({lit(span.low)}, {', '.join(marks)})"
 
-            drawn = self.tick(table, column, span, floor if lower else None)
-            ticks[part] = self.with_nulls(table, column, drawn)
-            built.closed[part] = lambda row, tick=ticks[part], column=column: from_tick(tick(row), column)
+            tick = self.with_nulls(table, column, self.tick(table, column, span, floor if lower else None))
+            built.levels.extend({} for _ in range(level[part] + 1 - len(built.levels)))
+            built.levels[level[part]][part] = tick
+            built.compared[part] = from_tick(name(tick_name(part)), column)
 
     # -- foreign keys
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowsmith.operators.shared import ref
+from rowsmith.operators.shared import ref, written
 
 BLOCK_ROWS = 1_000_000
 MAX_BLOCKS = 65_536
@@ -56,9 +56,11 @@ def number_within(df: DataFrame, group: Sequence[str], row_id: str, rows: int, n
 
 
 def dense_index(df: DataFrame, columns: Sequence[str], name: str, rows: int, spread: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Give every row a different number in [0, rows).
+    """Number the rows from 0 in the order of `columns`, then `spread`, whatever their number.
 
-    Rows are spread over hash blocks; `spread` adds columns to the hash where
+    Few rows are one block. More are dealt to range blocks that ascend with
+    the order and are written once, so that a block is the same rows in the
+    count and in the numbering. `spread` adds columns to the order where
     `columns` alone may repeat a value very often.
     """
     order = list(dict.fromkeys([*columns, *spread]))
@@ -66,5 +68,5 @@ def dense_index(df: DataFrame, columns: Sequence[str], name: str, rows: int, spr
     if blocks <= 1:
         window = Window.partitionBy(F.lit(0)).orderBy(*[ref(c) for c in order])
         return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
-    block = F.pmod(F.xxhash64(*[ref(c) for c in order]), F.lit(blocks))
-    return number_blocks(df, [], block, order, name)
+    dealt = written(df.repartitionByRange(blocks, *[ref(c) for c in order]).withColumn("_range", F.spark_partition_id()))
+    return number_blocks(dealt, [], F.col("_range"), order, name).drop("_range")

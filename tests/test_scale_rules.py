@@ -4,11 +4,14 @@ from decimal import Decimal
 
 import pytest
 
-from rowsmith.operators.numbering import number_within
+from rowsmith.functions.checks import cmp, col
+from rowsmith.operators.edit import EditError, Regenerate, Transform, apply_edits
+from rowsmith.operators.generate import Generator, generate
+from rowsmith.operators.numbering import dense_index, number_within
 from rowsmith.operators.validate import unique_capacity
 from rowsmith.plans.select import QueryError, guarded_select
 from rowsmith.sources.store import read_csv, write_csv
-from rowsmith.spec import DECIMAL, INT, VARCHAR, Column, DatasetSpec, Table
+from rowsmith.spec import DATE, DECIMAL, ENUM, INT, VARCHAR, Column, DatasetSpec, ForeignKey, Table
 
 
 def test_rows_without_a_group_are_numbered_in_blocks_too(spark):
@@ -55,3 +58,67 @@ def test_csv_keeps_spaces_and_plain_decimals(spark, tmp_path):
     text = "".join(p.read_text() for p in (tmp_path / "t.csv").glob("part-*"))
     assert "0.00000012" in text and "E-" not in text
     assert sorted(map(tuple, read_csv(spark, table, str(tmp_path / "t.csv")).collect())) == rows
+
+
+def test_dense_index_follows_the_order_in_any_number_of_blocks(spark):
+    df = spark.range(200).selectExpr("id", "IF(id % 10 = 3, NULL, CAST(pmod(id * 7, 31) AS STRING)) AS s")
+    both = [sorted(map(tuple, dense_index(df, ["s"], "n", 200, ["id"], block_rows=b).select("n", "id").collect())) for b in (1_000, 7)]
+    assert [n for n, _ in both[0]] == list(range(200)) and both[0] == both[1]
+
+
+def test_wide_combinations_differ_and_spread(spark):
+    one = Table("one", (Column("id", INT),), ("id",))
+    maker = Generator(spark, DatasetSpec((one,)), None, 10, 3)
+    for sizes, rows in (((2_000_000_000,) * 3, 1_000), ((10**9, 3, 2, 10**12), 1_000), ((7, 20, 11, 2**62 - 5), 5_000), ((40, 30, 2**62), 2_000)):
+        indexes = maker.places(one, "key", sizes, rows)
+        found = spark.range(rows).selectExpr(*[f"{f('id')} AS i{k}" for k, f in enumerate(indexes)]).collect()
+        assert len(set(found)) == rows
+        for k, size in enumerate(sizes):
+            values = [r[k] for r in found]
+            assert 0 <= min(values) and max(values) < size
+            assert len(set(values)) > min(size, rows) * 0.6 and max(values) - min(values) > size * 0.3
+
+
+def test_junction_of_three_large_parents(spark):
+    sides = [Table(f"p{i}", (Column("id", INT),), ("id",)) for i in range(3)]
+    link = Table("link", tuple(Column(f"k{i}", INT) for i in range(3)), ("k0", "k1", "k2"),
+                 foreign_keys=tuple(ForeignKey((f"k{i}",), f"p{i}", ("id",)) for i in range(3)))
+    rows = {"p0": 2_000_000_000, "p1": 2_000_000_000, "p2": 2_000_000_000, "link": 1_000}
+    made = generate(spark, DatasetSpec((*sides, link)), rows=rows, seed=1, check=False)["link"].collect()
+    assert len(set(made)) == 1_000 and all(len({r[i] for r in made}) > 900 for i in range(3))
+
+
+def test_a_chain_of_thirty_ordered_columns(spark):
+    names = [f"d{i}" for i in range(30)]
+    table = Table("t", (Column("id", INT), *(Column(n, DATE) for n in names)), ("id",),
+                  checks=tuple(cmp(col(a), "<", col(b)) for a, b in zip(names, names[1:])))
+    maker = Generator(spark, DatasetSpec((table,)), None, 50, 1)
+    rows = maker.build()["t"].collect()
+    assert len(rows) == 50 and all(r[a] < r[b] for r in rows for a, b in zip(names, names[1:]))
+    sizes = [len(f("id")) for level in maker.tables["t"].levels for f in level.values()]
+    assert len(sizes) == 30 and max(sizes) < 2 * sizes[1]
+
+
+def test_edits_judge_only_their_own_table(spark):
+    big = Table("big", (Column("id", INT), Column("v", INT)), ("id",))
+    small = Table("small", (Column("k", ENUM("a", "b")),), ("k",))
+    data = {"big": spark.range(10).selectExpr("CAST(id AS INT) AS id", "0 AS v"), "small": spark.createDataFrame([("a",)], "k string")}
+    made = apply_edits(spark, DatasetSpec((big, small)), data, [Regenerate("big", ("v",))], seed=4)["big"]
+    assert made.count() == 10
+
+
+@pytest.mark.parametrize(
+    "value, by, fine",
+    [("1.00", "0.50000001", False), ("2.00", "0.5000000000", True), ("100000000.00", "0.50000001", True), ("0.00", "0.50000001", True),
+     ("999999999999999999999999999999999999.99", "1000", False), (None, "0.50000001", True)],
+)
+def test_decimal_products_are_exact_or_reported(spark, value, by, fine):
+    table = Table("t", (Column("id", INT), Column("d", DECIMAL(38, 2))), ("id",))
+    df = spark.createDataFrame([(1, None if value is None else Decimal(value))], "id int, d decimal(38,2)")
+    edit = [Transform("t", "d", "multiply", Decimal(by))]
+    if fine:
+        got = apply_edits(spark, DatasetSpec((table,)), {"t": df}, edit)["t"].first()["d"]
+        assert got == (None if value is None else Decimal(value) * Decimal(by))
+    else:
+        with pytest.raises(EditError):
+            apply_edits(spark, DatasetSpec((table,)), {"t": df}, edit)
