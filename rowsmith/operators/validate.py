@@ -57,9 +57,25 @@ def row_key(columns: Sequence[str]) -> str:
 
 
 def locator_of(table: Table, df: DataFrame, locators: Mapping[str, Sequence[str]] | None) -> list[str]:
-    """The columns that name a row: as given, else the key, else every column."""
+    """The columns that name a row: as given, else the key columns that are there, else every column."""
     chosen = (locators or {}).get(table.name) or table.primary_key
-    return list(chosen) or list(df.columns)
+    present = {c.casefold() for c in df.columns}
+    return [c for c in chosen if c.casefold() in present] or list(df.columns)
+
+
+def declared_names(table: Table, df: DataFrame) -> DataFrame:
+    """The same rows with column names in the letter case of the spec."""
+    declared = {c.name.casefold(): c.name for c in table.columns}
+    wanted = [declared.get(c.casefold(), c) for c in df.columns]
+    return df if wanted == df.columns else df.selectExpr(*[f"{name(c)} AS {name(w)}" for c, w in zip(df.columns, wanted)])
+
+
+def referenced(parent_table: Table, parent: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A parent under the spec's names; a referenced column that it lacks counts as NULL, so it matches nothing."""
+    parent = declared_names(parent_table, parent)
+    absent = [c for c in columns if c not in parent.columns]
+    nulls = [f"CAST(NULL AS {sql_type(parent_table.column(c).type.spark_type())}) AS {name(c)}" for c in absent]
+    return parent.selectExpr("*", *nulls) if absent else parent
 
 
 def _violation(kind: str, table: Table, column: str | None, message: str, key: str) -> list[str]:
@@ -168,8 +184,8 @@ def typed_rules(table: Table, df: DataFrame) -> list[Rule]:
         else:
             rules.append(_mistyped(table, column, f"{value} IS NOT NULL"))
             operands[column.name] = Operand(comparable(column, typed_null), f"{value} IS NULL", f"{value} IS NOT NULL")
-    if table.primary_key and all(c.casefold() in physical for c in table.primary_key):
-        rules.append(key_null_rule(table))
+    if table.primary_key:
+        rules.append(key_null_rule(table, [c for c in table.primary_key if c.casefold() not in physical]))
     return rules + check_rules(table, operands, df)
 
 
@@ -245,7 +261,7 @@ def row_violations(
     table: Table, df: DataFrame, locator: Sequence[str] | None = None, kinds: Sequence[str] | None = None
 ) -> DataFrame:
     """Row-level violations of a typed table, all or of some kinds; also runs on a stream."""
-    where = list(locator or table.primary_key) or list(df.columns)
+    where = list(locator or ()) or locator_of(table, df, None)
     rules = [r for r in typed_rules(table, df) if kinds is None or r.kind in kinds]
     return apply_rules(df, table, rules, where)
 
@@ -264,18 +280,33 @@ _RAW_FORMS = {
 def raw_typed(column: SpecColumn, source: str) -> str:
     """Read text as the declared type, NULL when it has another form.
 
-    DECIMAL is read at its widest so that precision can still be judged.
+    DECIMAL is read with some more places than declared; text with digits
+    beyond those is NULL here, because its precision is judged on the text.
     """
     form = _RAW_FORMS.get(column.type.name)
     if form is None:
         return source
     if column.type.name == "DECIMAL":
-        target = f"DECIMAL(38, {min((column.type.scale or 0) + 6, 18)})"
+        places = min((column.type.scale or 0) + 6, 38)
+        return f"CASE WHEN {source} RLIKE {lit(form)} AND {_places(source)} <= {places} THEN try_cast({source} AS DECIMAL(38, {places})) END"
     else:
         target = sql_type(column.type.spark_type())
     return f"CASE WHEN {source} RLIKE {lit(form)} THEN try_cast({source} AS {target}) END"
 
 
+def _places(source: str) -> str:
+    """Digits after the point of a decimal text, without the zeros at its end."""
+    return f"length(regexp_extract({source}, '[.]([0-9]*?)0*$', 1))"
+
+
+def raw_too_wide(column: SpecColumn, source: str) -> str:
+    """A decimal text of the right form whose digits do not fit the declared type."""
+    scale = column.type.scale or 0
+    whole = f"length(regexp_extract({source}, '^[+-]?0*([0-9]*)', 1))"
+    form = f"{source} RLIKE {lit(_RAW_FORMS['DECIMAL'])}"
+    return f"({form} AND ({_places(source)} > {scale} OR {whole} > {column.type.precision - scale}))"
+
+
 def raw_entries(raw: str) -> str:
     """SQL of the members of a JSON object as entries; NULL for anything else."""
     return f"map_entries(from_json({name(raw)}, 'map<string,string>'))"
@@ -307,9 +338,13 @@ def raw_violations(table: Table, df: DataFrame, raw: str, locator: Sequence[str]
                 rules.append(_missing(table, column, f"{mapping} AND NOT {present}"))
             rules.append(_null(table, column, f"{mapping} AND {present} AND {source} IS NULL"))
         wrong = f"({source} IS NOT NULL AND {value} IS NULL)"
-        if column.type.name in _RAW_FORMS:
+        if column.type.name == "DECIMAL":
+            rules.append(_mistyped(table, column, f"{source} IS NOT NULL AND NOT {source} RLIKE {lit(_RAW_FORMS['DECIMAL'])}"))
+            message = f"{table.name}.{column.name} does not fit {column.type}"
+            rules.append(Rule("decimal_precision", column.name, message, raw_too_wide(column, source)))
+        elif column.type.name in _RAW_FORMS:
             rules.append(_mistyped(table, column, wrong))
-        rules.extend(value_rules(table, column, value))
+        rules.extend(value_rules(table, column, value) if column.type.name != "DECIMAL" else [])
         operands[column.name] = Operand(comparable(column, value), f"{source} IS NULL", wrong)
     for rule in check_rules(table, operands, None):
         rules.append(Rule(rule.kind, rule.column, rule.message, f"{mapping} AND ({rule.broken})", dynamic=True))
@@ -334,12 +369,12 @@ def raw_violations(table: Table, df: DataFrame, raw: str, locator: Sequence[str]
 # --- keys --------------------------------------------------------------------
 
 
-def key_null_rule(table: Table) -> Rule:
-    """A NULL in the primary key; the message lists the NULL columns."""
+def key_null_rule(table: Table, absent: Sequence[str] = ()) -> Rule:
+    """A NULL in the primary key; the message lists the NULL columns. Absent ones are NULL in every row."""
     key = table.primary_key
-    listed = ", ".join(f"CASE WHEN {name(c)} IS NULL THEN {lit(c)} END" for c in key)
+    listed = ", ".join(lit(c) if c in absent else f"CASE WHEN {name(c)} IS NULL THEN {lit(c)} END" for c in key)
     message = f"concat({lit(table.name + ' has NULL primary-key column(s) ')}, concat_ws(', ', {listed}))"
-    return Rule("primary_key_null", _single(key), message, f"NOT ({not_null(key)})", dynamic=True)
+    return Rule("primary_key_null", _single(key), message, "TRUE" if absent else f"NOT ({not_null(key)})", dynamic=True)
 
 
 def primary_key_null(table: Table, df: DataFrame, locator: Sequence[str] | None = None) -> DataFrame:
@@ -589,6 +624,7 @@ def validate(
         if df is None:
             notes.append(("missing_table", table.name, None, None, f"Table {table.name} is not in the dataset"))
             continue
+        df = declared_names(table, df)
         locator = locator_of(table, df, locators)
         notes.extend(unsupported_notes(table, df))
         lookups = Lookups(table, df)
@@ -596,7 +632,7 @@ def validate(
         for fk in table.foreign_keys:
             parent = _lookup(data, fk.parent)
             if parent is not None and all(c.casefold() in present for c in fk.columns):
-                lookups.add(fk, parent)
+                lookups.add(fk, referenced(spec.table(fk.parent), parent, fk.parent_columns))
         parts.append(apply_rules(lookups.probed, table, [*typed_rules(table, df), *lookups.rules], locator))
         parts.extend(lookups.large_violations(locator))
         repeats.add(key_repeats(table, df, locator))

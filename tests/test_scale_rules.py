@@ -8,7 +8,7 @@ from rowsmith.functions.checks import cmp, col
 from rowsmith.operators.edit import EditError, Regenerate, Transform, apply_edits
 from rowsmith.operators.generate import Generator, generate
 from rowsmith.operators.numbering import dense_index, number_within
-from rowsmith.operators.validate import unique_capacity
+from rowsmith.operators.validate import raw_violations, unique_capacity, validate
 from rowsmith.plans.select import QueryError, guarded_select
 from rowsmith.sources.store import read_csv, write_csv
 from rowsmith.spec import DATE, DECIMAL, ENUM, INT, VARCHAR, Column, DatasetSpec, ForeignKey, Table
@@ -122,3 +122,41 @@ def test_decimal_products_are_exact_or_reported(spark, value, by, fine):
     else:
         with pytest.raises(EditError):
             apply_edits(spark, DatasetSpec((table,)), {"t": df}, edit)
+
+
+def found(df):
+    return sorted((r["kind"], r["table_name"], r["column_name"]) for r in df.collect())
+
+
+def test_an_absent_key_column_is_reported(spark):
+    table = Table("t", (Column("id", INT, nullable=False), Column("u", INT)), ("id",))
+    df = spark.createDataFrame([(1,), (2,)], "u int")
+    kinds = {k for k, _, _ in found(validate(spark, DatasetSpec((table,)), {"t": df}))}
+    assert kinds == {"missing_column", "primary_key_null"}
+
+
+def test_letter_case_of_columns_does_not_matter(spark):
+    parent = Table("p", (Column("Pid", INT),), ("Pid",))
+    child = Table("c", (Column("Id", INT), Column("U", INT, unique=True), Column("Ref", INT)), ("Id",), foreign_keys=(ForeignKey(("Ref",), "p", ("Pid",)),))
+    data = {"p": spark.createDataFrame([(1,), (1,)], "pid int"), "c": spark.createDataFrame([(1, 5, 1), (2, 5, 9)], "id int, u int, ref int")}
+    assert found(validate(spark, DatasetSpec((parent, child)), data)) == [
+        ("foreign_key_missing", "c", "Ref"), ("primary_key_duplicate", "p", "Pid"), ("unique_duplicate", "c", "U")
+    ]
+
+
+def test_a_parent_without_the_referenced_column_matches_nothing(spark):
+    parent = Table("p", (Column("pid", INT), Column("x", INT)), ("pid",))
+    child = Table("c", (Column("id", INT), Column("r", INT)), ("id",), foreign_keys=(ForeignKey(("r",), "p", ("pid",)),))
+    data = {"p": spark.createDataFrame([(1,)], "x int"), "c": spark.createDataFrame([(1, 1), (2, None)], "id int, r int")}
+    assert ("foreign_key_missing", "c", "r") in found(validate(spark, DatasetSpec((parent, child)), data))
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [("1.50", []), ("-001.5000000000000000000000000000000000000000", []), ("1.0000000001", ["decimal_precision"]), ("1234.5", ["decimal_precision"]),
+     ("9" * 36, ["decimal_precision"]), ("9" * 50, ["decimal_precision"]), ("1e3", ["type_mismatch"]), ("", ["type_mismatch"])],
+)
+def test_decimal_text_is_judged_by_its_digits(spark, text, kinds):
+    table = Table("t", (Column("d", DECIMAL(5, 2)),), ())
+    df = spark.createDataFrame([(1, '{"d": "%s"}' % text)], "n int, raw string")
+    assert [r["kind"] for r in raw_violations(table, df, "raw", ["n"]).collect()] == kinds
