@@ -8,9 +8,9 @@ its distribution is smoothed with that one's; the root is the smoothed word
 distribution. A token is scored from the longest retained suffix of its history.
 
 All counts are exact and cover all training texts. A word sequence with the share
-`least` of all tokens has that share in some block of tokens, so a first pass marks what is that
-frequent in any block in a bitmap of fixed size, and a second one counts
-what is marked. `least` bounds every level of the tree to 1 / least entries, so the tree may
+`least` of all tokens has that share in some task's tokens, so a first pass counts sequences by
+hash in a table of fixed size, marks what may be that frequent in any task in a bitmap, and a
+second one counts what is marked. `least` bounds every level of the tree to 1 / least entries, so the tree may
 travel to the tasks at any size of the input. Word counts do not: words that make up at
 least `frequent` of all tokens travel (at most 1 / frequent of them), the others are joined.
 
@@ -34,6 +34,7 @@ from rowsmith.operators.shared import written
 END = np.uint64(0x5DEECE66D1234567)  # the hash that stands for the end of a text
 BITMAP_BITS = 26
 GATE_BITS = 22
+MOST_SEEN = 255  # where the counts of the first pass stop; a higher need is met by it
 FLUSH_WORDS = 150_000
 BLOCK_TOKENS = 1_000_000
 
@@ -117,13 +118,14 @@ class Blocks:
 
 
 def first_pass(rows: DataFrame, settings: TreeSettings) -> DataFrame:
-    """Word counts of each task (word not null), and bitmap words of the sequences frequent in a block (word null)."""
+    """Word counts of each task (word not null), and bitmap words of the sequences frequent in the task (word null)."""
     depth, least = settings.depth, settings.least
     schema = pa.schema([("h", pa.int64()), ("word", pa.binary()), ("trained", pa.int64()), ("total", pa.int64())])
 
     def run(batches):
         held: dict[int, list] = {}
-        blocks = Blocks()
+        # Counts of sequences by the place of their bit: never below the count of any one of them.
+        seen, size = np.zeros(1 << BITMAP_BITS, dtype=np.uint8), 0
 
         def words():
             h = np.array(list(held), dtype=np.uint64).view(np.int64)
@@ -132,23 +134,16 @@ def first_pass(rows: DataFrame, settings: TreeSettings) -> DataFrame:
             columns = [pa.array(h), *(pa.array([v[i] for v in values], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64())))]
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        def bits():
-            tokens, owner = blocks.take()
-            need = max(1.0, least * len(tokens))
-            found = []
+        def count(key):
+            place, _, n = counted(key >> np.uint64(64 - BITMAP_BITS))
+            seen[place] = np.minimum(seen[place] + n, MOST_SEEN)
+            return np.ones(len(key), dtype=bool)
 
-            def often(key):
-                unique, _, n = counted(key)
-                unique = unique[n >= need]
-                found.append(unique)
-                return np.isin(key, unique) if len(unique) else np.zeros(len(key), dtype=bool)
-
-            for _ in common_sequences(tokens, owner, depth, often):
-                pass
-            place = np.unique(np.concatenate(found) >> np.uint64(64 - BITMAP_BITS)) if found else np.zeros(0, np.uint64)
-            word, _, _ = counted(place >> np.uint64(6))
-            value = np.zeros(len(word), dtype=np.uint64)
-            np.bitwise_or.at(value, np.searchsorted(word, place >> np.uint64(6)), np.uint64(1) << (place & np.uint64(63)))
+        def bits():
+            need = min(max(1, int(np.ceil(least * size))), MOST_SEEN)
+            place = np.flatnonzero(seen >= need).astype(np.uint64)
+            word, first, _ = counted(place >> np.uint64(6))
+            value = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first) if len(word) else np.zeros(0, np.uint64)
             n = len(word)
             columns = [pa.array(word.view(np.int64)), pa.nulls(n, pa.binary()), pa.array(value.view(np.int64)), pa.nulls(n, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -174,11 +169,14 @@ def first_pass(rows: DataFrame, settings: TreeSettings) -> DataFrame:
                     v[2] += m
             if len(held) > FLUSH_WORDS:
                 yield words()
-            if trains.any() and blocks.add(*with_ends(h, row, len(trains)), trains):
-                yield bits()
+            tokens, owner = with_ends(h, row, len(trains))
+            keep = trains[owner]
+            size += int(keep.sum())
+            for _ in common_sequences(tokens[keep], owner[keep], depth, count):
+                pass
         if held:
             yield words()
-        if blocks.held:
+        if size:
             yield bits()
 
     return rows.select("held_out", "text").mapInArrow(run, "h long, word binary, trained long, total long")
