@@ -34,6 +34,7 @@ from rowsmith.operators.shared import written
 END = np.uint64(0x5DEECE66D1234567)  # the hash that stands for the end of a text
 BITMAP_BITS = 26
 GATE_BITS = 22
+SLICE = 1 << 20
 MOST_SEEN = 255  # where the counts of the first pass stop; a higher need is met by it
 FLUSH_WORDS = 150_000
 BLOCK_TOKENS = 1_000_000
@@ -141,7 +142,8 @@ def first_pass(rows: DataFrame, settings: TreeSettings) -> DataFrame:
 
         def bits():
             need = min(max(1, int(np.ceil(least * size))), MOST_SEEN)
-            place = np.flatnonzero(seen >= need).astype(np.uint64)
+            slices = range(0, len(seen), SLICE)  # the whole comparison would be as large as the counts
+            place = np.concatenate([np.flatnonzero(seen[at : at + SLICE] >= need) + at for at in slices]).astype(np.uint64)
             word, first, _ = counted(place >> np.uint64(6))
             value = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first) if len(word) else np.zeros(0, np.uint64)
             n = len(word)
