@@ -156,12 +156,20 @@ def bands(classes: DataFrame, width: int) -> DataFrame:
     return classes.select("node", "registers").mapInArrow(run, "key long, node long")
 
 
+def estimated(agree: np.ndarray, na: np.ndarray, nb: np.ndarray, settings: NearSettings) -> np.ndarray:
+    """Whether sizes allow the similarity and the share of equal registers, corrected for chance, comes near it."""
+    less, more = np.minimum(na, nb), np.maximum(na, nb)
+    ratio = more / less
+    # Chance that different minima share a register: about 0.17 / 2^mantissa, less for unequal sizes.
+    chance = 0.169919487159739093975315012348 / (1 << MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
+    return (less * 100 >= more * settings.percent) & ((agree - chance) / (1 - chance) >= settings.percent / 100 - settings.slack)
+
+
 def likely(pairs: DataFrame, classes: DataFrame, settings: NearSettings) -> DataFrame:
     """The pairs (a, b) whose sizes allow the similarity and whose corrected estimate comes near it."""
     a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-    percent, slack = settings.percent, settings.slack
-    fits = f"least(na, nb) * 100 >= greatest(na, nb) * {percent}"
+    fits = f"least(na, nb) * 100 >= greatest(na, nb) * {settings.percent}"
     both = pairs.join(a, "a").join(b, "b").where(fits)
 
     def run(batches):
@@ -169,13 +177,8 @@ def likely(pairs: DataFrame, classes: DataFrame, settings: NearSettings) -> Data
             if not t.num_rows:
                 continue
             ra, rb = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
-            na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
-            agree = (ra == rb).mean(axis=1)
-            ratio = np.maximum(na, nb) / np.minimum(na, nb)
-            # Chance that different minima share a register: about 0.17 / 2^mantissa, less for unequal sizes.
-            chance = 0.169919487159739093975315012348 / (1 << MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
-            estimate = (agree - chance) / (1 - chance)
-            yield t.select(["a", "b"]).filter(pa.array(estimate >= percent / 100 - slack))
+            good = estimated((ra == rb).mean(axis=1), t.column("na").to_numpy(), t.column("nb").to_numpy(), settings)
+            yield t.select(["a", "b"]).filter(pa.array(good))
 
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
 
@@ -337,15 +340,17 @@ def links(docs: DataFrame, classes: DataFrame, settings: NearSettings) -> DataFr
     # Buckets that hold several families: estimate across them.
     placed = met.join(family.withColumnRenamed("node", "b"), "b", "left").select("key", F.col("b").alias("node"), F.coalesce("root", "b").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key")
-    open_ = placed.join(mixed, "key").join(classes.select("node", "registers"), "node")
-    rows = written(open_.select(F.col("key").alias("g"), "label", "node", F.lit(2 * BUCKETS).alias("bytes"), F.col("registers").alias("payload")))
-    least = (percent / 100 - settings.slack) * BUCKETS
+    sized = F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), F.col("registers"))
+    open_ = placed.join(mixed, "key").join(classes.select("node", sized.alias("payload")), "node")
+    rows = written(open_.select(F.col("key").alias("g"), "label", "node", F.lit(8 + 2 * BUCKETS).alias("bytes"), "payload"))
 
     def near(x, y):
-        a, b = (np.frombuffer(b"".join(v), dtype=np.uint16).reshape(-1, BUCKETS) for v in (x, y))
-        return np.array([(b == one).sum(axis=1) >= least for one in a])
+        # The whole test, as only one pair of those that pass is kept for each label.
+        held = [np.frombuffer(b"".join(v), dtype=[("n", ">i8"), ("registers", np.uint16, BUCKETS)]) for v in (x, y)]
+        (na, a), (nb, b) = ((h["n"].astype(np.int64), np.ascontiguousarray(h["registers"])) for h in held)
+        return np.array([estimated((b == one).mean(axis=1), n, nb, settings) for one, n in zip(a, na)])
 
-    more = written(likely(compare_blocks(blocks(rows), near), classes, settings))
+    more = written(compare_blocks(blocks(rows), near).distinct())
     if not more.isEmpty():
         good = good.unionByName(more)
         family = written(components(good))

@@ -73,6 +73,16 @@ def test_near_duplicates(make, near_rows, monkeypatch, block_rows):
     assert rows_of(near.near_duplicates(make(near_rows))) == brute_near(near_rows)
 
 
+def test_near_duplicates_past_a_group_of_shorter_texts(make):
+    # The long text agrees with the short ones in enough registers, but only the middle one has a size that fits.
+    words = [f"m{k}" for k in range(1300)]
+    cut = [words[:at] + words[at + 40 : 1000] for at in range(20, 920, 30)]
+    rows = [(k, " ".join(w), f"s{k % 3}") for k, w in enumerate([*cut, words[:1000], words])]
+    want = brute_near(rows)
+    assert {label for _, _, label, _ in want} == {0}
+    assert rows_of(near.near_duplicates(make(rows))) == want
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert near.near_duplicates(nothing).count() == 0
 
