@@ -1,18 +1,19 @@
 """Scoring by a probabilistic suffix tree over words.
 
 Symbols are the tokens of a text: its words and one end. Contexts are the last one to
-`depth` words. As in the published learning rule, only contexts and next symbols that make up
-at least the share `least` of all training tokens are candidates. A context is retained when its
+`depth` words. Sequences that stand `fewest` times in the training texts, a fixed number at any
+size of the input, are candidates (a share of the tokens can be asked for besides). A context is retained when its
 next-symbol distribution diverges enough from that of its longest retained suffix, and
 its distribution is smoothed with that one's; the root is the smoothed word
 distribution. A token is scored from the longest retained suffix of its history.
 
-All counts are exact and cover all training texts. A word sequence with the share
-`least` of all tokens has that share in some task's tokens, so a first pass counts sequences by
-hash in a table of fixed size, marks what may be that frequent in any task in a bitmap, and a
-second one counts what is marked. `least` bounds every level of the tree to 1 / least entries, so the tree may
-travel to the tasks at any size of the input. Word counts do not: words that make up at
-least `frequent` of all tokens travel (at most 1 / frequent of them), the others are joined.
+All counts are exact and cover all training texts. Sequences, contexts and chances are tables
+that grow with the corpus; each level of the tree comes from the one above by joins and sums. A token's
+log chance is a sum: the root's, the weight of the suffix for every retained context before it,
+and for every sequence of a retained context what its own chance differs from that. So a text is
+the sum over its sequences of one value each. Values of sequences that make up at least `frequent` of all tokens
+travel (at most 1 / frequent of each length), the others are joined; a bitmap of their keys, of a fixed size,
+only spares rows that would find nothing.
 
 Defined cases: a null or empty text is the end token alone; a row without
 doc_id is held out; equal rows are scored each; without training rows every
@@ -21,7 +22,7 @@ token is unseen.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,7 @@ from rowsmith.llm import text as tx
 from rowsmith.operators.shared import written
 
 END = np.uint64(0x5DEECE66D1234567)  # the hash that stands for the end of a text
-BITMAP_BITS = 26
-GATE_BITS = 22
-SLICE = 1 << 20
-MOST_SEEN = 255  # where the counts of the first pass stop; a higher need is met by it
+GATE_BITS = 27
 FLUSH_WORDS = 150_000
 BLOCK_TOKENS = 1_000_000
 
@@ -43,7 +41,8 @@ BLOCK_TOKENS = 1_000_000
 @dataclass(frozen=True)
 class TreeSettings:
     depth: int = 3
-    least: float = 4e-6
+    fewest: int = 2
+    least: float = 0.0  # share of the training tokens that a sequence must have besides
     divergence: float = 8.0
     smoothing: float = 2.0
     frequent: float = 2e-6
@@ -69,25 +68,21 @@ def with_ends(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return tokens, owner
 
 
-def common_sequences(tokens: np.ndarray, owner: np.ndarray, depth: int, wanted):
-    """Sequences of each length that `wanted` marks, longer ones only where both shorter ones are marked.
+def sequences(tokens: np.ndarray, owner: np.ndarray, depth: int):
+    """All sequences of 2 to depth + 1 tokens of one text.
 
     Yields n, the places, the hashes, the hashes of the contexts (without the
     last token) and of the suffixes (without the first).
     """
-    at, key = np.arange(len(tokens)), tokens
+    before = tokens
     for n in range(2, depth + 2):
-        before = np.zeros(len(tokens), dtype=np.uint64)
-        held = np.zeros(len(tokens), dtype=bool)
-        before[at], held[at] = key, True
-        at = at[at + n - 1 < len(tokens)]
-        at = at[held[at + 1] & (owner[at + n - 1] == owner[at])] if n > 2 else at[owner[at + 1] == owner[at]]
-        key = tx.joined(before[at], tokens[at + n - 1])
-        chosen = wanted(key)
-        at, key = at[chosen], key[chosen]
+        size = max(len(tokens) - n + 1, 0)
+        whole = tx.joined(before[:size], tokens[n - 1 :])
+        at = np.flatnonzero(owner[n - 1 :] == owner[:size])
         if not len(at):
             return
-        yield n, at, key, before[at], before[at + 1]
+        yield n, at, whole[at], before[at], before[at + 1]
+        before = whole
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,15 +113,12 @@ class Blocks:
         return tokens, np.repeat(np.arange(len(sizes)), sizes)
 
 
-def first_pass(rows: DataFrame, settings: TreeSettings) -> DataFrame:
-    """Word counts of each task (word not null), and bitmap words of the sequences frequent in the task (word null)."""
-    depth, least = settings.depth, settings.least
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Word counts of each task, of the training texts and of all."""
     schema = pa.schema([("h", pa.int64()), ("word", pa.binary()), ("trained", pa.int64()), ("total", pa.int64())])
 
     def run(batches):
         held: dict[int, list] = {}
-        # Counts of sequences by the place of their bit: never below the count of any one of them.
-        seen, size = np.zeros(1 << BITMAP_BITS, dtype=np.uint8), 0
 
         def words():
             h = np.array(list(held), dtype=np.uint64).view(np.int64)
@@ -135,21 +127,6 @@ def first_pass(rows: DataFrame, settings: TreeSettings) -> DataFrame:
             columns = [pa.array(h), *(pa.array([v[i] for v in values], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64())))]
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        def count(key):
-            place, _, n = counted(key >> np.uint64(64 - BITMAP_BITS))
-            seen[place] = np.minimum(seen[place] + n, MOST_SEEN)
-            return np.ones(len(key), dtype=bool)
-
-        def bits():
-            need = min(max(1, int(np.ceil(least * size))), MOST_SEEN)
-            slices = range(0, len(seen), SLICE)  # the whole comparison would be as large as the counts
-            place = np.concatenate([np.flatnonzero(seen[at : at + SLICE] >= need) + at for at in slices]).astype(np.uint64)
-            word, first, _ = counted(place >> np.uint64(6))
-            value = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first) if len(word) else np.zeros(0, np.uint64)
-            n = len(word)
-            columns = [pa.array(word.view(np.int64)), pa.nulls(n, pa.binary()), pa.array(value.view(np.int64)), pa.nulls(n, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
-
         for t in tx.pieces(batches, "text"):
             data, bounds = tx.text_bytes(t.column("text"))
             data = tx.LOWER[data]
@@ -171,41 +148,28 @@ def first_pass(rows: DataFrame, settings: TreeSettings) -> DataFrame:
                     v[2] += m
             if len(held) > FLUSH_WORDS:
                 yield words()
-            tokens, owner = with_ends(h, row, len(trains))
-            keep = trains[owner]
-            size += int(keep.sum())
-            for _ in common_sequences(tokens[keep], owner[keep], depth, count):
-                pass
         if held:
             yield words()
-        if size:
-            yield bits()
 
     return rows.select("held_out", "text").mapInArrow(run, "h long, word binary, trained long, total long")
 
 
-SEQUENCE = "n int, key long, context long, suffix long, word long, count long"
+SEQUENCE = "n int, context long, suffix long, word long, count long"
 
 
-def second_pass(rows: DataFrame, bitmap: np.ndarray, settings: TreeSettings) -> DataFrame:
-    """Exact counts of the marked sequences of training texts."""
-    depth = settings.depth
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # a fixed size
+def counted_sequences(rows: DataFrame, least: float, depth: int) -> DataFrame:
+    """n, key, context, suffix, word, count of the sequences that stand `least` times in training texts."""
 
     def run(batches):
-        blocks, marks = Blocks(), shared.value
-
-        def wanted(key):
-            place = key >> np.uint64(64 - BITMAP_BITS)
-            return (marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+        blocks = Blocks()
 
         def solve():
             tokens, owner = blocks.take()
-            for n, at, key, context, suffix in common_sequences(tokens, owner, depth, wanted):
-                unique, one, count = counted(key)
-                long = [unique, context[one], suffix[one], tokens[at[one] + n - 1]]
+            for n, at, key, context, suffix in sequences(tokens, owner, depth):
+                _, one, count = counted(key)
+                long = [context[one], suffix[one], tokens[at[one] + n - 1]]
                 columns = [pa.array(np.full(len(one), n, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in long), pa.array(count)]
-                yield pa.RecordBatch.from_arrays(columns, ["n", "key", "context", "suffix", "word", "count"])
+                yield pa.RecordBatch.from_arrays(columns, ["n", "context", "suffix", "word", "count"])
 
         for t in tx.pieces(batches, "text"):
             data, bounds = tx.text_bytes(t.column("text"))
@@ -217,122 +181,71 @@ def second_pass(rows: DataFrame, bitmap: np.ndarray, settings: TreeSettings) ->
         if blocks.held:
             yield from solve()
 
+    def keys(batches):
+        for t in batches:
+            context, word = (t.column(c).to_numpy().view(np.uint64) for c in ("context", "word"))
+            yield t.append_column("key", pa.array(tx.joined(context, word).view(np.int64)))
+
     found = rows.where("NOT held_out").select("text").mapInArrow(run, SEQUENCE)
-    return found.groupBy("n", "key").agg(
-        F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.first("word").alias("word"), F.sum("count").alias("count")
-    )
+    whole = found.groupBy("n", "context", "word").agg(F.first("suffix").alias("suffix"), F.sum("count").alias("count"))
+    return whole.where(F.col("count") >= least).select("n", "context", "suffix", "word", "count").mapInArrow(keys, f"{SEQUENCE}, key long")
 
 
 # --- the tree ----------------------------------------------------------------
 
 
-def lookup(sorted_keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the wanted keys exist, and the values of those."""
+def lookup(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted keys exist, and the places of those."""
     if not len(sorted_keys) or not len(wanted):
-        return np.zeros(len(wanted), dtype=bool), np.zeros(0)
+        return np.zeros(len(wanted), dtype=bool), np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
     hit = sorted_keys[at] == wanted
-    return hit, values[at[hit]]
-
-
-@dataclass
-class Keyed:
-    """Values by 64-bit key, with a bit table that turns most absent keys away."""
-
-    keys: np.ndarray
-    values: np.ndarray
-    gate: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        order = np.argsort(self.keys)
-        self.keys, self.values = self.keys[order], self.values[order]
-        self.gate = np.zeros(1 << GATE_BITS, dtype=bool)
-        self.gate[(self.keys >> np.uint64(64 - GATE_BITS)).astype(np.int64)] = True
-
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places among the wanted keys that exist, and their values."""
-        near = np.flatnonzero(self.gate[(wanted >> np.uint64(64 - GATE_BITS)).astype(np.int64)])
-        hit, value = lookup(self.keys, self.values, wanted[near])
-        return near[hit], value
-
-
-@dataclass
-class SuffixTree:
-    """Level k: next symbols after k words with log10 chances, and retained contexts with the log10 weight of their suffix."""
-
-    entries: list[Keyed]
-    nodes: list[Keyed]
-
-    def apply(self, tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token its log10 chance or factor, and whether the root's chance is still to be added."""
-        out, root = np.zeros(len(tokens)), np.ones(len(tokens), dtype=bool)
-        contexts, symbols = [tokens], []
-        for k in range(1, len(self.entries) + 1):
-            size = max(len(tokens) - k, 0)
-            # contexts[k - 1][i] covers k tokens from i; the symbol after them is at i + k.
-            longer = tx.joined(contexts[-1][:size], tokens[k:])
-            symbols.append(longer)
-            contexts.append(longer)
-        open_ = np.ones(len(tokens), dtype=bool)
-        for k in range(len(self.entries), 0, -1):
-            size = max(len(tokens) - k, 0)
-            if not size:
-                continue
-            can = np.flatnonzero(open_[k:] & (owner[k:] == owner[:size]))
-            hit, value = self.entries[k - 1].find(symbols[k - 1][can])
-            done = can[hit] + k
-            out[done] += value
-            open_[done] = root[done] = False
-            rest = np.delete(can, hit)
-            known, weight = self.nodes[k - 1].find(contexts[k - 1][rest])
-            out[rest[known] + k] += weight
-        return out, root
-
-
-def grow(table: pa.Table, words: tuple[np.ndarray, np.ndarray], base, settings: TreeSettings) -> SuffixTree:
-    """The tree from the frequent sequences (a table of bounded size) and the counts of the frequent words."""
-    number = table["n"].to_numpy()
-    columns = {c: table[c].to_numpy().view(np.uint64) for c in ("key", "context", "suffix", "word")}
-    count = table["count"].to_numpy().astype(np.float64)
-    # Chance of a symbol after a context's suffix, by the hash of (suffix, symbol); one level at a time.
-    totals, entries, nodes = Keyed(*words), [], []
+    return hit, at[hit]
+
+
+def grow(found: DataFrame, words: DataFrame, settings: TreeSettings) -> DataFrame:
+    """key, count, value: what each sequence adds to the log10 chance of a text, as a context of the next token or by its last one.
+
+    words: h, trained, chance.
+    """
+    parts = []
+    above = words.select(F.col("h").alias("_key"), F.col("trained").alias("_total"), F.col("chance").alias("parent"))
     for level in range(1, settings.depth + 1):
-        at = np.flatnonzero(number == level + 1)
-        at = at[np.argsort(columns["context"][at], kind="stable")]
-        key, context, suffix, word = (columns[c][at] for c in ("key", "context", "suffix", "word"))
-        n = count[at]
-        new = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(at) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(at))))
-        seen = np.add.reduceat(n, new) if len(at) else np.zeros(0)
-        total = seen.copy()
-        hit, value = totals.find(context[new])
-        total[hit] = np.maximum(value, seen[hit])
-        if level == 1:
-            parent = base(word)
-        else:
-            found, value = above.find(suffix)
-            parent = np.full(len(at), np.nan)
-            parent[found] = value
-        gain = np.add.reduceat(n * np.log(n / total[owner] / parent), new) if len(at) else np.zeros(0)
-        keep = gain >= settings.divergence + np.diff(np.append(new, len(at)))
-        scale = total + settings.smoothing
-        left = (scale - seen) / scale
-        chance = np.where(keep[owner], n / scale[owner] + left[owner] * parent, parent)
-        good = keep[owner]
-        entries.append(Keyed(key[good], np.log10(chance[good])))
-        nodes.append(Keyed(context[new][keep], np.log10(left[keep])))
-        totals = Keyed(key, n)
-        above = Keyed(key, chance)
-    return SuffixTree(entries, nodes)
+        own = found.where(F.col("n") == level + 1)
+        # At level 1 the suffix of a sequence is its last word.
+        own = own.join(above.select("_key", "parent"), F.col("suffix") == F.col("_key")).select("key", "context", "count", "parent")
+        sums = own.groupBy("context").agg(
+            F.sum("count").alias("seen"), F.count(F.lit(1)).alias("k"), F.sum(F.expr("count * (ln(count) - ln(parent))")).alias("gain")
+        )
+        total = sums.join(above.select("_key", "_total"), F.col("context") == F.col("_key")).drop("_key")
+        kept = F.expr(f"gain - seen * ln(_total) >= {settings.divergence} + k")
+        scaled = total.select("context", kept.alias("keep"), (F.col("_total") + settings.smoothing).alias("scale"), "seen", "_total")
+        nodes = written(scaled.withColumn("rest", F.expr("(scale - seen) / scale")))
+        chance = F.expr("CASE WHEN keep THEN count / scale + rest * parent ELSE parent END")
+        full = written(own.join(nodes, "context").select("key", "count", "keep", "rest", "parent", chance.alias("chance")))
+        parts.append(nodes.where("keep").select(F.col("context").alias("key"), F.col("_total").alias("count"), F.log10("rest").alias("value")))
+        parts.append(full.where("keep").select("key", "count", F.expr("log10(chance) - log10(parent) - log10(rest)").alias("value")))
+        above = full.select(F.col("key").alias("_key"), F.col("count").alias("_total"), F.col("chance").alias("parent"))
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def gate(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the leading bits of the keys."""
+    place = F.shiftrightunsigned("key", 64 - GATE_BITS)
+    bits = keys.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - GATE_BITS}) & 63 AS int))").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # a bounded number
+    out = np.zeros(1 << (GATE_BITS - 6), dtype=np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
 
 
 def score(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = marked(docs)
-    first = written(first_pass(rows, settings))
-    words = written(
-        first.where("word IS NOT NULL").groupBy("h", "word").agg(F.sum("trained").alias("trained"), F.sum("total").alias("total")).drop("word")
-    )
+    words = written(word_counts(rows).groupBy("h", "word").agg(F.sum("trained").alias("trained"), F.sum("total").alias("total")).drop("word"))
     texts = rows.where("NOT held_out").count()
     sums = words.agg(
         F.sum("trained").alias("trained"), F.sum("total").alias("total"), F.count_if(F.col("trained") > 0).alias("types")
@@ -342,32 +255,32 @@ def score(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame
     unseen = settings.unseen
     below = train_tokens + unseen * (types + 1)
 
-    # Bounded by the size of the bitmap.
-    marks = first.where("word IS NULL").groupBy("h").agg(F.bit_or("trained").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
-    bitmap[marks["h"].to_numpy()] = marks["bits"].to_numpy().view(np.uint64)
-    least = max(2.0, settings.least * train_tokens)
-    table = second_pass(rows, bitmap, settings).where(F.col("count") >= least).toArrow()  # at most 1 / least rows of each length
-
-    often = min(settings.frequent * int(sums["total"] or 0), least)
-    common = words.where(F.col("total") >= often).select("h", "trained").toArrow()  # at most 1 / frequent rows
-    h, trained = common["h"].to_numpy().view(np.uint64), common["trained"].to_numpy().astype(np.float64)
-    counts = Keyed(np.append(h, END), np.append(trained, float(texts)))
-
-    def base(word: np.ndarray) -> np.ndarray:
-        n = np.zeros(len(word))
-        at, value = counts.find(word)
-        n[at] = value
-        return (n + unseen) / below
-
-    tree = grow(table, (h, trained), base, settings)
-    # Plain arrays, of bounded size; each task wraps them again.
-    plain = [[(k.keys, k.values) for k in level] for level in ([counts], tree.entries, tree.nodes)]
+    ends = docs.sparkSession.range(1).select(
+        F.lit(int(END.view(np.int64))).alias("h"), F.lit(texts).cast("long").alias("trained"), F.lit(None).cast("long").alias("total")
+    )
+    chances = words.unionByName(ends).withColumn("chance", (F.col("trained") + unseen) / below)
+    least = max(settings.fewest, settings.least * train_tokens)
+    found = written(counted_sequences(rows, least, settings.depth))
+    # The end of a text is always held as frequent.
+    often = max(1.0, settings.frequent * int(sums["total"] or 0))
+    roots = chances.select(
+        F.col("h").alias("key"), F.coalesce("total", F.lit(2**62)).alias("count"), F.lit(0.0).alias("value"),
+        F.log10("chance").alias("base"), (F.col("trained") > 0).cast("long").alias("known"),
+    )
+    grown = grow(found, chances, settings).withColumns({"base": F.lit(0.0), "known": F.lit(0).cast("long")})
+    values = written(
+        roots.unionByName(grown).groupBy("key").agg(F.max("count").alias("count"), *[F.sum(c).alias(c) for c in ("value", "base", "known")])
+    )
+    common = values.where(F.col("count") >= often).toArrow()  # at most 1 / frequent rows of each length
+    rare_values = values.where(F.col("count") < often).drop("count")
+    key = common["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    plain = [key[order], *(common[c].to_numpy()[order] for c in ("value", "base", "known")), gate(rare_values)]
     held = docs.sparkSession.sparkContext.broadcast(plain)
+    depth = settings.depth
 
     def run(batches):
-        (counts,), entries, nodes = ([Keyed(*arrays) for arrays in level] for level in held.value)
-        tree = SuffixTree(entries, nodes)
+        keys, value, base, known, marks = held.value
         for t in tx.pieces(batches, "text"):
             data, bounds = tx.text_bytes(t.column("text"))
             n = len(bounds) - 1
@@ -375,25 +288,27 @@ def score(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame
             data = tx.LOWER[data]
             start, end, row = tx.word_spans(data, bounds)
             tokens, owner = with_ends(tx.span_hashes(data, start, end), row, n)
-            factor, root = tree.apply(tokens, owner)
-            hit, value = lookup(counts.keys, counts.values, tokens)
-            chance = np.log10((value + unseen) / below)
-            own = np.bincount(owner, weights=factor, minlength=n)
-            own += np.bincount(owner[hit], weights=chance * root[hit], minlength=n)
+            sums, rest = np.zeros((3, n)), []
+            for who, what in [(owner, tokens), *((owner[at], key) for _, at, key, _, _ in sequences(tokens, owner, depth))]:
+                hit, at = lookup(keys, what)
+                for total, column in zip(sums, (value, base, known)):
+                    total += np.bincount(who[hit], weights=column[at], minlength=n)
+                who, what = who[~hit], what[~hit]
+                place = what >> np.uint64(64 - GATE_BITS)
+                open_ = (marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+                rest.append((who[open_], what[open_]))
             ids, flags = t.column("doc_id"), t.column("held_out")
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": ids, "held_out": flags, "mark": pa.array(mark), "copies": pa.array(np.ones(n, np.int64)),
-                    "n_tokens": pa.array(np.bincount(owner, minlength=n)),
-                    "n_known": pa.array(np.bincount(owner[hit], weights=value > 0, minlength=n).astype(np.int64)),
-                    "base": pa.array(np.bincount(owner[hit], weights=chance, minlength=n)), "own": pa.array(own),
-                    "h": pa.nulls(n, pa.int64()), "n": pa.nulls(n, pa.int64()),
+                    "n_tokens": pa.array(np.bincount(owner, minlength=n)), "n_known": pa.array(sums[2].astype(np.int64)),
+                    "base": pa.array(sums[1]), "own": pa.array(sums[0]), "h": pa.nulls(n, pa.int64()), "n": pa.nulls(n, pa.int64()),
                 }
             )
-            # Rare words: their chance comes by a join; at the root unless a context has them.
-            rest = np.flatnonzero(~hit)
-            order = np.lexsort((tokens[rest], owner[rest]))
-            r, k = owner[rest][order], tokens[rest][order]
+            # The values of the others come by a join.
+            r, k = (np.concatenate(x) for x in zip(*rest))
+            order = np.lexsort((k, r))
+            r, k = r[order], k[order]
             new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])])) if len(r) else np.zeros(0, np.int64)
             m = len(new)
             if m:
@@ -414,12 +329,9 @@ def score(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame
         )
     )
     group = ["doc_id", "held_out", "mark"]
-    # No context keeps a rare word: its sequences would be as rare. So its chance is the root's in both scores.
-    rare = parts.where("h IS NOT NULL").select(*group, "h", "n").join(words.select("h", "trained"), "h")
-    chance = F.col("n") * F.log10((F.col("trained") + unseen) / below)
+    rare = parts.where("h IS NOT NULL").select(*group, "h", "n").join(rare_values, F.col("h") == F.col("key"))
     nothing = F.lit(None).cast("long")
-    known = F.when(F.col("trained") > 0, F.col("n")).otherwise(0)
-    added = rare.select(*group, nothing.alias("copies"), nothing.alias("n_tokens"), known.alias("n_known"), chance.alias("base"), chance.alias("own"))
+    added = rare.select(*group, nothing.alias("copies"), nothing.alias("n_tokens"), *[(F.col("n") * F.col(c)).alias(d) for c, d in (("known", "n_known"), ("base", "base"), ("value", "own"))])
     # Equal rows (same id and text) were summed together: each gets its part.
     summed = (
         parts.where("h IS NULL").select(*group, "copies", "n_tokens", "n_known", "base", "own").unionByName(added)
@@ -432,5 +344,5 @@ def score(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame
         (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("copies")).alias("base_score"),
-        (F.col("own") / F.col("copies")).alias("score"),
+        ((F.col("base") + F.col("own")) / F.col("copies")).alias("score"),
     )

@@ -262,6 +262,17 @@ def brute_tree(rows, settings):
     return [sum(math.log10(chance(tuple(own[max(0, k - settings.depth) : k]), w)) for k, w in enumerate(own)) for own in tokens], len(kept)
 
 
+def test_language_keeps_rare_sequences_of_a_large_corpus(make):
+    # Over 0.5 million training tokens, where a share of all tokens would ask for three of a sequence.
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"f{rng.randrange(30)}" for _ in range(10_000)), "s1") for k in range(64)]
+    rows += [(100 + k, f"once{k % 40} more{k % 40} said{k % 40} f1 f2", "s2") for k in range(80)]
+    want, _ = brute_tree(rows, language.TreeSettings(least=0.0))
+    found = {r["doc_id"]: r for r in language.score(make(rows)).collect()}
+    assert found[100]["train_tokens"] > 550_000
+    assert {i: round(r["score"], 4) for i, r in found.items()} == {i: round(s, 4) for (i, _, _), s in zip(rows, want)}
+
+
 @pytest.mark.parametrize("frequent", [2e-6, 0.02])
 def test_language_scores(make, near_rows, frequent):
     settings = language.TreeSettings(least=5e-4, divergence=1.0, frequent=frequent)
