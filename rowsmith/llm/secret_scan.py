@@ -39,7 +39,7 @@ IS_HEX = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", dtype=np.uin
 
 @dataclass(frozen=True)
 class SecretSettings:
-    min_length: int = 20
+    min_length: int = 12  # as in the base rule
     min_ratio: float = 20.0
     min_mean: float = 1.0
     smoothing: float = 0.5

@@ -544,5 +544,19 @@ def test_secrets(make, odd_rows):
     assert found[702]["spans"] == "" and found[703]["spans"] == "markov:0:26"
 
 
+def test_short_secrets_outside_assignments(make):
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    drawn = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    # Ordinary tokens in small and capital letters and digits, so that both models know every character.
+    plain = lambda: " ".join(f"{a}{rng.choice('aeiou')}ne{a.lower()}er {rng.randrange(1000, 9999)}" for a in letters[26:52])
+    rows = [(k, f"password={drawn(24)} {plain()} internationalization considerations extraordinarily straightforward", "s") for k in range(400)]
+    rows += [(500 + k, f"the key is {drawn(n)} here", "s") for k, n in enumerate((16, 19))]
+    rows += [(600, "internationalization considerations extraordinarily straightforward", "s")]
+    docs = make(rows)
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs, secret_scan.train(docs)).collect()}
+    assert (found[500], found[501], found[600]) == ("markov:11:27", "markov:11:30", "")
+
+
 def test_secrets_of_nothing(nothing):
     assert secret_scan.scan(nothing, secret_scan.train(nothing)).count() == 0
