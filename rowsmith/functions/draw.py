@@ -7,12 +7,14 @@ row's value can be computed in place without a join. Expressions are SQL text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import gcd
 
 from rowsmith.functions.text import lit
 
 LONG_LIMIT = 2**62
+WIDE_BITS = 60
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,37 @@ class Draws:
             number = f"xxhash64({stream}, CAST({row} AS BIGINT))"
         return f"pmod({number}, {limit})"
 
+    def slices(self, row: str) -> Callable[[str, int], str]:
+        """Many small draws for one value, cut from as few wide ones as hold them.
+
+        Returns `pick(label, n)`: an integer in [0, n) for each row, the same
+        for the same label. A wide draw is a number of 60 bits, and each slice
+        leaves at least ten of them to the last one, so that no value of a
+        slice is favoured.
+        """
+        cut: dict[str, str] = {}
+        place = {"wide": 0, "used": 1}
+
+        def pick(label: str, n: int) -> str:
+            if label not in cut:
+                if place["used"] * n > 1 << (WIDE_BITS - 10) and place["used"] > 1:
+                    place["wide"], place["used"] = place["wide"] + 1, 1
+                wide, used = self.wide(row, place["wide"]), place["used"]
+                cut[label] = f"({wide if used == 1 else f'{wide} div {used}L'}) % {lit(n)}"
+                place["used"] = used * n
+            return f"({cut[label]})"
+
+        return pick
+
+    def wide(self, row: str, k: int) -> str:
+        """The k-th wide draw of a value; a digest holds two."""
+        if self.method == "md5":
+            stream = lit(f"{self.seed}|{self.table}|{self.column}|text{k // 2}")
+            digest = f"md5(concat_ws('|', {stream}, CAST({row} AS STRING)))"
+            return f"CAST(conv(substring({digest}, {1 + 15 * (k % 2)}, 15), 16, 10) AS BIGINT)"
+        stream = lit(f"{self.seed}|{self.table}|{self.column}|text{k}")
+        return f"(xxhash64({stream}, CAST({row} AS BIGINT)) & {(1 << WIDE_BITS) - 1}L)"
+
     def chance(self, probability: float, row: str, label: str) -> str:
         """True for about this share of rows, in steps of one millionth."""
         return f"{self.below(1_000_000, row, label)} < {lit(round(probability * 1_000_000))}"

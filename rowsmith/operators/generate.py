@@ -704,7 +704,7 @@ class Generator:
         plan, draws = self.column_plan(table, column), self.draws(table, column)
         token = self.token(table, column)
         locale = (plan.locale if plan else None) or self.locale
-        return lambda row: vocab.text_value(token, column, locale, lambda label, n: draws.below(n, row, label), row)
+        return lambda row: vocab.text_value(token, column, locale, draws.slices(row), row)
 
     def tick(self, table: Table, column: SpecColumn, span: Range, floor: Expression | None = None) -> Expression:
         """Draw one tick of a range, at or above `floor` when there is one."""

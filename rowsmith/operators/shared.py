@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 from rowsmith.functions.text import lit, name, text
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-HOT_KEYS = 1_000
 COPY_CHUNK = 65_536
 
 
@@ -115,35 +114,71 @@ def narrow_key(df: DataFrame, column: str, declared_length: int | None) -> str:
     return name(column)
 
 
+def fits(size: int) -> bool:
+    """Whether a table of this many bytes may be broadcast."""
+    return size * 2 <= BROADCAST_BYTES
+
+
 def fits_broadcast(df: DataFrame, columns: Sequence[str]) -> bool:
     """Whether a written table is small enough to broadcast, by measuring it."""
     width = " + ".join(f"coalesce(octet_length(CAST({name(c)} AS STRING)), 1) + 16" for c in columns)
     measured = df.agg(F.expr(f"sum(CAST({width} AS BIGINT))").alias("bytes")).first()
-    return (measured["bytes"] or 0) * 2 <= BROADCAST_BYTES
+    return fits(measured["bytes"] or 0)
 
 
 def rows_of_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join rows to the groups they belong to, whatever the size of a group.
 
     `groups` holds one row per key with the number of rows in `_n`. Its size is
-    measured first. Few groups are broadcast, so rows do not move at all. With
-    many, the largest `HOT_KEYS` groups are broadcast and the rest, which can
-    no longer dominate a partition, go through an ordinary shuffle join.
+    measured first.
     """
-    keys = list(keys)
     groups = materialize(groups)
-    if fits_broadcast(groups, groups.columns):
+    return rows_of_measured(rows, groups, keys, fits_broadcast(groups, groups.columns))
+
+
+def rows_of_measured(rows: DataFrame, groups: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """`rows_of_groups` with written groups that are known to be small enough to broadcast, or not.
+
+    Few groups are broadcast, so rows do not move at all. With many, those that
+    hold more than a fair part of a task's share of the rows are broadcast and
+    the rest, which cannot dominate a partition, go through a shuffle join.
+    """
+    keys = list(keys)
+    if small:
         return rows.join(F.broadcast(groups), keys)
-    hot = groups.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
-    return _split_join(rows, groups, keys, hot, "inner")
+    total = groups.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    least = max(2, total // _hot_parts(rows.sparkSession))
+    return _split_join(rows, groups, keys, groups.where(F.col("_n") >= least), "inner")
+
+
+def _hot_parts(spark: SparkSession) -> int:
+    """Keys with at least this part of all rows are hot, so there are at most so many of them."""
+    return 8 * shuffle_partitions(spark)
+
+
+def heavy_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that hold a large part of all rows, by a frequent-items summary.
+
+    Tasks summarise their rows in a bounded number of counters, and the
+    summaries merge. Keys above the hot part stand out of the error bound; a
+    key that is listed without need only takes the other way of a join.
+    """
+    spark = rows.sparkSession
+    most = min(8192, _hot_parts(spark))
+    packed = rows.selectExpr(f"to_json(struct({', '.join(name(k) for k in keys)})) AS k")
+    items = 1 << max(10, (8 * most - 1).bit_length())
+    top = packed.agg(F.expr(f"approx_top_k(k, {most}, {items})").alias("top"), F.count(F.lit(1)).alias("n"))
+    kind = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys])
+    found = top.selectExpr("n", "inline(top)").where(f"count * {_hot_parts(spark)} >= n")
+    return found.select(F.from_json("item", kind).alias("k")).select("k.*")
 
 
 def even_join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
     """Join rows to a table with one row per key, where a key may repeat in `rows` without bound.
 
     `how` is inner, left_semi or left_anti. Works as `rows_of_groups`, with the
-    heaviest keys counted here. `small` says that the caller has measured a
-    bound on the keyed table already.
+    heaviest keys found by a summary of the rows. `small` says that the caller
+    has measured a bound on the keyed table already.
     """
     keys = list(keys)
     if small:
@@ -151,12 +186,11 @@ def even_join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], how: str =
     keyed = materialize(keyed)
     if fits_broadcast(keyed, keyed.columns):
         return rows.join(F.broadcast(keyed), keys, how)
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return _split_join(rows, keyed, keys, counted.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS), how)
+    return _split_join(rows, keyed, keys, materialize(heavy_keys(rows, keys)), how)
 
 
 def _split_join(rows: DataFrame, keyed: DataFrame, keys: list[str], hot: DataFrame, how: str) -> DataFrame:
-    """Broadcast what belongs to the hot keys (a fixed number), shuffle the rest."""
+    """Broadcast what belongs to the hot keys (a bounded number), shuffle the rest."""
     hot_keys = F.broadcast(hot.select(*keys))
     hot_rows = rows.join(hot_keys, keys, "left_semi").join(F.broadcast(keyed.join(hot_keys, keys, "left_semi")), keys, how)
     cold_rows = rows.join(hot_keys, keys, "left_anti").join(keyed.join(hot_keys, keys, "left_anti"), keys, how)

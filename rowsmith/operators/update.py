@@ -15,8 +15,6 @@ from rowsmith.operators.shared import ref, written
 from rowsmith.operators.validate import assert_valid, raw_entries, row_key
 from rowsmith.spec import DatasetSpec, Table
 
-PAGE_DEFAULT, PAGE_LIMIT = 50, 1_000
-
 
 class UpdateError(ValueError):
     """A table cannot be updated row by row as asked."""
@@ -24,7 +22,7 @@ class UpdateError(ValueError):
 
 def keys_of(table: Table) -> list[str]:
     if not table.primary_key:
-        raise UpdateError(f"table {table.name!r} has no primary key and cannot be updated row by row")
+        raise UpdateError(f"without a primary key, the rows of {table.name!r} cannot be told apart for an update")
     return list(table.primary_key)
 
 
@@ -86,23 +84,31 @@ def merged(table: Table, stored: DataFrame, edited: DataFrame) -> DataFrame:
 
 
 def update_table(
-    spark: SparkSession, spec: DatasetSpec, data: Mapping[str, DataFrame], table_name: str, edited: DataFrame
+    spark: SparkSession,
+    spec: DatasetSpec,
+    data: Mapping[str, DataFrame],
+    table_name: str,
+    edited: DataFrame,
+    stored_valid: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Check an edited table and return (new table, changed rows).
 
     The whole dataset with the edited table must be valid and the set of keys
     must not change; otherwise nothing is returned. The pairs are written
-    once, and the key check and both results read them from there.
+    once, and the key check and both results read them from there. With
+    `stored_valid`, `data` is known to be valid, and only what the edit can
+    break is judged.
     """
     table = spec.table(table_name)
     keys_of(table)
     edited = normalized(table, edited)
     others = {n: df for n, df in data.items() if n.casefold() != table.name.casefold()}
     stored = next(df for n, df in data.items() if n.casefold() == table.name.casefold())
-    assert_valid(spark, spec, {**others, table.name: edited}, ignore=("unsupported_check",))
+    only = (table.name,) if stored_valid else None
+    assert_valid(spark, spec, {**others, table.name: edited}, ignore=("unsupported_check",), only=only)
     pairs = written(paired(table, stored, edited))
     if not pairs.where("_status IN ('added', 'removed')").isEmpty():
-        raise UpdateError(f"the primary key values of table {table.name!r} must not change")
+        raise UpdateError(f"an update of {table.name!r} must keep its primary keys as they are")
     return merged_of(table, pairs), changed_of(table, pairs)
 
 
@@ -112,7 +118,7 @@ def normalized(table: Table, df: DataFrame) -> DataFrame:
     unknown = [c for c in df.columns if not table.has_column(c)]
     absent = [c for c in table.column_names if c.casefold() not in by_name]
     if unknown or absent:
-        raise UpdateError(f"{table.name}: unknown columns {unknown}, missing columns {absent}")
+        raise UpdateError(f"{table.name}: columns {unknown} are not declared and {absent} are not given")
     return df.select(*[ref(by_name[c.casefold()]).alias(c) for c in table.column_names])
 
 
@@ -144,14 +150,3 @@ def normalized_rows(table: Table, df: DataFrame, raw: str, locator: Sequence[str
         *where, f"inline(CASE WHEN _entries IS NULL THEN {shape} ELSE concat({unknown}, {absent}) END)"
     ).selectExpr("kind", f"{lit(table.name)} AS table_name", "name AS column_name", f"{row_key(locator)} AS row_key")
     return rows, violations
-
-
-def page_by_key(table: Table, df: DataFrame, limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
-    """One page in key order (order of all columns when there is no key)."""
-    if not 1 <= limit <= PAGE_LIMIT:
-        raise UpdateError(f"page size must be between 1 and {PAGE_LIMIT}")
-    if offset < 0:
-        raise UpdateError("offset must not be negative")
-    order = list(table.primary_key) or table.column_names
-    page = df.select(*[ref(c) for c in table.column_names]).orderBy(*[ref(c) for c in order])
-    return page.offset(offset).limit(limit)

@@ -7,7 +7,8 @@ group of columns; foreign keys cost one join.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -18,19 +19,25 @@ from pyspark.sql import types as T
 from rowsmith.functions.checks import (
     Node,
     Operand,
+    Outcome,
     SqlCheck,
     UnsupportedCheck,
     evaluate,
     node_text,
     resolve,
+    sql_outcome,
+    with_sql,
 )
 from rowsmith.functions.text import any_of, lit, name, names, not_null, sql_type, text
 from rowsmith.operators.shared import (
     broadcasts_by_itself,
+    fits,
     literal_rows,
+    materialize,
     narrow_key,
     repeat_rows,
     rows_of_groups,
+    rows_of_measured,
     written,
 )
 from rowsmith.spec import Column as SpecColumn
@@ -186,7 +193,7 @@ def typed_rules(table: Table, df: DataFrame) -> list[Rule]:
             operands[column.name] = Operand(comparable(column, typed_null), f"{value} IS NULL", f"{value} IS NOT NULL")
     if table.primary_key:
         rules.append(key_null_rule(table, [c for c in table.primary_key if c.casefold() not in physical]))
-    return rules + check_rules(table, operands, df)
+    return rules + check_rules(table, operands, supported_checks(table, df)[0])
 
 
 def comparable(column: SpecColumn, value: str) -> str:
@@ -218,10 +225,8 @@ def supported_checks(table: Table, df: DataFrame | None = None) -> tuple[list[Ch
         words = node_text(check)
         try:
             node = resolve(check, columns)
-            if isinstance(node, SqlCheck) and df is not None:
-                kind = df.select(F.expr(node.text).alias("c")).schema["c"].dataType
-                if not isinstance(kind, T.BooleanType):
-                    raise UnsupportedCheck("the expression is not a condition")
+            if df is not None:
+                with_sql(node, lambda text_node: _require_condition(df, text_node))
             good.append((column, node, words))
         except UnsupportedCheck as error:
             refused.append((column, words, str(error)))
@@ -230,9 +235,16 @@ def supported_checks(table: Table, df: DataFrame | None = None) -> tuple[list[Ch
     return good, refused
 
 
-def check_rules(table: Table, operands: Mapping[str, Operand], df: DataFrame | None) -> list[Rule]:
+def _require_condition(df: DataFrame, check: SqlCheck) -> SqlCheck:
+    kind = df.select(F.expr(check.text).alias("c")).schema["c"].dataType
+    if not isinstance(kind, T.BooleanType):
+        raise UnsupportedCheck("the expression is not a condition")
+    return check
+
+
+def check_rules(table: Table, operands: Mapping[str, Operand], checks: Sequence[Check]) -> list[Rule]:
     rules = []
-    for column, node, words in supported_checks(table, df)[0]:
+    for column, node, words in checks:
         answer = evaluate(node, lambda c: operands[table.column(c).name])
         rules.append(Rule("check_failed", column, f"{table.name} fails CHECK ({words})", answer.failed))
         if answer.unevaluable is not None:
@@ -316,7 +328,8 @@ def raw_violations(table: Table, df: DataFrame, raw: str, locator: Sequence[str]
     """All row-level violations of a table that arrives as one JSON text per row."""
     known = ", ".join(lit(c.name.casefold()) for c in table.columns)
     # Names that differ only in case: the first one counts.
-    parsed = df.selectExpr(*[name(c) for c in locator], f"{raw_entries(raw)} AS _entries")
+    parsed = df.selectExpr(*[f"{name(c)} AS _l{i}" for i, c in enumerate(locator)], f"{raw_entries(raw)} AS _entries")
+    locator = [f"_l{i}" for i in range(len(locator))]
     parsed = parsed.selectExpr("*", "transform(_entries, e -> lower(e.key)) AS _names")
     parsed = parsed.selectExpr(
         "*",
@@ -346,7 +359,11 @@ def raw_violations(table: Table, df: DataFrame, raw: str, locator: Sequence[str]
             rules.append(_mistyped(table, column, wrong))
         rules.extend(value_rules(table, column, value) if column.type.name != "DECIMAL" else [])
         operands[column.name] = Operand(comparable(column, value), f"{source} IS NULL", wrong)
-    for rule in check_rules(table, operands, None):
+    # Text of checks is resolved against the typed values under their declared names.
+    typed = parsed.selectExpr(*[f"_v{i} AS {name(c.name)}" for i, c in enumerate(table.columns)])
+    checks = supported_checks(table, typed)[0]
+    parsed, checks = _raw_outcomes(table, parsed, typed, checks, operands)
+    for rule in check_rules(table, operands, checks):
         rules.append(Rule(rule.kind, rule.column, rule.message, f"{mapping} AND ({rule.broken})", dynamic=True))
 
     strangers = (
@@ -366,6 +383,39 @@ def raw_violations(table: Table, df: DataFrame, raw: str, locator: Sequence[str]
     return apply_rules(parsed, table, rules, locator).union(strangers)
 
 
+def _raw_outcomes(
+    table: Table, parsed: DataFrame, typed: DataFrame, checks: Sequence[Check], operands: dict[str, Operand]
+) -> tuple[DataFrame, list[Check]]:
+    """Evaluate SQL text on raw rows: its outcome becomes a column, and the check a comparison with it.
+
+    A value of the wrong type in a column that the text names makes it unevaluable.
+    """
+    told: list[Check] = []
+    texts: dict[str, str] = {}
+
+    def evaluated(check: SqlCheck) -> Outcome:
+        wrong = any_of([operands[c].bad for c in named_columns(typed, check.text) if operands[c].bad])
+        outcome = f"_c{len(texts)}"
+        texts[outcome] = sql_outcome(check.text)
+        return Outcome(outcome, wrong)
+
+    for column, node, words in checks:
+        told.append((column, with_sql(node, evaluated), words))
+    if texts:
+        # The declared names stand alone in this projection, whatever the rows' own columns are called.
+        values = [f"{name(c)} AS {name('_own_' + c)}" for c in parsed.columns]
+        declared = [f"_v{i} AS {name(c.name)}" for i, c in enumerate(table.columns)]
+        kept = [f"{name('_own_' + c)} AS {name(c)}" for c in parsed.columns]
+        parsed = parsed.selectExpr(*values, *declared).selectExpr(*kept, *[f"{t} AS {o}" for o, t in texts.items()])
+    return parsed, told
+
+
+def named_columns(df: DataFrame, text: str) -> list[str]:
+    """The columns of a table that a condition names."""
+    named = df.select(F.expr(text))._jdf.queryExecution().analyzed().references().toSeq()
+    return [c for c in df.columns if c in {named.apply(i).name() for i in range(named.size())}]
+
+
 # --- keys --------------------------------------------------------------------
 
 
@@ -381,92 +431,208 @@ def primary_key_null(table: Table, df: DataFrame, locator: Sequence[str] | None
     return apply_rules(df, table, [key_null_rule(table)], locator or table.primary_key)
 
 
-class Repeats:
-    """Violations of repeated keys: rows as they are, and rows with a number of copies.
-
-    Copies are unrolled once for all keys of a dataset, because that step
-    spreads them over the cluster and a shuffle per key would be wasted.
-    """
+@dataclass(frozen=True)
+class KeyGroup:
+    """One key whose entries are counted: a primary key, a unique group, or a foreign key (number below 0)."""
 
-    def __init__(self, single: list[DataFrame] | None = None, counted: list[DataFrame] | None = None) -> None:
-        self.single, self.counted = single or [], counted or []
+    number: int
+    kind: str
+    table: Table
+    key: tuple[str, ...]
+    locator: tuple[str, ...]
+    message: str
+    parts: tuple[str, str, str]
+    counted: bool
 
-    def add(self, other: Repeats) -> None:
-        self.single += other.single
-        self.counted += other.counted
+    def entry(self, parts: Sequence[str], complete: str, label: str, parent: bool = False) -> str:
+        first, second, rest = parts
+        return (
+            f"struct(CASE WHEN {complete} THEN {self.number} END AS _g, {first} AS _i, {second} AS _j, "
+            f"{rest} AS _k, {label} AS _label, {str(parent).upper()} AS _parent)"
+        )
 
-    def parts(self) -> list[DataFrame]:
-        if not self.counted:
-            return self.single
-        return [*self.single, repeat_rows(_union(self.counted), "_times", ["table_name", "row_key"])]
 
-    def frame(self) -> DataFrame:
-        return _union(self.parts())
+KEY = ["_g", "_i", "_j", "_k"]
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def repeated(
-    kind: str, table: Table, df: DataFrame, key: Sequence[str], locator: Sequence[str], message: str
-) -> Repeats:
-    """Every occurrence of a key after its first, in the order of the locator.
+def key_parts(df: DataFrame, key: Sequence[str], lengths: Sequence[int | None]) -> tuple[str, str, str]:
+    """A key of any columns in three of one type: the first two whole numbers as they are, the rest as text.
 
-    Rows with a NULL in the key do not take part.
+    Equal parts mean equal keys. Long texts enter as their digest.
+    """
+    whole = [c for c in key if isinstance(df.schema[c].dataType, _WHOLE)][:2]
+    rest = [_as_text(df, c, n) for c, n in zip(key, lengths) if c not in whole]
+    if len(rest) > 1:
+        # With its length before it, a text cannot run into its neighbour.
+        rest = [f"concat({', '.join(x for r in rest for x in (f'octet_length({r})', lit(':'), r))})"]
+    numbers = [f"coalesce(CAST({name(c)} AS BIGINT), 0L)" for c in whole] + ["0L", "0L"]
+    return numbers[0], numbers[1], f"coalesce({rest[0]}, '')" if rest else "''"
+
+
+def _as_text(df: DataFrame, column: str, length: int | None) -> str:
+    kind, value = df.schema[column].dataType, name(column)
+    if isinstance(kind, T.StringType):
+        return narrow_key(df, column, length)
+    if isinstance(kind, T.TimestampType):
+        return f"CAST(unix_micros({value}) AS STRING)"  # local times repeat when clocks go back
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return f"CAST({value} + 0 AS STRING)"  # no negative zero
+    if isinstance(kind, (T.ArrayType, T.StructType, T.BinaryType)):
+        return f"to_json(named_struct('v', {value}))"
+    return f"CAST({value} AS STRING)"
+
+
+class Keys:
+    """Keys of any number of tables, counted in one aggregation.
+
+    Every table is read once: a row gives an entry for each key that it holds
+    or names. The entries of all tables are counted together by group and key,
+    so a frequent key crosses the shuffle once a task. The broken keys are
+    written, and a few sums over them say which groups they belong to and how
+    large they are. Only tables with broken keys that do not name their rows
+    are read a second time.
     """
-    key, locator = list(key), list(locator)
-    rows = df.where(not_null(key))
-    report = _violation(kind, table, _single(key), message, row_key(locator))
-    count = F.count(F.lit(1)).alias("_n")
-    if set(locator) <= set(key):
-        # The key itself names the row, so counting is enough: no row moves twice.
-        counted = rows.groupBy(*[name(c) for c in key]).agg(count).where("_n > 1")
-        return Repeats(counted=[counted.selectExpr(*report, "_n - 1 AS _times")])
-
-    lengths = {c: table.column(c).type.length if table.has_column(c) else None for c in key}
-    keyed = rows.selectExpr(
-        *[f"{narrow_key(df, c, lengths[c])} AS _k{i}" for i, c in enumerate(key)], *[name(c) for c in locator]
-    )
-    shared = [f"_k{i}" for i in range(len(key))]
-    place = name(locator[0]) if len(locator) == 1 else f"struct({names(locator)})"
-    groups = keyed.groupBy(*shared).agg(count, F.expr(f"min({place})").alias("_first")).where("_n > 1")
-    # Rows that cannot be told apart count as copies: the first row of a key is
-    # left out once, every other occurrence is reported.
-    members = (
-        rows_of_groups(keyed, groups, shared)
-        .groupBy(*shared, *[name(c) for c in locator], "_first")
-        .agg(F.count(F.lit(1)).alias("_same"))
-        .selectExpr(*report, f"_same - CASE WHEN {place} <=> _first THEN 1 ELSE 0 END AS _times")
-    )
-    single = members.where("_times = 1").drop("_times")
-    return Repeats([single], [members.where("_times > 1")])
-
-
-def _key_repeats(table: Table, df: DataFrame, locator: Sequence[str]) -> Repeats:
-    key = table.primary_key
-    return repeated("primary_key_duplicate", table, df, key, locator, f"{table.name} repeats primary key ({', '.join(key)})")
-
 
-def _unique_repeats(table: Table, df: DataFrame, group: Sequence[str], locator: Sequence[str]) -> Repeats:
-    return repeated("unique_duplicate", table, df, group, locator, f"{table.name} repeats unique ({', '.join(group)})")
+    def __init__(self) -> None:
+        self.groups: dict[int, KeyGroup] = {}
+        self.frames: dict[int, DataFrame] = {}
+        self.entries: dict[int, list[str]] = {}
+        self.owners: dict[int, int] = {}
+
+    def _enter(self, group: KeyGroup, df: DataFrame, entry: str) -> None:
+        self.frames[id(df)] = df
+        self.entries.setdefault(id(df), []).append(entry)
+        self.groups[group.number] = group
+
+    def unique(self, kind: str, table: Table, df: DataFrame, key: Sequence[str], locator: Sequence[str], message: str) -> None:
+        """Every occurrence of a key after its first, in the order of the locator, breaks it; a NULL in it never does."""
+        lengths = [table.column(c).type.length if table.has_column(c) else None for c in key]
+        parts = key_parts(df, key, lengths)
+        # Where the key itself names the row, counting is enough.
+        counted = set(locator) <= set(key)
+        group = KeyGroup(len(self.groups) + 1, kind, table, tuple(key), tuple(locator), message, parts, counted)
+        numbers = list(locator) == list(key) and len(key) <= 2 and all(isinstance(df.schema[c].dataType, _WHOLE) for c in key)
+        label = row_key(locator) if counted and not numbers else text(None)
+        self.owners[group.number] = id(df)
+        self._enter(group, df, group.entry(parts, not_null(key), label))
+
+    def foreign(self, table: Table, child: DataFrame, fk: ForeignKey, parent: DataFrame, locator: Sequence[str]) -> None:
+        """Rows whose complete foreign key is no key of the parent break it."""
+        message = foreign_key_message(table, fk)
+        lengths = [None] * len(fk.columns)
+        parts = key_parts(child, fk.columns, lengths)
+        group = KeyGroup(-len(self.groups) - 1, "foreign_key_missing", table, tuple(fk.columns), tuple(locator), message, parts, False)
+        self.owners[group.number] = id(child)
+        self._enter(group, child, group.entry(parts, not_null(fk.columns), text(None)))
+        if all(c in parent.columns for c in fk.parent_columns):
+            there = key_parts(parent, fk.parent_columns, lengths)
+            self._enter(group, parent, group.entry(there, not_null(fk.parent_columns), text(None), parent=True))
+
+    def violations(self) -> list[DataFrame]:
+        """The reports of all keys; nothing but the count runs when none is broken."""
+        if not self.groups:
+            return []
+        listed = [df.selectExpr(f"inline(array({', '.join(self.entries[k])}))").where("_g IS NOT NULL") for k, df in self.frames.items()]
+        counts = _union(listed).groupBy(*KEY, "_label").agg(
+            F.expr("count_if(NOT _parent)").alias("_n"), F.expr("bool_or(_parent)").alias("_met")
+        )
+        broken = materialize(counts.where("CASE WHEN _g > 0 THEN _n > 1 ELSE _n > 0 AND NOT _met END").drop("_met"))
+        width = "octet_length(_k) + coalesce(octet_length(_label), 0) + 64"
+        sizes = {r["_g"]: r["size"] for r in broken.groupBy("_g").agg(F.expr(f"sum(CAST({width} AS BIGINT))").alias("size")).collect()}
+        reports, repeats = [], []
+        named = [g for g in sizes if self.groups[g].counted]
+        if named:
+            found = broken.where(f"_g IN ({', '.join(map(str, named))})")
+            key = "coalesce(_label, CASE {} END)".format(
+                " ".join(f"WHEN _g = {g} THEN concat_ws('|', {', '.join(['_i', '_j'][: len(self.groups[g].key)])})" for g in named)
+            )
+            repeats.append(found.selectExpr(*self._report(named, key), "_n - 1 AS _times"))
+        for owner, df in self.frames.items():
+            mine = [g for g in sizes if not self.groups[g].counted and self.owners[g] == owner]
+            if mine:
+                self._match_back(df, mine, broken, fits(sum(sizes[g] for g in mine)), reports, repeats)
+        if repeats:
+            reports.append(repeat_rows(_union(repeats), "_times", ["table_name", "row_key"]))
+        return reports
+
+    def _report(self, numbers: Sequence[int], key: str) -> list[str]:
+        """The columns of a report, as the group of each row says."""
+
+        def chosen(value) -> str:
+            return "CASE " + " ".join(f"WHEN _g = {g} THEN {value(self.groups[g])}" for g in numbers) + " END"
+
+        return [
+            f"{chosen(lambda g: lit(g.kind))} AS kind",
+            f"{chosen(lambda g: lit(g.table.name))} AS table_name",
+            f"{chosen(lambda g: text(_single(g.key)))} AS column_name",
+            f"{key} AS row_key",
+            f"{chosen(lambda g: lit(g.message))} AS message",
+        ]
+
+    def _match_back(self, df: DataFrame, numbers: list[int], broken: DataFrame, small: bool, reports: list[DataFrame], repeats: list[DataFrame]) -> None:
+        """The rows of one table that hold or name broken keys."""
+        groups = [self.groups[g] for g in numbers]
+        locator = groups[0].locator
+        entries = ", ".join(g.entry(g.parts, not_null(g.key), text(None)) for g in groups)
+        rows = df.selectExpr(*[name(c) for c in locator], f"inline(array({entries}))").where("_g IS NOT NULL").drop("_label", "_parent")
+        wanted = broken.where(f"_g IN ({', '.join(map(str, numbers))})").select(*KEY, "_n")
+        members = rows_of_measured(rows, wanted, KEY, small)
+        key = row_key(locator)
+        missing = [g for g in numbers if g < 0]
+        repeated = [g for g in numbers if g > 0]
+        if repeated:
+            # Broken rows only; they are read for the first of each key and for the rest.
+            members = written(members)
+            place = name(locator[0]) if len(locator) == 1 else f"struct({names(locator)})"
+            found = members.where("_g > 0")
+            firsts = found.groupBy(*KEY).agg(F.expr(f"min({place})").alias("_first"), F.max("_n").alias("_n"))
+            placed = rows_of_groups(found.drop("_n"), firsts, KEY)
+            reports.append(placed.where(f"NOT ({place} <=> _first)").selectExpr(*self._report(repeated, key)))
+            # Rows that cannot be told apart from the first count as copies of it: one is left out.
+            copies = placed.where(f"{place} <=> _first").groupBy(*KEY, *[name(c) for c in locator]).agg(F.count(F.lit(1)).alias("_same"))
+            repeats.append(copies.where("_same > 1").selectExpr(*self._report(repeated, key), "_same - 1 AS _times"))
+        if missing:
+            reports.append(members.where("_g < 0").selectExpr(*self._report(missing, key)))
+
+
+def _key_message(table: Table) -> str:
+    return f"{table.name}: primary key ({', '.join(table.primary_key)}) stands in more than one row"
+
+
+def _unique_message(table: Table, group: Sequence[str]) -> str:
+    return f"{table.name}: unique ({', '.join(group)}) stands in more than one row"
 
 
 def primary_key_duplicate(table: Table, df: DataFrame, locator: Sequence[str] | None = None) -> DataFrame:
-    return _key_repeats(table, df, locator or table.primary_key).frame()
+    key, where = list(table.primary_key), list(locator or table.primary_key)
+    if not set(where) <= set(key):
+        return _keys_frame(df, lambda keys: keys.unique("primary_key_duplicate", table, df, key, where, _key_message(table)))
+    # The key names its rows and is alone: its columns are counted as they are.
+    counted = df.where(not_null(key)).groupBy(*[name(c) for c in key]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    report = _violation("primary_key_duplicate", table, _single(key), _key_message(table), row_key(where))
+    return repeat_rows(counted.selectExpr(*report, "_n - 1 AS _times"), "_times", ["table_name", "row_key"])
 
 
 def unique_duplicate(table: Table, df: DataFrame, group: Sequence[str], locator: Sequence[str] | None = None) -> DataFrame:
     where = list(locator or table.primary_key) or list(df.columns)
-    return _unique_repeats(table, df, group, where).frame()
+    return _keys_frame(df, lambda keys: keys.unique("unique_duplicate", table, df, list(group), where, _unique_message(table, group)))
+
 
+def _keys_frame(df: DataFrame, enter: Callable[[Keys], None]) -> DataFrame:
+    keys = Keys()
+    enter(keys)
+    return _union([literal_rows(df.sparkSession, [], FIELDS), *keys.violations()])
 
-def key_repeats(table: Table, df: DataFrame, locator: Sequence[str]) -> Repeats:
-    """Repeats of the primary key and of every unique group of a table."""
-    found = Repeats()
+
+def enter_keys(keys: Keys, table: Table, df: DataFrame, locator: Sequence[str]) -> None:
+    """The primary key and every unique group of a table."""
     present = {c.casefold() for c in df.columns}
     if table.primary_key and all(c.casefold() in present for c in table.primary_key):
-        found.add(_key_repeats(table, df, locator))
+        keys.unique("primary_key_duplicate", table, df, table.primary_key, locator, _key_message(table))
     for group in table.unique:
         if all(c.casefold() in present for c in group):
-            found.add(_unique_repeats(table, df, group, locator))
-    return found
+            keys.unique("unique_duplicate", table, df, group, locator, _unique_message(table, group))
 
 
 # --- foreign keys ------------------------------------------------------------
@@ -482,31 +648,46 @@ def _comparable(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> bool:
     return all(_same_family(child.schema[c], parent.schema[p]) for c, p in zip(fk.columns, fk.parent_columns))
 
 
+def _same_parts(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> bool:
+    """Whether equal values have equal key parts on both sides."""
+
+    def kind(df: DataFrame, column: str) -> str:
+        found = df.schema[column].dataType
+        return "whole" if isinstance(found, _WHOLE) else found.simpleString()
+
+    return all(kind(child, c) == kind(parent, p) for c, p in zip(fk.columns, fk.parent_columns))
+
+
 class Lookups:
     """Foreign keys of a table, split by the size of their parents.
 
     A parent small enough for Catalyst to broadcast is looked up in the same
-    scan as the row rules. For a large one the distinct child keys are probed,
-    so a key with very many child rows crosses the shuffle once, and the few
-    missing keys are matched back to their rows.
+    scan as the row rules. For a large one the keys of both sides are counted
+    with all other keys. Where child and parent have different types, the
+    distinct child keys are probed by a join that compares them as Spark does.
     """
 
-    def __init__(self, table: Table, child: DataFrame) -> None:
+    def __init__(self, table: Table, child: DataFrame, keys: Keys, locator: Sequence[str]) -> None:
         self.table, self.child, self.probed = table, child, child
+        self.keys, self.locator = keys, list(locator)
         self.rules: list[Rule] = []
-        self.large: list[tuple[ForeignKey, DataFrame]] = []
+        self.mixed: list[DataFrame] = []
 
-    def add(self, fk: ForeignKey, parent: DataFrame) -> None:
+    def add(self, fk: ForeignKey, parent_table: Table | None, parent: DataFrame) -> None:
         complete = not_null(fk.columns)
-        if not _comparable(self.child, fk, parent):
+        whole_parent = referenced(parent_table, parent, fk.parent_columns) if parent_table else parent
+        if not _comparable(self.child, fk, whole_parent):
             self._rule(fk, complete)
             return
         position = len(self.rules)
         shared = [f"_f{position}_{i}" for i in range(len(fk.columns))]
         found = f"_p{position}"
-        keys = _parent_keys(self.child, fk, parent, shared).distinct().selectExpr(*shared, f"TRUE AS {found}")
+        keys = _parent_keys(self.child, fk, whole_parent, shared).distinct().selectExpr(*shared, f"TRUE AS {found}")
         if not broadcasts_by_itself(keys):
-            self.large.append((fk, parent))
+            if _same_parts(self.child, fk, whole_parent):
+                self.keys.foreign(self.table, self.child, fk, parent, self.locator)
+            else:
+                self.mixed.append(self._probed(fk, whole_parent))
             return
         match = " AND ".join(f"{name(c)} = {s}" for c, s in zip(fk.columns, shared))
         self.probed = self.probed.join(keys, F.expr(match), "left")
@@ -515,16 +696,13 @@ class Lookups:
     def _rule(self, fk: ForeignKey, broken: str) -> None:
         self.rules.append(Rule("foreign_key_missing", _single(fk.columns), foreign_key_message(self.table, fk), broken))
 
-    def large_violations(self, locator: Sequence[str]) -> list[DataFrame]:
-        return [self._large(fk, parent, locator) for fk, parent in self.large]
-
-    def _large(self, fk: ForeignKey, parent: DataFrame, locator: Sequence[str]) -> DataFrame:
+    def _probed(self, fk: ForeignKey, parent: DataFrame) -> DataFrame:
         shared = [f"_f{i}" for i in range(len(fk.columns))]
         report = _violation(
-            "foreign_key_missing", self.table, _single(fk.columns), foreign_key_message(self.table, fk), row_key(locator)
+            "foreign_key_missing", self.table, _single(fk.columns), foreign_key_message(self.table, fk), row_key(self.locator)
         )
         keyed = self.child.where(not_null(fk.columns)).selectExpr(
-            *[f"{name(c)} AS {s}" for c, s in zip(fk.columns, shared)], *[name(c) for c in locator]
+            *[f"{name(c)} AS {s}" for c, s in zip(fk.columns, shared)], *[name(c) for c in self.locator]
         )
         # The join needs this shuffle anyway, and repeats leave before it.
         keys = _parent_keys(self.child, fk, parent, shared).distinct()
@@ -542,9 +720,10 @@ def foreign_key_missing(
 ) -> DataFrame:
     """Child rows whose complete foreign key has no parent row."""
     where = list(locator or table.primary_key) or list(child.columns)
-    lookups = Lookups(table, child)
-    lookups.add(fk, parent)
-    return _union([apply_rules(lookups.probed, table, lookups.rules, where), *lookups.large_violations(where)])
+    keys = Keys()
+    lookups = Lookups(table, child, keys, where)
+    lookups.add(fk, None, parent)
+    return _union([apply_rules(lookups.probed, table, lookups.rules, where), *lookups.mixed, *keys.violations()])
 
 
 def _as_child(child: DataFrame, parent: DataFrame, field: str, target: str) -> str:
@@ -584,8 +763,8 @@ def table_presence(spark: SparkSession, spec: DatasetSpec, given: DataFrame) ->
             f"concat('Table ', table_name, {lit(ending)}) AS message",
         )
 
-    unknown = report(found.join(wanted, "_k", "left_anti"), "unknown_table", " is not part of the spec")
-    return unknown.union(report(wanted.join(found, "_k", "left_anti"), "missing_table", " is not in the dataset"))
+    unknown = report(found.join(wanted, "_k", "left_anti"), "unknown_table", " is not declared by the spec")
+    return unknown.union(report(wanted.join(found, "_k", "left_anti"), "missing_table", " has no data"))
 
 
 def unsupported_notes(table: Table, df: DataFrame | None = None) -> list[tuple[str | None, ...]]:
@@ -605,38 +784,54 @@ def validate(
     spec: DatasetSpec,
     data: Mapping[str, DataFrame],
     locators: Mapping[str, Sequence[str]] | None = None,
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every violation of every kind, as one DataFrame.
 
+    A table is read twice, for its rows and for its keys, and once more where
+    keys are broken that do not name their rows.
+
     `locators` names, per table, the columns that identify a row in reports;
-    the primary key is used by default.
+    the primary key is used by default. With `only`, just these tables are
+    judged, and the references of others to them.
     """
+    judged = {n.casefold() for n in only} if only is not None else {t.name.casefold() for t in spec.tables}
     known = {t.name.casefold() for t in spec.tables}
     notes: list[tuple[str | None, ...]] = [
-        ("unknown_table", name, None, None, f"Table {name} is not part of the spec")
+        ("unknown_table", name, None, None, f"The spec declares no table {name}")
         for name in data
         if name.casefold() not in known
     ]
-    parts: list[DataFrame] = []
-    repeats = Repeats()
+    frames = {}
     for table in spec.tables:
         df = _lookup(data, table.name)
         if df is None:
-            notes.append(("missing_table", table.name, None, None, f"Table {table.name} is not in the dataset"))
+            notes.append(("missing_table", table.name, None, None, f"Table {table.name} has no data"))
+        else:
+            frames[table.name.casefold()] = declared_names(table, df)
+    parts: list[DataFrame] = []
+    keys = Keys()
+    for table in spec.tables:
+        df = frames.get(table.name.casefold())
+        if df is None:
             continue
-        df = declared_names(table, df)
         locator = locator_of(table, df, locators)
-        notes.extend(unsupported_notes(table, df))
-        lookups = Lookups(table, df)
+        mine = table.name.casefold() in judged
+        if mine:
+            notes.extend(unsupported_notes(table, df))
+        lookups = Lookups(table, df, keys, locator)
         present = {c.casefold() for c in df.columns}
         for fk in table.foreign_keys:
-            parent = _lookup(data, fk.parent)
+            parent = frames.get(fk.parent.casefold()) if mine or fk.parent.casefold() in judged else None
             if parent is not None and all(c.casefold() in present for c in fk.columns):
-                lookups.add(fk, referenced(spec.table(fk.parent), parent, fk.parent_columns))
-        parts.append(apply_rules(lookups.probed, table, [*typed_rules(table, df), *lookups.rules], locator))
-        parts.extend(lookups.large_violations(locator))
-        repeats.add(key_repeats(table, df, locator))
-    return _union([literal_rows(spark, notes, FIELDS), *parts, *repeats.parts()])
+                lookups.add(fk, spec.table(fk.parent), parent)
+        rules = [*typed_rules(table, df), *lookups.rules] if mine else lookups.rules
+        if rules:
+            parts.append(apply_rules(lookups.probed, table, rules, locator))
+        parts.extend(lookups.mixed)
+        if mine:
+            enter_keys(keys, table, df, locator)
+    return _union([literal_rows(spark, notes, FIELDS), *parts, *keys.violations()])
 
 
 def summarize(violations: DataFrame, samples: int = 3) -> DataFrame:
@@ -668,9 +863,10 @@ def assert_valid(
     *,
     ignore: Sequence[str] = (),
     locators: Mapping[str, Sequence[str]] | None = None,
+    only: Sequence[str] | None = None,
 ) -> None:
     """Raise `DataValidationError` when anything but the ignored kinds is violated."""
-    violations = validate(spark, spec, data, locators)
+    violations = validate(spark, spec, data, locators, only)
     if ignore:
         violations = violations.where(~F.col("kind").isin(*ignore))
     violations = written(violations)

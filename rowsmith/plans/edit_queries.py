@@ -8,10 +8,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from rowsmith.operators import paging
 from rowsmith.operators import update as u
 from rowsmith.operators.edit import Regenerate, Replace, Transform, apply_edits
-from rowsmith.operators.shared import checkpoint_dir
+from rowsmith.operators.shared import checkpoint_dir, written
 from rowsmith.operators.validate import apply_rules, typed_rules
 from rowsmith.plans import tpch
 from rowsmith.plans.registry import query, sql_draw, sql_key, sql_violation
@@ -191,7 +191,40 @@ def upd_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_by_key", f"SELECT * FROM {ORDERS_SQL} ORDER BY o_orderkey LIMIT 100 OFFSET 350")
 def page_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return u.page_by_key(ORDERS, orders(spark, sf_dir), limit=100, offset=350)
+    return paging.page_by_key(ORDERS, orders(spark, sf_dir), limit=100, offset=350)
+
+
+@query(
+    "page_total",
+    f"SELECT *, (SELECT count(*) FROM orders) AS total, 1100 + 100 < (SELECT count(*) FROM orders) AS has_next FROM {ORDERS_SQL} ORDER BY o_orderkey LIMIT 100 OFFSET 1100",
+)
+def page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far from the start, found by the directory of the table, and the number of rows."""
+    table = orders(spark, sf_dir)
+    page = paging.page_of(ORDERS, table, written(paging.directory(ORDERS, table, block_rows=64)), limit=100, offset=1100)
+    return page.rows.withColumns({"total": F.lit(page.total), "has_next": F.lit(page.has_next)})
+
+
+@query(
+    "page_next",
+    "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL) "
+    "WHERE (l_orderkey, l_linenumber) > (200, 3) ORDER BY l_orderkey, l_linenumber LIMIT 50",
+)
+def page_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after a key of two columns."""
+    table = Table("lines", (Column("l_orderkey", INT), Column("l_linenumber", INT), Column("l_partkey", INT)), ("l_orderkey", "l_linenumber"))
+    rows = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    return paging.page_after(table, rows, (200, 3), limit=50)
+
+
+@query("page_stored", f"SELECT *, (SELECT count(*) FROM orders) AS total FROM {EDITED_SQL} ORDER BY o_orderkey LIMIT 60 OFFSET 700")
+def page_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a stored table that the second version of its dataset holds anew."""
+    path = work_path(spark)
+    store.write_dataset(spark, SPEC, dataset(spark, sf_dir), path)
+    store.update_stored_table(spark, path, "orders", edited_orders(spark, sf_dir), f"{path}-v2")
+    page = store.stored_page(spark, f"{path}-v2", "orders", 60, 700)
+    return page.rows.withColumn("total", F.lit(page.total))
 
 
 # --- rows as JSON ------------------------------------------------------------
@@ -331,15 +364,24 @@ def sink_csv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(path).where(F.col("value") != ",".join(names)).withColumnRenamed("value", "line")
 
 
+_EXPORTED = (
+    "CAST(c_custkey AS VARCHAR)",
+    "concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, ''), CAST(o_totalprice AS VARCHAR), CAST(o_orderdate AS VARCHAR), "
+    "CAST(o_placed AS VARCHAR), coalesce(CAST(o_lines AS VARCHAR), ''), o_orderpriority)",
+)
+
+
 @query(
     "sink_export",
-    """SELECT 'customer' AS table_name, count(*) AS n_rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders""",
+    f"""SELECT 'customer' AS table_name, {_EXPORTED[0]} AS line FROM customer
+        UNION ALL SELECT 'orders', {_EXPORTED[1]} FROM {ORDERS_SQL}""",
 )
 def sink_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of an exported dataset, read back."""
     path = work_path(spark)
     store.export_dataset(SPEC, dataset(spark, sf_dir), path)
     parts = [
-        store.read_csv(spark, t, f"{path}/{t.name}.csv").agg(F.lit(t.name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
-        for t in SPEC.tables
+        store.read_csv(spark, t, f"{path}/{t.name}.csv").selectExpr(f"'{t.name}' AS table_name", f"{line.replace('VARCHAR', 'STRING')} AS line")
+        for t, line in zip(SPEC.tables, _EXPORTED)
     ]
     return parts[0].union(parts[1])

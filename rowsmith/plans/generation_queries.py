@@ -19,7 +19,7 @@ from rowsmith.operators.generate import ROW, ColumnPlan, Generator, Plan, TableP
 from rowsmith.operators.numbering import dense_index, number_within
 from rowsmith.operators.shared import at_once, checkpoint_dir, written
 from rowsmith.operators.validate import validate
-from rowsmith.plans.registry import query, sql_base36, sql_draw, sql_permute, sql_words
+from rowsmith.plans.registry import query, sql_base36, sql_draw, sql_permute, sql_slices, sql_words
 from rowsmith.plans.tpch import load
 from rowsmith.spec import BOOLEAN, DATE, DATETIME, DECIMAL, ENUM, INT, TEXT, VARCHAR, Column, DatasetSpec, ForeignKey, Table
 
@@ -128,8 +128,12 @@ def gen_seq_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.join(built(spark, late, rows), ROW)
 
 
-def _word(column: str, label: str) -> str:
-    return sql_words(vocab.WORDS, draw(column, len(vocab.WORDS), label))
+def slices(column: str, table: str = "t", row: str = "r"):
+    return sql_slices(SEED, table, column, row)
+
+
+def _word(pick, label: str) -> str:
+    return sql_words(vocab.WORDS, pick(label, len(vocab.WORDS)))
 
 
 def _initcap(text: str) -> str:
@@ -137,7 +141,8 @@ def _initcap(text: str) -> str:
 
 
 def _sql_sentence(column: str, words: int) -> str:
-    parts = [_word(column, f"w{i}") for i in range(words)]
+    pick = slices(column)
+    parts = [_word(pick, f"w{i}") for i in range(words)]
     return " || ' ' || ".join([f"({_initcap(parts[0])})", *parts[1:]])
 
 
@@ -390,14 +395,17 @@ def _padded(value: str, width: int) -> str:
     return f"lpad(CAST({value} AS VARCHAR), {width}, '0')"
 
 
+_NAME, _PHONE, _STARTS, _LICENSE = (slices(c) for c in ("name", "phone", "starts", "license"))
+
+
 @query(
     "gen_text_vocab",
     from_events(
-        f"({_initcap(_word('name', 'w0'))}) || ' ' || ({_initcap(_word('name', 'w1'))}) AS name",
-        " || '-' || ".join(_padded(draw("phone", 10**n, f"p{i}"), n) for i, n in enumerate((3, 3, 4))) + " AS phone",
-        f"{_padded(draw('starts', 24, 'hour'), 2)} || ':' || {_padded(draw('starts', 60, 'minute'), 2)} AS starts",
+        f"({_initcap(_word(_NAME, 'w0'))}) || ' ' || ({_initcap(_word(_NAME, 'w1'))}) AS name",
+        " || '-' || ".join(_padded(_PHONE(f"p{i}", 10**n), n) for i, n in enumerate((3, 3, 4))) + " AS phone",
+        f"{_padded(_STARTS('hour', 24), 2)} || ':' || {_padded(_STARTS('minute', 60), 2)} AS starts",
         "'ticket-' || CAST(r + 1 AS VARCHAR) AS ticket",
-        f"chr(CAST({draw('license', 26, 'l0')} + 65 AS INTEGER)) || chr(CAST({draw('license', 26, 'l1')} + 65 AS INTEGER)) || {_padded(draw('license', 10**6, 'digits'), 6)} AS license",
+        f"chr(CAST({_LICENSE('l0', 26)} + 65 AS INTEGER)) || chr(CAST({_LICENSE('l1', 26)} + 65 AS INTEGER)) || {_padded(_LICENSE('digits', 10**6), 6)} AS license",
         f"left({_sql_sentence('brief', 4)}, 9) AS brief",
     ),
 )
@@ -413,21 +421,109 @@ def gen_text_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return over_events(spark, sf_dir, columns, (ColumnPlan("starts", generator="time"), ColumnPlan("ticket", generator="sequence")))
 
 
-@query("gen_text_kinds")
+_KINDS = (*sorted(set(vocab.GENERATOR_ALIASES.values())), "opening_hours")
+
+
+def _sql_kind(token: str, column: str) -> str:
+    """A text value of a kind, drawn as the library draws it."""
+    pick = slices(column)
+    names = vocab.LOCALES[vocab.DEFAULT_LOCALE]
+
+    def among(words, label: str) -> str:
+        return sql_words(list(words), pick(label, len(words)))
+
+    def capital(label: str) -> str:
+        return f"({_initcap(_word(pick, label))})"
+
+    def digits(count: int, label: str) -> str:
+        return _padded(pick(label, 10**count), count)
+
+    def sentence(words: int, label: str) -> str:
+        parts = [_word(pick, f"{label}{i}") for i in range(words)]
+        return " || ' ' || ".join([f"({_initcap(parts[0])})", *parts[1:]])
+
+    match token:
+        case "address":
+            parts = f"CAST({pick('number', 999)} + 1 AS VARCHAR)", among(vocab.STREETS, "street"), among(vocab.STREET_KINDS, "kind")
+            return " || ' ' || ".join(parts)
+        case "city":
+            return among(names["city"], "city")
+        case "company":
+            return f"{capital('w0')} || ' ' || {among(vocab.COMPANY_ENDS, 'end')}"
+        case "country":
+            return among(vocab.COUNTRIES, "country")
+        case "email":
+            return f"lower({among(names['first'], 'first')}) || '.' || lower({among(names['last'], 'last')}) || '@' || {among(vocab.DOMAINS, 'domain')}"
+        case "first_name":
+            return among(names["first"], "first")
+        case "last_name":
+            return among(names["last"], "last")
+        case "full_name":
+            return f"{among(names['first'], 'first')} || ' ' || {among(names['last'], 'last')}"
+        case "isbn":
+            d = digits(9, "isbn")
+            weighted = " + ".join(f"CAST(substr({d}, {i + 1}, 1) AS INT) * {3 if i % 2 == 0 else 1}" for i in range(9))
+            check = f"CAST((10 - (38 + {weighted}) % 10) % 10 AS VARCHAR)"
+            return f"'978-' || substr({d}, 1, 1) || '-' || substr({d}, 2, 5) || '-' || substr({d}, 7, 3) || '-' || {check}"
+        case "job":
+            return among(vocab.JOBS, "job")
+        case "label":
+            return f"{capital('w0')} || ' ' || {capital('w1')}"
+        case "license":
+            letters = [f"chr(CAST({pick(f'l{i}', 26)} + 65 AS INTEGER))" for i in range(2)]
+            return f"{letters[0]} || {letters[1]} || {digits(6, 'digits')}"
+        case "opening_hours":
+            return f"({pick('open', 6)} + 6) || ':00 AM - ' || ({pick('close', 7)} + 5) || ':00 PM'"
+        case "phone":
+            return " || '-' || ".join(digits(n, f"p{i}") for i, n in enumerate((3, 3, 4)))
+        case "sentence":
+            return sentence(5, "w")
+        case "sequence":
+            return f"'{column}-' || CAST(r + 1 AS VARCHAR)"
+        case "state":
+            return among(list(vocab.STATES.values()), "state")
+        case "text":
+            return " || ' ' || ".join(f"{sentence(6, f's{i}w')} || '.'" for i in range(3))
+        case "time":
+            return f"{_padded(pick('hour', 24), 2)} || ':' || {_padded(pick('minute', 60), 2)}"
+        case "url":
+            return f"'https://www.' || {_word(pick, 'w0')} || '-' || {_word(pick, 'w1')} || '.example.com/'"
+        case "uuid":
+            u = [f"format('{{:08x}}', {pick(f'u{i}', 16**8)})" for i in range(4)]
+            variant = among("89ab", "variant")
+            return f"{u[0]} || '-' || substr({u[1]}, 1, 4) || '-4' || substr({u[1]}, 6, 3) || '-' || {variant} || substr({u[2]}, 2, 3) || '-' || substr({u[2]}, 5, 4) || {u[3]}"
+        case "word":
+            return _word(pick, "w0")
+        case "zip_code":
+            return digits(5, "zip")
+    raise ValueError(token)
+
+
+def _kind_column(token: str) -> str:
+    return token if token == "opening_hours" else f"c_{token}"
+
+
+@query("gen_text_kinds", from_events(*[f"{_sql_kind(t, _kind_column(t))} AS {_kind_column(t)}" for t in _KINDS]))
 def gen_text_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text generator once per event."""
-    tokens = sorted(set(vocab.GENERATOR_ALIASES.values())) + ["opening_hours"]
-    columns = tuple(Column(f"{t}" if t == "opening_hours" else f"c_{t}", VARCHAR(200)) for t in tokens)
-    return over_events(spark, sf_dir, columns, tuple(ColumnPlan(f"c_{t}", generator=t) for t in tokens[:-1]), hash_method="xxhash64")
+    columns = tuple(Column(_kind_column(t), VARCHAR(200)) for t in _KINDS)
+    return over_events(spark, sf_dir, columns, tuple(ColumnPlan(f"c_{t}", generator=t) for t in _KINDS[:-1]))
+
 
+_LOCALES = ("en_US", "de_DE", "fr_FR", "xx_XX")
 
-@query("gen_locale")
+
+def _sql_first_name(locale: str) -> str:
+    names = vocab.LOCALES.get(locale, vocab.LOCALES[vocab.DEFAULT_LOCALE])["first"]
+    column = f"first_name_{locale.lower()}"
+    return f"{sql_words(names, slices(column)('first', len(names)))} AS {column}"
+
+
+@query("gen_locale", from_events(*[_sql_first_name(x) for x in _LOCALES]))
 def gen_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names per locale; an unknown locale falls back to the default one."""
-    locales = ("en_US", "de_DE", "fr_FR", "xx_XX")
-    columns = tuple(Column(f"first_name_{x.lower()}", VARCHAR(40)) for x in locales)
-    return over_events(spark, sf_dir, columns, tuple(ColumnPlan(c.name, locale=x) for c, x in zip(columns, locales)), hash_method="xxhash64")
-
+    columns = tuple(Column(f"first_name_{x.lower()}", VARCHAR(40)) for x in _LOCALES)
+    return over_events(spark, sf_dir, columns, tuple(ColumnPlan(c.name, locale=x) for c, x in zip(columns, _LOCALES)))
 
 
 @query(
@@ -543,7 +639,8 @@ def gen_fk_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _root_code(row: str) -> str:
     """The unique code of a root row: two words cut to fit, then the row id."""
-    parts = [sql_words(vocab.WORDS, sql_draw(SEED, "roots", "code", row, len(vocab.WORDS), f"w{i}")) for i in range(4)]
+    pick = slices("code", "roots", row)
+    parts = [_word(pick, f"w{i}") for i in range(4)]
     sentence = " || ' ' || ".join([f"({_initcap(parts[0])})", *parts[1:]])
     return f"left({sentence}, 12 - w) || lpad(to_base({row}, 36), w, '0')"
 

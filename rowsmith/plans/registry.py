@@ -56,6 +56,23 @@ def sql_draw(seed: int, table: str, column: str, row: str, n: int | str, label:
     )
 
 
+def sql_slices(seed: int, table: str, column: str, row: str) -> Callable[[str, int], str]:
+    """The small draws that `Draws.slices` cuts for one text value: 60 bits at a time, ten of them kept back."""
+    cut: dict[str, str] = {}
+    place = [0, 1]
+
+    def pick(label: str, n: int) -> str:
+        if label not in cut:
+            if place[1] > 1 and place[1] * n > 2**50:
+                place[:] = [place[0] + 1, 1]
+            half, digest = 1 + 15 * (place[0] % 2), f"md5('{seed}|{table}|{column}|text{place[0] // 2}|' || CAST({row} AS VARCHAR))"
+            cut[label] = f"(('0x' || substr({digest}, {half}, 15))::BIGINT // {place[1]} % {n})"
+            place[1] *= n
+        return cut[label]
+
+    return pick
+
+
 def sql_permute(row: str, capacity: str, rows: str, salt: int) -> str:
     """The permutation of `rowsmith.functions.draw.permute` for counts known only to the data."""
     limit = 2**62

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,6 @@ from rowsmith.functions.checks import (
     between,
     cmp,
     col,
-    column_bounds,
     evaluate,
     in_,
     is_null,
@@ -23,12 +24,12 @@ from rowsmith.functions.checks import (
     or_,
     resolve,
 )
-from rowsmith.functions.text import any_of, lit, name
 from rowsmith.operators import validate as v
+from rowsmith.operators.profile import bounds_profile
 from rowsmith.plans import tpch
 from rowsmith.plans.registry import query, sql_key, sql_repeats, sql_violation
 from rowsmith.plans.tpch import SPEC, load
-from rowsmith.spec import BOOLEAN, DATE, INT, Column, DatasetSpec, ForeignKey, Table
+from rowsmith.spec import BOOLEAN, DATE, DATETIME, DECIMAL, INT, TEXT, VARCHAR, Column, DatasetSpec, ForeignKey, Table
 
 SHOWN = ("kind", "table_name", "column_name", "row_key")
 
@@ -233,45 +234,106 @@ _PROFILED = replace(
 )
 
 
+def _sql_profile(column: str, value: str, outside: str, source: str) -> str:
+    return (
+        f"SELECT '{column}' AS column_name, CAST(min({value}) AS VARCHAR) AS low, CAST(max({value}) AS VARCHAR) AS high, "
+        f"count(DISTINCT {value}) AS distinct_values, count(*) FILTER (WHERE {value} IS NULL) AS n_nulls, "
+        f"count(*) FILTER (WHERE {outside}) AS outside FROM {source}"
+    )
+
+
+_REBATES = "(SELECT CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)) AS r FROM lineitem)"
+
+
 @query(
     "chk_bounds_profile",
-    """SELECT 'l_partkey' AS column_name, CAST(min(l_partkey) AS DECIMAL(20,4)) AS low, CAST(max(l_partkey) AS DECIMAL(20,4)) AS high,
-              count(DISTINCT l_partkey) AS distinct_values, count(*) FILTER (WHERE l_partkey <= 5 OR l_partkey > 900) AS outside FROM lineitem
-       UNION ALL
-       SELECT 'l_rebate', CAST(min(r) AS DECIMAL(20,4)), CAST(max(r) AS DECIMAL(20,4)), count(DISTINCT r), count(*) FILTER (WHERE r <= 5 OR r > 900)
-       FROM (SELECT CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)) AS r FROM lineitem)""",
+    _sql_profile("l_partkey", "l_partkey", "l_partkey <= 5 OR l_partkey > 900", "lineitem")
+    + " UNION ALL "
+    + _sql_profile("l_rebate", "r", "r <= 5 OR r > 900", _REBATES),
 )
 def chk_bounds_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds_profile(_PROFILED, rows_of(spark, sf_dir, "lineitem"), ["l_partkey", "l_rebate"])
 
 
-def bounds_profile(table: Table, df: DataFrame, columns: list[str]) -> DataFrame:
-    """Observed range, distinct values and rows outside the declared bounds, per number column.
+_FAMILIES = Table(
+    "events",
+    (
+        Column("event_id", INT, checks=(cmp(col("event_id"), ">=", 10),)),
+        Column("ts", DATETIME, checks=(cmp(col("ts"), "<", datetime(2024, 1, 20, 12)),)),
+        Column("day", DATE, checks=(between(col("day"), date(2024, 1, 3), date(2024, 1, 28)),)),
+        Column("event_type", VARCHAR(20), checks=(in_(col("event_type"), "view", "click", None),)),
+        Column("share", DECIMAL(20, 10), checks=(cmp(col("share"), ">", Decimal("3.1234567891")),)),
+        Column("note", TEXT),
+    ),
+)
+_FAMILY_ROWS = """(SELECT event_id, ts, CAST(ts AS DATE) AS day, nullif(event_type, 'error') AS event_type,
+   CAST(value AS DECIMAL(10,2)) * CAST(1.00000003 AS DECIMAL(9,8)) AS share FROM events)"""
 
-    Values are counted first, so the distinct count costs one shuffle and a
-    frequent value crosses it once per task.
-    """
-    members = ", ".join(
-        f"named_struct('column_name', {lit(c)}, 'value', CAST({name(c)} AS DECIMAL(20, 4)))" for c in columns
-    )
-    outside = []
-    for column in columns:
-        bounds = column_bounds(table, column)
-        beyond = []
-        if bounds.minimum is not None:
-            beyond.append(f"value {'<=' if bounds.minimum_exclusive else '<'} {lit(bounds.minimum)}")
-        if bounds.maximum is not None:
-            beyond.append(f"value {'>=' if bounds.maximum_exclusive else '>'} {lit(bounds.maximum)}")
-        if bounds.allowed is not None:
-            beyond.append(f"value NOT IN ({', '.join(lit(a) for a in bounds.allowed)})")
-        outside.append(f"column_name = {lit(column)} AND ({any_of(beyond)})")
-    counted = df.selectExpr(f"inline(array({members}))").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("column_name").agg(
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
-        F.count("value").alias("distinct_values"),
-        F.expr(f"coalesce(sum(n) FILTER (WHERE {any_of(outside)}), 0L)").alias("outside"),
+
+@query(
+    "chk_bounds_families",
+    " UNION ALL ".join(
+        [
+            _sql_profile("event_id", "event_id", "event_id < 10", _FAMILY_ROWS),
+            _sql_profile("ts", "ts", "ts >= TIMESTAMP '2024-01-20 12:00:00'", _FAMILY_ROWS),
+            _sql_profile("day", "day", "day NOT BETWEEN DATE '2024-01-03' AND DATE '2024-01-28'", _FAMILY_ROWS),
+            _sql_profile("event_type", "event_type", "event_type NOT IN ('view', 'click')", _FAMILY_ROWS),
+            _sql_profile("share", "share", "share <= 3.1234567891", _FAMILY_ROWS),
+        ]
+    ),
+)
+def chk_bounds_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, times, dates and texts of one table, profiled together."""
+    share = tpch.dec("value", 10) * F.lit(Decimal("1.00000003"))
+    rows = load(spark, sf_dir, "events").select(
+        "event_id", "ts", F.to_date("ts").alias("day"), F.nullif("event_type", F.lit("error")).alias("event_type"), share.cast("decimal(20,10)").alias("share")
     )
+    return bounds_profile(_FAMILIES, rows)
+
+
+_TEXT_CHECKS = (SqlCheck("1000 / (o_custkey % 5) >= 300"), SqlCheck("o_orderkey * 9223372036854775807 > 0"))
+
+
+@query(
+    "chk_sql_runtime",
+    " UNION ALL ".join(
+        [
+            sql_violation("check_unevaluable", "orders", None, sql_key("o_orderkey"), "orders", "o_custkey % 5 = 0"),
+            sql_violation("check_failed", "orders", None, sql_key("o_orderkey"), "orders", "o_custkey % 5 > 0 AND 1000 < 300 * (o_custkey % 5)"),
+            sql_violation("check_unevaluable", "orders", None, sql_key("o_orderkey"), "orders", "o_orderkey > 1"),
+            sql_violation("check_failed", "orders", None, sql_key("o_orderkey"), "orders", "o_orderkey = 0"),
+        ]
+    ),
+)
+def chk_sql_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions as SQL text whose arithmetic fails on some rows."""
+    table = replace(tpch.ORDERS, columns=tuple(replace(c, checks=()) for c in tpch.ORDERS.columns), checks=_TEXT_CHECKS)
+    return shown(v.row_violations(table, load(spark, sf_dir, "orders"), kinds=["check_failed", "check_unevaluable"]))
+
+
+_RAW_TEXT_TABLE = replace(RAW_TABLE, checks=(SqlCheck("60 / (user_id - 7) < 5 OR day IS NULL"), SqlCheck("user_id % 4 <> 1")))
+# The first check names both columns, so a badly formed value in either makes it unevaluable unless day is null.
+_RAW_TEXT = """(SELECT event_id, event_type <> 'signup' AND user_id % 3 = 0 AS bad_user, user_id % 4 = 0 AS bad_day, user_id % 4 = 1 AS no_day,
+   CASE WHEN event_type <> 'signup' THEN user_id END AS u FROM events WHERE event_type <> 'view')"""
+
+
+@query(
+    "chk_sql_raw",
+    " UNION ALL ".join(
+        [
+            sql_violation("check_unevaluable", "raw_events", None, _ID, _RAW_TEXT, "bad_user OR bad_day OR u = 7"),
+            sql_violation(
+                "check_failed", "raw_events", None, _ID, _RAW_TEXT, "NOT bad_user AND NOT bad_day AND NOT no_day AND u > 7 AND 60 >= 5 * (u - 7)"
+            ),
+            sql_violation("check_unevaluable", "raw_events", None, _ID, _RAW_TEXT, "bad_user"),
+            sql_violation("check_failed", "raw_events", None, _ID, _RAW_TEXT, "NOT bad_user AND u % 4 = 1"),
+        ]
+    ),
+)
+def chk_sql_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions as SQL text over rows that arrive as JSON."""
+    found = v.raw_violations(_RAW_TEXT_TABLE, raw_events(spark, sf_dir), "raw", ["event_id"])
+    return shown(found.where("kind IN ('check_failed', 'check_unevaluable')"))
 
 
 @query(
@@ -440,14 +502,13 @@ def val_fk_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey",
         sql_key("l_orderkey", "l_linenumber"),
         "lineitem",
-        "NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')",
+        "NOT EXISTS (SELECT 1 FROM events WHERE event_id = l_orderkey)",
     ),
 )
 def val_fk_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = tpch.LINEITEM
-    finished = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    lineitem = load(spark, sf_dir, "lineitem")
-    return shown(v.foreign_key_missing(table, lineitem, table.foreign_keys[0], finished))
+    """A large parent that lacks some of the keys that its child names."""
+    reference = ForeignKey(("l_orderkey",), "events", ("event_id",))
+    return shown(v.foreign_key_missing(tpch.LINEITEM, load(spark, sf_dir, "lineitem"), reference, load(spark, sf_dir, "events")))
 
 
 @query(

@@ -1,11 +1,14 @@
-"""Stored datasets: one Parquet folder per table and the spec beside them.
+"""Stored datasets: one Parquet folder per table, a list of their places, and the spec beside them.
 
 The spec is written last. A folder without it is not a dataset, so a write
-that fails half-way or fails validation leaves nothing visible.
+that fails half-way or fails validation leaves nothing visible. The list names
+a place for every table, so a version of a dataset can share the tables that it
+did not change with the version before it.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -15,11 +18,14 @@ from pyspark.sql import types as T
 
 from rowsmith.functions.text import lit, name, sql_type
 from rowsmith.operators.shared import at_once, ref
+from rowsmith.operators.paging import PAGE_DEFAULT, Page, check_page, directory, page_of
 from rowsmith.operators.update import update_table
 from rowsmith.operators.validate import assert_valid
 from rowsmith.spec import CURRENT_TIMESTAMP, DatasetSpec, Table, default_value
 
 SPEC_FOLDER = "_dataset_spec"
+PLACES_FOLDER = "_table_places"
+PAGES_FOLDER = "_pages"
 
 
 class StoreError(RuntimeError):
@@ -80,9 +86,25 @@ def write_dataset(spark: SparkSession, spec: DatasetSpec, data: Mapping[str, Dat
     written = dict(zip(stored, at_once(write, stored)))
     extra = {name: df for name, df in data.items() if name.casefold() not in declared}
     assert_valid(spark, spec, {**written, **extra}, ignore=("unsupported_check",))
-    spark.range(1).select(F.lit(spec.to_json()).alias("value")).coalesce(1).write.mode("overwrite").text(
-        f"{path}/{SPEC_FOLDER}"
-    )
+    publish(spark, spec, path, {n: f"{path}/{n}" for n in stored})
+
+
+def publish(spark: SparkSession, spec: DatasetSpec, path: str, places: Mapping[str, str]) -> None:
+    """Make written tables a dataset: where each of them is, then the spec."""
+    _write_text(spark, json.dumps(dict(places)), f"{path}/{PLACES_FOLDER}")
+    _write_text(spark, spec.to_json(), f"{path}/{SPEC_FOLDER}")
+
+
+def _write_text(spark: SparkSession, content: str, path: str) -> None:
+    spark.range(1).select(F.lit(content).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    try:
+        rows = spark.read.text(path, wholetext=True).collect()
+    except AnalysisException:
+        return None
+    return rows[0]["value"] if rows else None
 
 
 def _storable(table: Table, df: DataFrame) -> bool:
@@ -100,16 +122,20 @@ def _storable(table: Table, df: DataFrame) -> bool:
 
 
 def is_published(spark: SparkSession, path: str) -> bool:
-    try:
-        return not spark.read.text(f"{path}/{SPEC_FOLDER}").isEmpty()
-    except AnalysisException:
-        return False
+    return _read_text(spark, f"{path}/{SPEC_FOLDER}") is not None
 
 
 def read_spec(spark: SparkSession, path: str) -> DatasetSpec:
-    if not is_published(spark, path):
+    found = _read_text(spark, f"{path}/{SPEC_FOLDER}")
+    if found is None:
         raise StoreError(f"{path} holds no published dataset")
-    return DatasetSpec.from_json(spark.read.text(f"{path}/{SPEC_FOLDER}", wholetext=True).first()["value"])
+    return DatasetSpec.from_json(found)
+
+
+def table_places(spark: SparkSession, path: str, spec: DatasetSpec) -> dict[str, str]:
+    """Where each table of a dataset is stored; below the dataset where its list does not say."""
+    listed = _read_text(spark, f"{path}/{PLACES_FOLDER}")
+    return {t.name: f"{path}/{t.name}" for t in spec.tables} | (json.loads(listed) if listed else {})
 
 
 def read_table(spark: SparkSession, location: str, table: Table) -> DataFrame:
@@ -119,20 +145,45 @@ def read_table(spark: SparkSession, location: str, table: Table) -> DataFrame:
 
 def read_dataset(spark: SparkSession, path: str) -> tuple[DatasetSpec, dict[str, DataFrame]]:
     spec = read_spec(spark, path)
-    return spec, {t.name: read_table(spark, f"{path}/{t.name}", t) for t in spec.tables}
+    places = table_places(spark, path, spec)
+    return spec, {t.name: read_table(spark, places[t.name], t) for t in spec.tables}
 
 
 def update_stored_table(spark: SparkSession, path: str, table_name: str, edited: DataFrame, new_path: str) -> int:
-    """Write the dataset at `path`, with one table updated, to `new_path`; return the rows changed.
+    """Publish at `new_path` the dataset at `path` with one table updated; return the rows changed.
 
-    The old version stays readable until the new one is published.
+    Only that table is written; the new version names the places of the others.
+    The old version stays readable, and both need the files that they share.
+    What is stored is valid, so only the edited table and references to it are
+    judged.
     """
+    if is_published(spark, new_path):
+        raise StoreError(f"{new_path} already holds a dataset; a new version needs its own path")
     spec, data = read_dataset(spark, path)
     table = spec.table(table_name)
-    new, changed = update_table(spark, spec, data, table.name, edited)
-    count = changed.count()
-    write_dataset(spark, spec, {**data, table.name: new}, new_path)
-    return count
+    new, changed = update_table(spark, spec, data, table.name, edited, stored_valid=True)
+    typed_projection(table, new).write.mode("overwrite").parquet(f"{new_path}/{table.name}")
+    publish(spark, spec, new_path, table_places(spark, path, spec) | {table.name: f"{new_path}/{table.name}"})
+    return changed.count()
+
+
+def stored_page(spark: SparkSession, path: str, table_name: str, limit: int = PAGE_DEFAULT, offset: int = 0) -> Page:
+    """One page of a stored table in key order, with the number of its rows.
+
+    The directory of the table is made at the first page and stored beside it.
+    """
+    check_page(limit, offset)
+    spec = read_spec(spark, path)
+    table = spec.table(table_name)
+    place = table_places(spark, path, spec)[table.name]
+    df = read_table(spark, place, table)
+    folder = f"{place.rsplit('/', 1)[0]}/{PAGES_FOLDER}/{place.rsplit('/', 1)[1]}"
+    try:
+        blocks = spark.read.parquet(folder)
+    except AnalysisException:
+        directory(table, df).write.mode("ignore").parquet(folder)
+        blocks = spark.read.parquet(folder)
+    return page_of(table, df, blocks, limit, offset)
 
 
 # --- CSV ---------------------------------------------------------------------

@@ -31,6 +31,52 @@ def spec():
     return DatasetSpec((Table("pets", (Column("id", INT), Column("name", VARCHAR(40))), ("id",)),))
 
 
+def test_guard_does_not_read_the_text_of_a_plan(spark, spec, tmp_path):
+    """A long plan whose text is cut, and literals that look like parts of a plan."""
+    path = str(tmp_path / "pets")
+    spark.range(3).selectExpr("CAST(id AS INT) AS id", "'x' AS name").write.parquet(path)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS psecret (id INT) USING parquet LOCATION '{tmp_path}/secret'")
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", "4000")
+    try:
+        many = "UNION ALL SELECT id FROM pets WHERE id < 0 " * 60
+        for secret in ("psecret", "global_temp.gsecret"):
+            spark.range(1).createOrReplaceGlobalTempView("gsecret")
+            with pytest.raises(QueryError):
+                guarded_select(spark, spec, {"pets": path}, f"SELECT id FROM pets WHERE id < 0 {many} UNION ALL SELECT id + 100 FROM {secret}")
+        assert guarded_select(spark, spec, {"pets": path}, f"SELECT id FROM pets WHERE id < 0 {many}").count() == 0
+        for word in ("RelationV2", "HiveTableRelation", "SubqueryAlias a.b", "reflect"):
+            assert guarded_select(spark, spec, {"pets": path}, f"SELECT '{word}' AS w, count(*) AS n FROM pets").collect() == [(word, 3)]
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", before)
+        spark.catalog.dropGlobalTempView("gsecret")
+        spark.sql("DROP TABLE psecret")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "TABLE pets",
+        "FROM pets |> SELECT id",
+        "SELECT * FROM VALUES (1), (2)",
+        "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 3) SELECT * FROM t",
+        "SELECT name, count(*), grouping(name) FROM pets GROUP BY CUBE(name) HAVING count(*) > 0 ORDER BY 1 LIMIT 3 OFFSET 1",
+        "SELECT DISTINCT name, rank() OVER (ORDER BY id) AS r FROM pets TABLESAMPLE (50 PERCENT)",
+        "SELECT id FROM pets INTERSECT SELECT id FROM pets EXCEPT ALL SELECT 5",
+        "SELECT * FROM pets UNPIVOT (v FOR c IN (id))",
+        "SELECT * FROM pets PIVOT (count(name) FOR id IN (1, 2))",
+        "SELECT * FROM pets LATERAL VIEW explode(array(1)) t AS z",
+        "SELECT * FROM pets p, LATERAL (SELECT p.id + 1 AS j)",
+        "SELECT /*+ REPARTITION(3) */ id FROM pets DISTRIBUTE BY id SORT BY id",
+        "SELECT (SELECT count(*) FROM pets q WHERE q.id < p.id) AS n FROM pets p",
+    ],
+)
+def test_guard_lets_selects_of_every_form_through(spark, spec, tmp_path, text):
+    path = str(tmp_path / "pets")
+    spark.range(3).selectExpr("CAST(id AS INT) AS id", "'x' AS name").write.parquet(path)
+    guarded_select(spark, spec, {"pets": path}, text).collect()
+
+
 def test_guard_knows_only_the_dataset(spark, spec, tmp_path):
     path = str(tmp_path / "pets")
     spark.range(3).selectExpr("CAST(id AS INT) AS id", "'x' AS name").write.parquet(path)
@@ -41,6 +87,11 @@ def test_guard_knows_only_the_dataset(spark, spec, tmp_path):
             "SELECT * FROM global_temp.gsecret", "SELECT * FROM psecret", "SELECT * FROM spark_catalog.default.psecret",
             "WITH psecret AS (SELECT * FROM psecret) SELECT * FROM psecret", "SELECT * FROM pets WHERE id IN (SELECT id FROM psecret)",
             "SELECT (SELECT max(id) FROM global_temp.gsecret) AS m FROM pets",
+            "SELECT * FROM pets WHERE EXISTS (SELECT 1 FROM pets q WHERE q.id IN (SELECT id FROM psecret))",
+            "SELECT * FROM pets, LATERAL (SELECT id AS z FROM psecret)",
+            "SELECT transform(name) USING 'cat' FROM pets",
+            "SELECT builtin.reflect('java.lang.System', 'currentTimeMillis')",
+            "SELECT session.try_reflect('java.lang.System', 'currentTimeMillis')",
         ):
             with pytest.raises(QueryError):
                 guarded_select(spark, spec, {"pets": path}, text)

@@ -19,7 +19,7 @@ def no_broadcast(spark, monkeypatch):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(shared, "HOT_KEYS", 5)
+    monkeypatch.setattr(shared, "_hot_parts", lambda spark: 5)
     yield
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
@@ -90,6 +90,77 @@ def test_missing_parent_of_a_hot_key(spark, large, request):
     assert sorted(r["row_key"] for r in got.collect()) == sorted(expected)
 
 
+def test_many_keys_that_are_warm_but_not_hot(spark, no_broadcast):
+    """5,000 keys with 0.02 % of the rows each: none is hot by share, and no list of hot keys is cut."""
+    table = Table("t", (Column("id", INT), Column("t", VARCHAR(500))), ("id",), (("t",),))
+    df = spark.range(25_000).selectExpr("id", "concat('key ', id % 5000) AS t")
+    got = v.unique_duplicate(table, df, ["t"])
+    assert got.count() == got.distinct().count() == 20_000
+    assert got.agg(F.min(F.col("row_key").cast("long"))).first()[0] == 5_000
+    assert shared.heavy_keys(df, ["t"]).isEmpty()
+
+
+def test_heavy_keys_are_found_by_a_summary(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_hot_parts", lambda spark: 16)
+    # A third of the rows under one key, a ninth under another, among many; NULL is a key of its own.
+    df = spark.range(90_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 9 = 1 THEN NULL ELSE id END AS a", "CASE WHEN id % 3 = 0 THEN 'x' WHEN id % 9 = 1 THEN 'y' ELSE 'z' END AS b"
+    )
+    assert sorted(tuple(r) for r in shared.heavy_keys(df, ["a", "b"]).collect() if r["a"]) == [(7, "x")]
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+def test_even_join_with_hot_keys(spark, no_broadcast, how):
+    keyed = spark.range(0, 700, 2).selectExpr("id AS k", "id * 10 AS v")
+    got = shared.even_join(rows(spark).select("id", "k"), keyed, ["k"], how)
+    want = rows(spark).select("id", "k").join(keyed, "k", how)
+    assert Counter(tuple(r) for r in got.select(*sorted(got.columns)).collect()) == Counter(tuple(r) for r in want.select(*sorted(want.columns)).collect())
+
+
+def test_clean_tables_are_read_twice_and_not_matched_back(spark, tmp_path):
+    """Two scans a table, and no third one where nothing is broken."""
+    spark.range(500).selectExpr("id", "id AS k", "concat('w', id) AS t").write.parquet(str(tmp_path / "t"))
+    spark.range(500).selectExpr("id AS k").write.parquet(str(tmp_path / "p"))
+    data = {n: spark.read.parquet(str(tmp_path / n)) for n in ("t", "p")}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    read = []
+    try:
+        original = v.materialize
+        v.materialize = lambda df: (read.append(df._jdf.queryExecution().executedPlan().toString()), original(df))[1]
+        found = v.validate(spark, DatasetSpec((TABLE, PARENT)), data)
+        rest = found._jdf.queryExecution().executedPlan().toString()
+        assert found.isEmpty()
+    finally:
+        v.materialize = original
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(read) == 1 and read[0].count("FileScan") == 2 and rest.count("FileScan") <= 2
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_keys_of_every_type_count_as_they_are(spark, large, request):
+    """Parts of a key cannot run into each other, and equal values are one key whatever their type."""
+    if large:
+        request.getfixturevalue("no_broadcast")
+    columns = (Column("id", INT), Column("a", VARCHAR(10)), Column("b", VARCHAR(10)), Column("n", INT), Column("m", INT), Column("o", INT))
+    table = Table("t", columns, ("id",), (("a", "b"), ("n", "m", "o"), ("a", "n")))
+    data = [(1, "1:x", "y", 1, 2, 3), (2, "1", "x1:y", 1, 2, 4), (3, "1:x", "y", 1, 2, 3), (4, "", "1:x", 2, 1, 3), (5, "1:x", "", None, 2, 3), (6, "1:x", "", 9, 2, 3)]
+    df = spark.createDataFrame(data, "id long, a string, b string, n int, m long, o short")
+    found = v.validate(spark, DatasetSpec((table,)), {"t": df}).where("kind = 'unique_duplicate'").collect()
+    assert Counter((r["row_key"], r["message"]) for r in found) == Counter(
+        [("3", "t: unique (a, b) stands in more than one row"), ("6", "t: unique (a, b) stands in more than one row"),
+         ("3", "t: unique (n, m, o) stands in more than one row"), ("3", "t: unique (a, n) stands in more than one row")]
+    )
+
+
+def test_foreign_keys_between_types_that_differ(spark, no_broadcast):
+    child = Table("c", (Column("id", INT), Column("p", INT)), ("id",), foreign_keys=(ForeignKey(("p",), "p", ("k",)),))
+    children = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id long, p int")
+    for kind in ("long", "decimal(10,2)", "short"):
+        parents = spark.sql(f"SELECT CAST(5 AS {kind}) AS k")
+        assert [r["row_key"] for r in v.foreign_key_missing(child, children, child.foreign_keys[0], parents).collect()] == ["2"]
+
+
 def test_foreign_key_to_a_column_that_repeats(spark, no_broadcast):
     child = Table("c", (Column("id", INT), Column("t", VARCHAR(500))), ("id",), foreign_keys=(ForeignKey(("t",), "t", ("t",)),))
     parent = Table("t", TABLE.columns, ("id",))
