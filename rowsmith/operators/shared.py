@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,8 +45,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scopes: list[str] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables that are written inside live in a folder of their own, which goes when the scope ends.
+
+    Results must be written elsewhere before that: they still read from it.
+    """
+    folder = f"{checkpoint_dir(spark)}/scope-{uuid.uuid4().hex}"
+    _scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _scopes.remove(folder)
+        remove_folder(spark, folder)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result once and read it from there; survives losing executors."""
+    if _scopes:
+        return written(df)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -57,7 +83,7 @@ def written(df: DataFrame) -> DataFrame:
     columns, and nothing is computed again.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{_scopes[-1] if _scopes else checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
