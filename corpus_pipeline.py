@@ -11,16 +11,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rowsmith.llm import lines, mixing, near, packing, quality
-from rowsmith.operators.shared import checkpoint_dir, written
+from rowsmith.operators.shared import checkpoint_dir, remove_folder, scope, written
+
+
+#: Rows that go to a Python worker at once: documents are long, and buffers are held for a batch of them.
+BATCH_ROWS = 1_000
+
+
+def _batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the forest accept; the others go."""
+    _batches(spark)
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate across sources."""
+    _batches(spark)
     columns = docs.columns
     cleaned = lines.dedup(docs).select(*columns)
     if "n_chars" not in columns:
@@ -31,16 +41,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    _batches(spark)
     return near.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, repeated or in part as it says."""
+    _batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document with the bin that it is in."""
+    _batches(spark)
     return packing.pack(written(packing.measured(docs)))
 
 
@@ -56,11 +69,18 @@ ORACLE_SQL = None  # the forest, the sketches and the seeded mix have no SQL for
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+    """All stages over the whole documents table.
+
+    What a stage leaves behind, and the table before it, go once its own is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if done is not None:
+            remove_folder(spark, done)
+        docs, done = spark.read.parquet(path), path
     return docs
