@@ -21,6 +21,7 @@ from rowsmith.operators.shared import at_once, ref
 from rowsmith.operators.paging import PAGE_DEFAULT, Page, check_page, directory, page_of
 from rowsmith.operators.update import update_table
 from rowsmith.operators.validate import assert_valid
+from rowsmith.sources.csv_records import csv_records
 from rowsmith.spec import CURRENT_TIMESTAMP, DatasetSpec, Table, default_value
 
 SPEC_FOLDER = "_dataset_spec"
@@ -224,12 +225,14 @@ def write_csv(table: Table, df: DataFrame, path: str, compression: str = "none")
 
 
 def read_csv(spark: SparkSession, table: Table, path: str) -> DataFrame:
-    """Read an exported table back as declared types; empty fields are NULL."""
-    schema = T.StructType(
-        [T.StructField(c.name, T.StringType()) for c in table.columns]
-    )
-    raw = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True, nullValue="", emptyValue="")
-    return raw.select(*[ref(c.name).cast(c.type.spark_type()).alias(c.name) for c in table.columns])
+    """Read an exported table back as declared types; empty fields are NULL.
+
+    Ranges of a file are read by different tasks, also where fields hold line breaks.
+    """
+    schema = ", ".join(f"c{i} STRING" for i in range(len(table.columns)))
+    options = {"quote": '"', "escape": '"', "nullValue": "", "emptyValue": ""}
+    parsed = csv_records(spark, path).select(F.from_csv("record", schema, options).alias("r"))
+    return parsed.select(*[F.col(f"r.c{i}").cast(c.type.spark_type()).alias(c.name) for i, c in enumerate(table.columns)])
 
 
 def export_dataset(spec: DatasetSpec, data: Mapping[str, DataFrame], path: str) -> None:

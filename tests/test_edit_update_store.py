@@ -12,7 +12,7 @@ from rowsmith.operators import graph, paging, shared, update
 from rowsmith.operators.edit import EditError, Regenerate, Replace, Transform, apply_edits
 from rowsmith.operators.validate import DataValidationError
 from rowsmith.plans.select import QueryError, guarded_select
-from rowsmith.sources import store
+from rowsmith.sources import csv_records, store
 from rowsmith.spec import BOOLEAN, DATE, DATETIME, DECIMAL, ENUM, INT, TEXT, VARCHAR, Column, DatasetSpec, ForeignKey, Table, default_value
 
 ITEM = Table(
@@ -304,6 +304,25 @@ def test_defaults():
     assert read(ENUM("a"), "'b'") is None and read(TEXT, "NULL") is None
 
 
+@pytest.mark.parametrize("breaks", [True, False])
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path, breaks):
+    """Fields with line breaks, quotes and commas, over ranges that begin anywhere in a record."""
+    rng = random.Random(9)
+    table = Table("notes", (Column("id", INT), Column("note", TEXT), Column("tail", VARCHAR(20))), ("id",))
+    pool = ["a", "b c", '"', ",", "'", "é", '""', *(["\n", "\n\n", "\r\n"] if breaks else [])]
+    rows = [(i, "".join(rng.choice(pool) for _ in range(rng.randrange(1, 30))).strip() or "x", rng.choice([None, "t", "\n" if breaks else "u"])) for i in range(3000)]
+    path = str(tmp_path / "csv")
+    store.write_csv(table, spark.createDataFrame(rows, "id long, note string, tail string").coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        lines = csv_records.csv_lines(spark, path)
+        assert lines.rdd.getNumPartitions() > 5 and lines.select("block").distinct().count() > 5
+        assert sorted(tuple(r) for r in store.read_csv(spark, table, path).collect()) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 # --- guarded SELECT ----------------------------------------------------------
 
 QUERY_SPEC = DatasetSpec(
