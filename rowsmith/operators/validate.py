@@ -142,7 +142,7 @@ def value_rules(table: Table, column: SpecColumn, value: str, physical: T.DataTy
     where = f"{table.name}.{column.name}"
     kind = column.type
     if kind.name == "VARCHAR":
-        return [Rule("varchar_length", column.name, f"{where} exceeds {kind}", f"char_length({value}) > {kind.length}")]
+        return [Rule("varchar_length", column.name, f"{where} is longer than {kind}", f"char_length({value}) > {kind.length}")]
     if kind.name == "DECIMAL":
         scale = kind.scale or 0
         if isinstance(physical, T.DecimalType):
@@ -153,7 +153,7 @@ def value_rules(table: Table, column: SpecColumn, value: str, physical: T.DataTy
         return [Rule("decimal_precision", column.name, f"{where} does not fit {kind}", broken)]
     if kind.name == "ENUM":
         listed = ", ".join(lit(v) for v in kind.values)
-        return [Rule("enum_value", column.name, f"{where} is outside its ENUM values", f"{value} NOT IN ({listed})")]
+        return [Rule("enum_value", column.name, f"{where} is none of the values listed for it", f"{value} NOT IN ({listed})")]
     return []
 
 
@@ -202,11 +202,11 @@ def comparable(column: SpecColumn, value: str) -> str:
 
 
 def _missing(table: Table, column: SpecColumn, broken: str) -> Rule:
-    return Rule("missing_column", column.name, f"{table.name} lacks required column {column.name!r}", broken)
+    return Rule("missing_column", column.name, f"{table.name}: {column.name!r} has no default and is absent", broken)
 
 
 def _null(table: Table, column: SpecColumn, broken: str) -> Rule:
-    return Rule("not_null", column.name, f"{table.name}.{column.name} is NULL but NOT NULL", broken)
+    return Rule("not_null", column.name, f"{table.name}.{column.name} may not be NULL", broken)
 
 
 def _mistyped(table: Table, column: SpecColumn, broken: str) -> Rule:
@@ -246,9 +246,9 @@ def check_rules(table: Table, operands: Mapping[str, Operand], checks: Sequence[
     rules = []
     for column, node, words in checks:
         answer = evaluate(node, lambda c: operands[table.column(c).name])
-        rules.append(Rule("check_failed", column, f"{table.name} fails CHECK ({words})", answer.failed))
+        rules.append(Rule("check_failed", column, f"{table.name}: the row breaks the rule {words}", answer.failed))
         if answer.unevaluable is not None:
-            message = f"{table.name} cannot evaluate CHECK ({words})"
+            message = f"{table.name}: the rule {words} has no answer for the row"
             rules.append(Rule("check_unevaluable", column, message, answer.unevaluable))
     return rules
 
@@ -341,7 +341,7 @@ def raw_violations(table: Table, df: DataFrame, raw: str, locator: Sequence[str]
     parsed = parsed.selectExpr("*", *[f"{raw_typed(c, f'_t{i}')} AS _v{i}" for i, c in enumerate(table.columns)])
 
     mapping = "_entries IS NOT NULL"
-    rules = [Rule("row_shape", None, f"{table.name} row is not a mapping", "_entries IS NULL")]
+    rules = [Rule("row_shape", None, f"{table.name}: the row is no JSON object", "_entries IS NULL")]
     operands: dict[str, Operand] = {}
     for position, column in enumerate(table.columns):
         source, value = f"_t{position}", f"_v{position}"
@@ -423,7 +423,7 @@ def key_null_rule(table: Table, absent: Sequence[str] = ()) -> Rule:
     """A NULL in the primary key; the message lists the NULL columns. Absent ones are NULL in every row."""
     key = table.primary_key
     listed = ", ".join(lit(c) if c in absent else f"CASE WHEN {name(c)} IS NULL THEN {lit(c)} END" for c in key)
-    message = f"concat({lit(table.name + ' has NULL primary-key column(s) ')}, concat_ws(', ', {listed}))"
+    message = f"concat({lit(table.name + ': parts of the primary key are NULL: ')}, concat_ws(', ', {listed}))"
     return Rule("primary_key_null", _single(key), message, "TRUE" if absent else f"NOT ({not_null(key)})", dynamic=True)
 
 
@@ -770,7 +770,7 @@ def table_presence(spark: SparkSession, spec: DatasetSpec, given: DataFrame) ->
 def unsupported_notes(table: Table, df: DataFrame | None = None) -> list[tuple[str | None, ...]]:
     """One note per check that cannot be evaluated; it names no row."""
     return [
-        ("unsupported_check", table.name, column, None, f"{table.name} CHECK ({words}) was not validated: {reason}")
+        ("unsupported_check", table.name, column, None, f"{table.name}: the rule {words} is left out: {reason}")
         for column, words, reason in supported_checks(table, df)[1]
     ]
 
@@ -874,7 +874,7 @@ def assert_valid(
     if first:
         head = "; ".join(row["message"] for row in first[:3])
         more = "; ..." if len(first) > 3 else ""
-        raise DataValidationError(f"{violations.count()} constraint violations: {head}{more}", violations)
+        raise DataValidationError(f"{violations.count()} violations, first: {head}{more}", violations)
 
 
 def unique_capacity(df: DataFrame, table_name: str, group: Sequence[str]) -> DataFrame:

@@ -228,7 +228,7 @@ def test_raw_rows_that_are_no_mappings(spark):
 
 def test_gate_names_count_and_first_messages(spark):
     data = main_data(spark, change(tier=None), change(customer_id=2, tier="x"), review_rows=((1, 9, 9),))
-    with pytest.raises(v.DataValidationError, match=r"^5 constraint violations: .*;.*;.*; \.\.\.$") as error:
+    with pytest.raises(v.DataValidationError, match=r"^5 violations, first: .*;.*;.*; \.\.\.$") as error:
         v.assert_valid(spark, MAIN, data)
     assert error.value.violations.count() == 5
     summary = {(r["kind"], r["column_name"]): (r["violations"], r["samples"]) for r in v.summarize(error.value.violations).collect()}
