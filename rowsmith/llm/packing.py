@@ -7,8 +7,9 @@ duplicate clusters in it, and takes no second piece of either. Two names that
 share a bit of the 64 only make a bin refuse a piece it could hold.
 
 Texts longer than a bin are cut: full pieces are bins by themselves, the rest
-is packed. Rows are dealt by hash to shards of about `shard_rows`, each packed
-in one task by itself, so a hot source or cluster is spread evenly.
+is packed. Rows are dealt by a hash of their id, cluster and number in the
+written table to shards of about `shard_rows`, each packed in one task by
+itself, so a hot source or cluster and rows that repeat are spread evenly.
 
 Defined cases: a null or empty text has one piece without words, which is
 packed like the others; a null source or cluster is a source or cluster of its own;
@@ -17,7 +18,7 @@ null doc_ids and repeated rows are packed each alone.
 
 from __future__ import annotations
 
-import bisect
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,26 +38,69 @@ class PackSettings:
     seed: int = 31
 
 
+class OpenBins:
+    """Bins by residual, under a tree that knows what all bins below a node conflict with.
+
+    A node holds the sources and the clusters that every bin below it has. A
+    piece of one of them finds nothing there, so the search passes over the
+    whole branch: pieces that conflict with all bins cost no more than others.
+    """
+
+    def __init__(self, capacity: int) -> None:
+        self.width = 1 << capacity.bit_length()
+        self.in_all = [(-1, -1)] * (2 * self.width)
+        self.bins: dict[int, dict[tuple[int, int], list[int]]] = {}
+
+    def add(self, residual: int, masks: tuple[int, int], number: int) -> None:
+        heapq.heappush(self.bins.setdefault(residual, {}).setdefault(masks, []), number)
+        self._renew(residual)
+
+    def take(self, size: int, source: int, cluster: int) -> tuple[int, tuple[int, int], int] | None:
+        """Remove and return the tightest compatible bin, of equal ones the first: (residual, masks, number)."""
+        waiting = [(1, 0, self.width)]
+        while waiting:
+            node, low, high = waiting.pop()
+            sources, clusters = self.in_all[node]
+            if high <= size or sources & source or clusters & cluster:
+                continue
+            if high - low > 1:
+                middle = (low + high) // 2
+                waiting += [(2 * node + 1, middle, high), (2 * node, low, middle)]
+                continue
+            fitting = [(numbers[0], masks) for masks, numbers in self.bins[low].items() if not (masks[0] & source or masks[1] & cluster)]
+            if fitting:
+                number, masks = min(fitting)
+                heapq.heappop(self.bins[low][masks])
+                if not self.bins[low][masks]:
+                    del self.bins[low][masks]
+                self._renew(low)
+                return low, masks, number
+        return None
+
+    def _renew(self, residual: int) -> None:
+        sources = clusters = -1
+        for a, b in self.bins[residual]:
+            sources, clusters = sources & a, clusters & b
+        node = self.width + residual
+        self.in_all[node] = sources, clusters
+        while node > 1:
+            node //= 2
+            (a, b), (c, d) = self.in_all[2 * node], self.in_all[2 * node + 1]
+            if self.in_all[node] == (a & c, b & d):
+                return
+            self.in_all[node] = a & c, b & d
+
+
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:
     """Bin number of each piece; pieces come largest first, ties as given. Bits of sources and clusters are masks."""
-    bins: list[tuple[int, int]] = []  # (residual, bin), ascending
-    in_source: list[int] = []
-    in_cluster: list[int] = []
+    bins, count = OpenBins(capacity), 0
     out = [0] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
-        size, source, cluster = sizes[i], sources[i], clusters[i]
-        at = bisect.bisect_left(bins, (size, -1))
-        while at < len(bins) and (in_source[bins[at][1]] & source or in_cluster[bins[at][1]] & cluster):
-            at += 1
-        if at < len(bins):
-            residual, number = bins.pop(at)
-            in_source[number] |= source
-            in_cluster[number] |= cluster
-        else:
-            residual, number = capacity, len(in_source)
-            in_source.append(source)
-            in_cluster.append(cluster)
-        bisect.insort(bins, (residual - size, number))
+        found = bins.take(sizes[i], sources[i], clusters[i])
+        if found is None:
+            found, count = (capacity, (0, 0), count), count + 1
+        residual, (source, cluster), number = found
+        bins.add(residual - sizes[i], (source | sources[i], cluster | clusters[i]), number)
         out[i] = number
     return out
 
@@ -83,7 +127,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def pack(rows: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
-    """A row per piece, from rows with doc_id, source, size and cluster."""
+    """A row per piece, from a written table of doc_id, source, size and cluster."""
     capacity = settings.capacity
     total = rows.count()
     shards = max(1, -(-total // settings.shard_rows))
@@ -123,7 +167,8 @@ def pack(rows: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
         "source",
         "size",
         "cluster",
-        F.pmod(F.xxhash64("doc_id", "cluster", F.lit(settings.seed)), F.lit(shards)).alias("_shard"),
+        # The number of a row in the written table parts rows that repeat.
+        F.pmod(F.xxhash64("doc_id", "cluster", F.lit(settings.seed), F.monotonically_increasing_id()), F.lit(shards)).alias("_shard"),
         F.xxhash64(F.coalesce("source", F.lit("\x00"))).alias("_source_bit"),
         F.xxhash64(F.coalesce("cluster", F.lit(-1).cast("long"))).alias("_cluster_bit"),
     )
