@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.llm import text as tx
-from rowsmith.operators.shared import fits_broadcast, written
+from rowsmith.operators.shared import fits_broadcast, rows_of_groups, written
 
 SECOND_SEED = 77
 
@@ -71,17 +71,21 @@ def boilerplate(lines: DataFrame, settings: LineSettings = LineSettings()) -> Da
     """k1, k2, keeper of every line on enough sites; keeper is the smallest doc_id."""
     key = ["k1", "k2"]
     spread = lines.groupBy(*key).agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", settings.sketch_bits)).alias("_about"), F.min("doc_id").alias("keeper")
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", settings.sketch_bits)).alias("_about"),
+        F.min("doc_id").alias("keeper"),
+        F.count(F.lit(1)).alias("_n"),
     )
     margin = max(1, round(4 * 1.04 / 2 ** (settings.sketch_bits / 2) * settings.sites))
     wide = written(spread.where(F.col("_about") >= settings.sites - margin))
     sure = wide.where(F.col("_about") > settings.sites + margin)
     near = wide.where(F.col("_about") <= settings.sites + margin)
-    # Distinct (line, site) pairs first: a line on few sites has few of them, however often it occurs.
+    if near.isEmpty():
+        return sure.select(*key, "keeper")
+    # Only the lines near the threshold are counted; each (line, site) pair crosses the shuffle once a task.
     counted = (
-        lines.groupBy(*key, "site")
+        rows_of_groups(lines.select(*key, "site"), near.select(*key, "keeper", "_n"), key)
+        .groupBy(*key, "keeper", "site")
         .agg(F.lit(1).alias("_one"))
-        .join(near, key)
         .groupBy(*key, "keeper")
         .agg(F.count("_one").alias("_sites"))
         .where(F.col("_sites") >= settings.sites)
