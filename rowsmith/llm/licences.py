@@ -36,21 +36,48 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-# Openings of published licence texts and usual notices.
+# Openings, notices and later clauses of published licence texts, each with its label.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "released under the mit license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache", "see the license for the specific language governing permissions and limitations under the license"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 
 
@@ -134,22 +161,23 @@ class SuffixAutomaton:
         return found
 
 
-def chained_cover(matches: list[tuple[int, int, int]], max_gap: int) -> int:
-    """Most template tokens covered by matches (file start, template start, length) in order in both."""
+def chained_cover(matches: list[tuple[int, int, int]], max_gap: int) -> tuple[int, int, int]:
+    """Most template tokens covered by matches (file start, template start, length) in order in both, and their span in the file."""
     ordered = sorted(matches)
-    best: list[int] = []
+    best: list[tuple[int, int, int]] = []
     starts = [m[0] for m in ordered]
     longest = max((m[2] for m in ordered), default=0)
     for i, (at, place, length) in enumerate(ordered):
-        cover = length
+        cover, first = length, at
         # Matches so far back that even the longest would leave too wide a gap cannot be continued.
         for j in range(bisect.bisect_left(starts, at - max_gap - longest), i):
             before, before_place, before_length = ordered[j]
             overlap = max(0, before_place + before_length - place, before + before_length - at)
             if before_place < place and overlap < length and at - (before + before_length) <= max_gap:
-                cover = max(cover, best[j] + length - overlap)
-        best.append(cover)
-    return max(best, default=0)
+                if best[j][0] + length - overlap > cover:
+                    cover, first = best[j][0] + length - overlap, best[j][1]
+        best.append((cover, first, at + length))
+    return max(best, key=lambda b: (b[0], -b[1]), default=(0, 0, 0))
 
 
 class Scanner:
@@ -173,15 +201,35 @@ class Scanner:
         place = np.minimum(np.searchsorted(self.sorted_hashes, hashes), len(self.sorted_hashes) - 1)
         return np.where(self.sorted_hashes[place] == hashes, self.sorted_ids[place], -1)
 
-    def covers(self, stretches: list[tuple[int, list[int]]]) -> dict[int, float]:
-        """Covered share by template, from a document's stretches (first word, ids)."""
+    def covers(self, stretches: list[tuple[int, list[int]]]) -> dict[int, tuple[int, int, int]]:
+        """Covered tokens and their span by template, from a document's stretches (first word, ids)."""
         matches: dict[int, list[tuple[int, int, int]]] = {}
         for first, tokens in stretches:
             for end, length, state in self.automaton.longest_matches(tokens, self.settings.min_match):
                 for template, places in self.automaton.ends[state].items():
                     for place in places:
                         matches.setdefault(template, []).append((first + end - length, place - length, length))
-        return {t: chained_cover(m, self.settings.max_gap) / self.sizes[t] for t, m in matches.items()}
+        return {t: chained_cover(m, self.settings.max_gap) for t, m in matches.items()}
+
+    def judged(self, covers: dict[int, tuple[int, int, int]]) -> tuple[float, set[str]]:
+        """The best covered share, and the labels.
+
+        Licences of one family share most of their words. Where templates of
+        different labels lie on the same words, the one that covers more of them counts.
+        """
+        share = {t: cover / self.sizes[t] for t, (cover, _, _) in covers.items()}
+        enough = [t for t in covers if share[t] >= self.settings.min_cover]
+
+        def beaten(t: int) -> bool:
+            cover, first, past = covers[t]
+            for u in enough:
+                more, begin, end = covers[u]
+                common = min(past, end) - max(first, begin)
+                if self.templates[u][0] != self.templates[t][0] and 2 * common >= past - first and (more, share[u]) > (cover, share[t]):
+                    return True
+            return False
+
+        return max(share.values(), default=0.0), {self.templates[t][0] for t in enough if not beaten(t)}
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, settings: LicenceSettings = LicenceSettings()) -> DataFrame:
@@ -224,10 +272,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, settings: Licenc
         for i in long:
             stretches.setdefault(int(r[i]), []).append((int(s[i] - first_of_row[r[i]]), ids[s[i] : e[i]].tolist()))
         for number, own in stretches.items():
-            for template, share in scanner.covers(own).items():
-                score[number] = max(score[number], share)
-                if share >= settings.min_cover:
-                    found[number].add(scanner.templates[template][0])
+            score[number], told = scanner.judged(scanner.covers(own))
+            found[number] |= told
         none = n_base == 0
         return {
             "doc_id": rows.column("doc_id"),

@@ -212,6 +212,19 @@ def test_packing(make, odd_rows):
         assert len({r["source"] for r in inside}) == len(inside) == len({r["cluster"] for r in inside})
 
 
+def test_best_fit_of_pieces_that_all_conflict_is_not_quadratic():
+    assert packing.best_fit([3] * 60_000, [1] * 60_000, [1] * 60_000, 10) == list(range(60_000))
+
+
+def test_packing_parts_repeated_rows(spark):
+    rows = spark.range(100_000).selectExpr("7L AS doc_id", "'hot' AS source", "5L AS size", "99L AS cluster")
+    found = packing.pack(rows)
+    shards = found.selectExpr("split(bin_id, '-')[0] AS shard").groupBy("shard").count()
+    sizes = [r["count"] for r in shards.collect()]
+    assert sum(sizes) == 100_000 and len(sizes) == 25 and max(sizes) < 2 * 4096
+    assert found.select("bin_id").distinct().count() == 100_000
+
+
 def test_packing_of_nothing(nothing):
     assert packing.pack(packing.measured(nothing)).count() == 0
 
@@ -434,6 +447,29 @@ def test_licences(make, odd_rows):
     assert len(licences.scan(make(rows)).collect()) == len(rows)
 
 
+def test_licences_of_one_family_are_told_apart(make):
+    notice = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation"
+    texts = {
+        "gpl": notice.format(what="program", name=""),
+        "lgpl": notice.format(what="library", name="Lesser"),
+        "agpl": notice.format(what="program", name="Affero"),
+        "bsd": "Redistributions of source code must retain the above copyright\n * notice, this list of conditions and the following disclaimer.",
+        "mit": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "epl": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "cc0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    }
+    rows = [(k, f"some words before {text} and after it", "s") for k, text in enumerate(texts.values())]
+    rows.append((90, " \n filler words of other kind ".join(texts[k] for k in ("gpl", "lgpl", "agpl")), "s"))
+    found = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in licences.scan(make(rows)).collect()}
+    for k, label in enumerate(texts):
+        assert found[k] == {label}, (label, found[k])
+    assert found[90] == {"gpl", "lgpl", "agpl"}
+    # Every template is recognised by itself.
+    own = licences.scan(make([(k, t, "s") for k, (_, t) in enumerate(licences.TEMPLATES)])).collect()
+    assert all(licences.TEMPLATES[r["doc_id"]][0] in r["labels"].split(",") and r["score"] == 1 for r in own)
+
+
 def test_licences_of_nothing(nothing):
     assert licences.scan(nothing).count() == 0
 
