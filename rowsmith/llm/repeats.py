@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.llm import text as tx
-from rowsmith.operators.shared import shuffle_partitions, written
+from rowsmith.operators.shared import rows_of_groups, shuffle_partitions, written
 
 GRAM = 16
 KEY = ["_id", "_mark"]
@@ -332,9 +332,10 @@ def repeated_ranges(docs: DataFrame, settings: RepeatSettings = RepeatSettings()
     rows = written(segment_rows(texts, settings))
     cores = (
         rows.groupBy("core").agg(F.count(F.lit(1)).alias("_n"), F.min("segment").alias("_low"), F.max("segment").alias("_high"))
-        .where("_n > 1").selectExpr("core", "_low < _high AS _mixed")
+        .where("_n > 1").selectExpr("core", "_n", "_low < _high AS _mixed")
     )
-    alive = written(rows.join(cores, "core"))
+    # A passage that many documents share is one core: such cores travel to the rows.
+    alive = written(rows_of_groups(rows, cores, ["core"]).drop("_n"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("size").cast("long").alias("past")))
     plain = alive.where("NOT _mixed").select(*KEY, "start", whole.alias("ranges"))
 
@@ -367,9 +368,9 @@ def repeated_ranges(docs: DataFrame, settings: RepeatSettings = RepeatSettings()
     solved = by_transform(different.where(F.col("_k") <= settings.crowd), settings).unionByName(
         by_counting(different.where(F.col("_k") > settings.crowd), settings)
     )
-    decided = mixed.join(one.select("core", "segment", F.col("_n").alias("_copies")), ["core", "segment"])
-    often = decided.where("_copies > 1").select(*KEY, "start", whole.alias("ranges"))
-    once = decided.where("_copies = 1").join(written(solved), ["core", "segment"]).select(*KEY, "start", "ranges")
+    decided = rows_of_groups(mixed, one.select("core", "segment", "_n"), ["core", "segment"])
+    often = decided.where("_n > 1").select(*KEY, "start", whole.alias("ranges"))
+    once = decided.where("_n = 1").join(written(solved), ["core", "segment"]).select(*KEY, "start", "ranges")
     every = plain.unionByName(often).unionByName(once).where("size(ranges) > 0")
     shifted = F.transform("ranges", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["past"] + F.col("start")).alias("past")))
     return every.select(*KEY, shifted.alias("ranges")).groupBy(*KEY).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
