@@ -477,6 +477,17 @@ def test_licences_of_nothing(nothing):
 # --- quality ------------------------------------------------------------------------------
 
 
+def test_fit_takes_pieces_of_which_no_row_passes(spark, make):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        rows = [(k, "short" if k % 2 else " ".join(f"w{j}" for j in range(60 + k)), "s") for k in range(8)]
+        labels = spark.createDataFrame([(k, k % 2, 0) for k in range(8)], "doc_id long, quality int, toxic int")
+        assert quality.fit(make(rows, 1), labels).forest is None
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_quality_counts(make, odd_rows):
     docs = make(odd_rows)
     judged = quality.judge(docs, quality.QualityModel(None, 1.0)).drop("accepted")
