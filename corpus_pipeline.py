@@ -15,7 +15,7 @@ from rowsmith.operators.shared import checkpoint_dir, remove_folder, scope, writ
 
 
 #: Rows that go to a Python worker at once: documents are long, and buffers are held for a batch of them.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 250
 
 
 def _batches(spark: SparkSession) -> None:
