@@ -278,3 +278,24 @@ def test_octopus_is_the_least_set_of_further_nodes():
                 assert family <= have | given and family & have
                 have.add((level + 1, p))
         assert not have & given and {at for at, _ in given} <= set(range(len(levels) - 1))
+
+
+def test_nodes_and_proofs_digest_plain_hexadecimal_texts(make):
+    """The contract gives lengths to the fields of a leaf only; digests enter as their 64 characters."""
+    h = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    rows = [(k, "a\nb", "s") for k in range(2, 6)] + [(6, "é", None), (7, "", "t")]
+    leaf = [h(f"1:{k}", "1:s", "2:en", "1:3", "3:a\nb") for k in range(2, 6)] + [h("1:6", "-", "2:en", "1:1", "2:é"), h("1:7", "1:t", "2:en", "1:0", "0:")]
+    low = [h(*leaf[:3]), h(leaf[3])]
+    s = h(*low)
+    root = h(leaf[4], s, leaf[5])  # null first; a lone leaf is its subroot
+    siblings = [[leaf[1], leaf[2], low[1]], [leaf[0], leaf[2], low[1]], [leaf[0], leaf[1], low[1]], [low[0]], [s, leaf[5]], [leaf[4], s]]
+    got = {r["doc_id"] - 2: r for r in manifest.prove(make(rows)).collect()}
+    for k, beside in enumerate(siblings):
+        assert (got[k]["leaf"], got[k]["subroot"], got[k]["root"]) == (leaf[k], s if k < 4 else leaf[k], root)
+        assert got[k]["proof_sha256"] == h(*beside, *([leaf[4], leaf[5]] if k < 4 else []))
+    # Of 2 to 7, crc32 is even for 4 and 5 (of this source) alone among those with line breaks.
+    assert {k + 2 for k in got if not got[k]["verified"]} == {k for k in range(2, 6) if zlib.crc32(str(k).encode()) % 2 == 0} == {4, 5}
+    changed = [h(f"1:{k}", "1:s", "2:en", "1:3", "2:ab") for k in (4, 5)]
+    assert got[2]["folded_root"] == h(leaf[4], h(h(leaf[0], leaf[1], changed[0]), low[1]), leaf[5])
+    assert got[3]["folded_root"] == h(leaf[4], h(low[0], h(changed[1])), leaf[5])
+    assert got[0]["folded_root"] == root
