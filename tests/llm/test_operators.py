@@ -518,6 +518,26 @@ def test_forest_tells_labelled_rows_apart(spark):
     assert good.where("kept").count() > 0.99 * good.count() and bad.where("kept").count() < 0.1 * bad.count()
 
 
+def test_forest_learns_from_every_labelled_row(spark):
+    """A bound of 6,000 labelled rows left out the rows past it: here the bad ones and what tells them apart."""
+    x = "array(5D + (id % 97) / 100, 0D, 0D, (id % 89) / 1000, (id % 83) / 1000, {loud})"
+    fine = spark.range(9_000).selectExpr("id AS doc_id", "60L AS n_words", "false AS base_failed", f"{x.format(loud='0D')} AS x", "1 AS quality")
+    odd = spark.range(9_000, 9_100).selectExpr("id AS doc_id", "60L AS n_words", "false AS base_failed", f"{x.format(loud='0.5D + id / 100000')} AS x", "0 AS quality")
+    rows = fine.unionByName(odd)
+    learned = quality.learning_rows(rows, rows.select("doc_id", "quality"))
+    assert tuple(learned.selectExpr("sum(good)", "sum(bad)").first()) == (9_000, 100)
+    settings = quality.ForestSettings()
+    model = quality.learn(rows, rows.select("doc_id", "quality"), settings)
+    features = np.array([r["x"] for r in odd.collect()])
+    assert not model.accepts(features).any()
+    features = np.array([r["x"] for r in fine.collect()])
+    assert model.accepts(features).mean() > 0.99
+    # The whole cost at every threshold, by plain counting.
+    anomaly = {good: np.ceil(model.forest.anomaly(np.array([r["x"] for r in part.collect()])) * quality.LEVELS) for good, part in ((1, fine), (0, odd))}
+    cost = {t: (anomaly[0] <= t).mean() + settings.good_cost * (anomaly[1] > t).mean() for t in np.unique(np.concatenate(list(anomaly.values())))}
+    assert cost[model.threshold * quality.LEVELS] == pytest.approx(min(cost.values()))
+
+
 def test_quality_of_nothing(spark, nothing, make, odd_rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit(nothing, none)
