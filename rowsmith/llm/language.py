@@ -7,7 +7,9 @@ next-symbol distribution diverges enough from that of its longest retained suffi
 its distribution is smoothed with that one's; the root is the smoothed word
 distribution. A token is scored from the longest retained suffix of its history.
 
-All counts are exact and cover all training texts. Sequences, contexts and chances are tables
+All counts are exact and cover all training texts. They come length by length: a sequence that stands often enough
+has a context and a suffix that do, so one whose context or suffix is missing from a bitmap of those kept is not
+counted any further. The bitmap has a fixed size; as it fills it spares fewer rows and loses none. Sequences, contexts and chances are tables
 that grow with the corpus; each level of the tree comes from the one above by joins and sums. A token's
 log chance is a sum: the root's, the weight of the suffix for every retained context before it,
 and for every sequence of a retained context what its own chance differs from that. So a text is
@@ -30,12 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.llm import text as tx
-from rowsmith.operators.shared import written
+from rowsmith.operators.shared import scope, shuffles_removed, table_folder, written
 
 END = np.uint64(0x5DEECE66D1234567)  # the hash that stands for the end of a text
 GATE_BITS = 27
 FLUSH_WORDS = 150_000
 BLOCK_TOKENS = 1_000_000
+#: Rows that pass between the JVM and Python at once: of texts, which are long, and of sequences.
+BATCH_ROWS = 500
+OUT_ROWS = 65_536
+#: The join of the rarer values goes in so many rounds, each over a part of the hashes, as its shuffle outweighs the tables.
+ROUNDS = 4
 
 
 @dataclass(frozen=True)
@@ -154,22 +161,36 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("held_out", "text").mapInArrow(run, "h long, word binary, trained long, total long")
 
 
-SEQUENCE = "n int, context long, suffix long, word long, count long"
+def passes(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a bitmap does not rule out."""
+    place = keys >> np.uint64(64 - GATE_BITS)
+    return (marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
-def counted_sequences(rows: DataFrame, least: float, depth: int) -> DataFrame:
-    """n, key, context, suffix, word, count of the sequences that stand `least` times in training texts."""
+def counted_sequences(rows: DataFrame, length: int, shorter: DataFrame, least: float) -> DataFrame:
+    """key, context, suffix, count of the sequences of `length` tokens that stand `least` times in training texts.
+
+    `shorter` has the keys of those one token shorter, that of the END included.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(gate(shorter))
+    names = ["context", "word", *(["suffix"] if length > 2 else []), "count"]  # of two tokens, the suffix is the word
 
     def run(batches):
         blocks = Blocks()
 
         def solve():
             tokens, owner = blocks.take()
-            for n, at, key, context, suffix in sequences(tokens, owner, depth):
-                _, one, count = counted(key)
-                long = [context[one], suffix[one], tokens[at[one] + n - 1]]
-                columns = [pa.array(np.full(len(one), n, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in long), pa.array(count)]
-                yield pa.RecordBatch.from_arrays(columns, ["n", "context", "suffix", "word", "count"])
+            for n, at, key, context, suffix in sequences(tokens, owner, length - 1):
+                if n < length:
+                    continue
+                word = tokens[at + n - 1]
+                open_ = np.flatnonzero(passes(held.value, context) & passes(held.value, suffix if n > 2 else word))
+                _, one, count = counted(key[open_])
+                one = open_[one]
+                long = [context[one], word[one], *([suffix[one]] if n > 2 else [])]
+                out = pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in long), pa.array(count)], names)
+                for first in range(0, out.num_rows, OUT_ROWS):
+                    yield out.slice(first, OUT_ROWS)
 
         for t in tx.pieces(batches, "text"):
             data, bounds = tx.text_bytes(t.column("text"))
@@ -184,11 +205,16 @@ def counted_sequences(rows: DataFrame, least: float, depth: int) -> DataFrame:
     def keys(batches):
         for t in batches:
             context, word = (t.column(c).to_numpy().view(np.uint64) for c in ("context", "word"))
-            yield t.append_column("key", pa.array(tx.joined(context, word).view(np.int64)))
-
-    found = rows.where("NOT held_out").select("text").mapInArrow(run, SEQUENCE)
-    whole = found.groupBy("n", "context", "word").agg(F.first("suffix").alias("suffix"), F.sum("count").alias("count"))
-    return whole.where(F.col("count") >= least).select("n", "context", "suffix", "word", "count").mapInArrow(keys, f"{SEQUENCE}, key long")
+            key = pa.array(tx.joined(context, word).view(np.int64))
+            columns = [key, *(t.column(c) for c in ("context", "suffix" if length > 2 else "word", "count"))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "context", "suffix", "count"])
+
+    found = rows.where("NOT held_out").select("text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    suffixes = [F.first("suffix").alias("suffix")] if length > 2 else []
+    whole = found.groupBy("context", "word").agg(*suffixes, F.sum("count").alias("count")).where(F.col("count") >= least)
+    out = written(whole.select(*names).mapInArrow(keys, "key long, context long, suffix long, count long"))
+    held.destroy()  # its copies are files on every machine
+    return out
 
 
 # --- the tree ----------------------------------------------------------------
@@ -203,29 +229,35 @@ def lookup(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.
     return hit, at[hit]
 
 
-def grow(found: DataFrame, words: DataFrame, settings: TreeSettings) -> DataFrame:
+def grow(rows: DataFrame, words: DataFrame, least: float, settings: TreeSettings) -> DataFrame:
     """key, count, value: what each sequence adds to the log10 chance of a text, as a context of the next token or by its last one.
 
     words: h, trained, chance.
     """
-    parts = []
+    parts, folder = [], table_folder(rows.sparkSession)
     above = words.select(F.col("h").alias("_key"), F.col("trained").alias("_total"), F.col("chance").alias("parent"))
     for level in range(1, settings.depth + 1):
-        own = found.where(F.col("n") == level + 1)
-        # At level 1 the suffix of a sequence is its last word.
-        own = own.join(above.select("_key", "parent"), F.col("suffix") == F.col("_key")).select("key", "context", "count", "parent")
-        sums = own.groupBy("context").agg(
-            F.sum("count").alias("seen"), F.count(F.lit(1)).alias("k"), F.sum(F.expr("count * (ln(count) - ln(parent))")).alias("gain")
-        )
-        total = sums.join(above.select("_key", "_total"), F.col("context") == F.col("_key")).drop("_key")
-        kept = F.expr(f"gain - seen * ln(_total) >= {settings.divergence} + k")
-        scaled = total.select("context", kept.alias("keep"), (F.col("_total") + settings.smoothing).alias("scale"), "seen", "_total")
-        nodes = written(scaled.withColumn("rest", F.expr("(scale - seen) / scale")))
-        chance = F.expr("CASE WHEN keep THEN count / scale + rest * parent ELSE parent END")
-        full = written(own.join(nodes, "context").select("key", "count", "keep", "rest", "parent", chance.alias("chance")))
-        parts.append(nodes.where("keep").select(F.col("context").alias("key"), F.col("_total").alias("count"), F.log10("rest").alias("value")))
-        parts.append(full.where("keep").select("key", "count", F.expr("log10(chance) - log10(parent) - log10(rest)").alias("value")))
-        above = full.select(F.col("key").alias("_key"), F.col("count").alias("_total"), F.col("chance").alias("parent"))
+        with scope(rows.sparkSession):
+            shorter = above.where(F.col("_total") >= least).select(F.col("_key").alias("key"))
+            found = counted_sequences(rows, level + 1, shorter, least)
+            own = found.join(above.select("_key", "parent"), F.col("suffix") == F.col("_key")).select("key", "context", "count", "parent")
+            sums = own.groupBy("context").agg(
+                F.sum("count").alias("seen"), F.count(F.lit(1)).alias("k"), F.sum(F.expr("count * (ln(count) - ln(parent))")).alias("gain")
+            )
+            total = sums.join(above.select("_key", "_total"), F.col("context") == F.col("_key")).drop("_key")
+            kept = F.expr(f"gain - seen * ln(_total) >= {settings.divergence} + k")
+            scaled = total.select("context", kept.alias("keep"), (F.col("_total") + settings.smoothing).alias("scale"), "seen", "_total")
+            nodes = written(scaled.withColumn("rest", F.expr("(scale - seen) / scale")))
+            kept_nodes = nodes.where("keep").select(F.col("context").alias("key"), F.col("_total").alias("count"), F.log10("rest").alias("value"))
+            parts.append(written(kept_nodes, folder))
+            chance = F.expr("CASE WHEN keep THEN count / scale + rest * parent ELSE parent END")
+            value = F.expr("CASE WHEN keep THEN log10(chance) - log10(parent) - log10(rest) END")
+            full = own.join(nodes, "context").withColumn("chance", chance)
+            full = full.select("key", "count", "chance", value.alias("value"))
+            full = written(full if level < settings.depth else full.where("value IS NOT NULL").drop("chance"), folder)
+        parts.append(full.where("value IS NOT NULL").select("key", "count", "value"))
+        if level < settings.depth:
+            above = full.select(F.col("key").alias("_key"), F.col("count").alias("_total"), F.col("chance").alias("parent"))
     whole = parts[0]
     for more in parts[1:]:
         whole = whole.unionByName(more)
@@ -242,9 +274,8 @@ def gate(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    rows = marked(docs)
+def valued(rows: DataFrame, settings: TreeSettings, folder: str) -> tuple[DataFrame, float, int]:
+    """key, count, value, base, known of every word and sequence that adds to a score; the count of frequent ones; the training tokens."""
     words = written(word_counts(rows).groupBy("h", "word").agg(F.sum("trained").alias("trained"), F.sum("total").alias("total")).drop("word"))
     texts = rows.where("NOT held_out").count()
     sums = words.agg(
@@ -255,23 +286,40 @@ def score(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame
     unseen = settings.unseen
     below = train_tokens + unseen * (types + 1)
 
-    ends = docs.sparkSession.range(1).select(
+    ends = rows.sparkSession.range(1).select(
         F.lit(int(END.view(np.int64))).alias("h"), F.lit(texts).cast("long").alias("trained"), F.lit(None).cast("long").alias("total")
     )
     chances = words.unionByName(ends).withColumn("chance", (F.col("trained") + unseen) / below)
     least = max(settings.fewest, settings.least * train_tokens)
-    found = written(counted_sequences(rows, least, settings.depth))
     # The end of a text is always held as frequent.
     often = max(1.0, settings.frequent * int(sums["total"] or 0))
     roots = chances.select(
         F.col("h").alias("key"), F.coalesce("total", F.lit(2**62)).alias("count"), F.lit(0.0).alias("value"),
         F.log10("chance").alias("base"), (F.col("trained") > 0).cast("long").alias("known"),
     )
-    grown = grow(found, chances, settings).withColumns({"base": F.lit(0.0), "known": F.lit(0).cast("long")})
-    values = written(
-        roots.unionByName(grown).groupBy("key").agg(F.max("count").alias("count"), *[F.sum(c).alias(c) for c in ("value", "base", "known")])
-    )
-    common = values.where(F.col("count") >= often).toArrow()  # at most 1 / frequent rows of each length
+    grown = grow(rows, chances, least, settings).withColumns({"base": F.lit(0.0), "known": F.lit(0).cast("long")})
+    values = roots.unionByName(grown).groupBy("key").agg(F.max("count").alias("count"), *[F.sum(c).alias(c) for c in ("value", "base", "known")])
+    return written(values, folder), often, train_tokens
+
+
+def score(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        with shuffles_removed(spark):
+            return _scored(docs, settings)
+    finally:
+        spark.conf.set(key, before)
+
+
+def _scored(docs: DataFrame, settings: TreeSettings) -> DataFrame:
+    rows = marked(docs)
+    folder = table_folder(docs.sparkSession)
+    with scope(docs.sparkSession):
+        values, often, train_tokens = valued(rows, settings, folder)
+    common = values.where(F.col("count") >= often).drop("count").toArrow()  # at most 1 / frequent rows of each length
     rare_values = values.where(F.col("count") < often).drop("count")
     key = common["key"].to_numpy().view(np.uint64)
     order = np.argsort(key)
@@ -284,7 +332,11 @@ def score(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame
         for t in tx.pieces(batches, "text"):
             data, bounds = tx.text_bytes(t.column("text"))
             n = len(bounds) - 1
-            mark = tx.span_hashes(data, bounds[:-1], bounds[1:]).view(np.int64)
+            # Equal rows share a mark.
+            ids = t.column("doc_id")
+            own_id = ids.fill_null(0).to_numpy().view(np.uint64)
+            mark = tx.joined(tx.span_hashes(data, bounds[:-1], bounds[1:]), own_id)
+            mark = tx.joined(mark, ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64)).view(np.int64)
             data = tx.LOWER[data]
             start, end, row = tx.word_spans(data, bounds)
             tokens, owner = with_ends(tx.span_hashes(data, start, end), row, n)
@@ -294,13 +346,11 @@ def score(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame
                 for total, column in zip(sums, (value, base, known)):
                     total += np.bincount(who[hit], weights=column[at], minlength=n)
                 who, what = who[~hit], what[~hit]
-                place = what >> np.uint64(64 - GATE_BITS)
-                open_ = (marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+                open_ = passes(marks, what)
                 rest.append((who[open_], what[open_]))
-            ids, flags = t.column("doc_id"), t.column("held_out")
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": ids, "held_out": flags, "mark": pa.array(mark), "copies": pa.array(np.ones(n, np.int64)),
+                    "doc_id": ids, "held_out": t.column("held_out"), "mark": pa.array(mark), "copies": pa.array(np.ones(n, np.int64)),
                     "n_tokens": pa.array(np.bincount(owner, minlength=n)), "n_known": pa.array(sums[2].astype(np.int64)),
                     "base": pa.array(sums[1]), "own": pa.array(sums[0]), "h": pa.nulls(n, pa.int64()), "n": pa.nulls(n, pa.int64()),
                 }
@@ -312,10 +362,9 @@ def score(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame
             new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])])) if len(r) else np.zeros(0, np.int64)
             m = len(new)
             if m:
-                which = pa.array(r[new])
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": ids.take(which), "held_out": flags.take(which), "mark": pa.array(mark[r[new]]),
+                        "doc_id": pa.nulls(m, pa.int64()), "held_out": pa.nulls(m, pa.bool_()), "mark": pa.array(mark[r[new]]),
                         "copies": pa.nulls(m, pa.int64()), "n_tokens": pa.nulls(m, pa.int64()), "n_known": pa.nulls(m, pa.int64()),
                         "base": pa.nulls(m, pa.float64()), "own": pa.nulls(m, pa.float64()),
                         "h": pa.array(k[new].view(np.int64)), "n": pa.array(np.diff(np.append(new, len(r)))),
@@ -328,15 +377,18 @@ def score(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame
             "doc_id long, held_out boolean, mark long, copies long, n_tokens long, n_known long, base double, own double, h long, n long",
         )
     )
-    group = ["doc_id", "held_out", "mark"]
-    rare = parts.where("h IS NOT NULL").select(*group, "h", "n").join(rare_values, F.col("h") == F.col("key"))
-    nothing = F.lit(None).cast("long")
-    added = rare.select(*group, nothing.alias("copies"), nothing.alias("n_tokens"), *[(F.col("n") * F.col(c)).alias(d) for c, d in (("known", "n_known"), ("base", "base"), ("value", "own"))])
+    held.destroy()
+    whole = parts.where("h IS NULL").drop("h", "n")
+    for number in range(ROUNDS):
+        mine, values_here = (t.where(F.pmod(c, F.lit(ROUNDS)) == number) for t, c in ((parts.select("mark", "h", "n"), "h"), (rare_values, "key")))
+        rare = mine.join(values_here, F.col("h") == F.col("key"))
+        sums = [F.sum(F.col("n") * F.col(c)).alias(d) for c, d in (("known", "n_known"), ("base", "base"), ("value", "own"))]
+        whole = whole.unionByName(written(rare.groupBy("mark").agg(*sums)), allowMissingColumns=True)
     # Equal rows (same id and text) were summed together: each gets its part.
-    summed = (
-        parts.where("h IS NULL").select(*group, "copies", "n_tokens", "n_known", "base", "own").unionByName(added)
-        .groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "own")])
-    )
+    summed = whole.groupBy("mark").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
+        *[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "own")],
+    )
     return summed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
         "doc_id",
         "held_out",

@@ -13,6 +13,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+from rowsmith.llm import text as tx
 from rowsmith.llm import exact, language, licences, lines, mixing, near, packing, quality, repeats, secret_scan
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -297,6 +298,22 @@ def test_language_scores(make, near_rows, frequent):
     assert got == Counter((i, round(s, 5)) for (i, _, _), s in zip(near_rows, want))
 
 
+def test_sequences_are_counted_length_by_length(spark, make):
+    """The bitmap of shorter sequences loses none that stands twice."""
+    rng = random.Random(12)
+    rows = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 60))) + f" own{k}", "s") for k in range(1, 60)]
+    docs = language.marked(make(rows))
+    tokens = [[*WORD.findall(t), None] for i, t, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    grams = {n: Counter(tuple(w[k : k + n]) for w in tokens for k in range(len(w) - n + 1)) for n in range(1, 5)}
+    words = {w: int(tx.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)])).view(np.int64)[0]) for (w,) in grams[1] if w is not None}
+    words[None] = int(language.END.view(np.int64))
+    shorter = spark.createDataFrame([(words[w],) for (w,), c in grams[1].items() if c >= 2], "key long")
+    for n in range(2, 5):
+        found = language.counted_sequences(docs, n, shorter, 2)
+        assert Counter(r["count"] for r in found.collect()) == Counter(c for c in grams[n].values() if c >= 2)
+        shorter = found.select("key")
+
+
 def test_language_of_nothing(nothing):
     assert language.score(nothing).count() == 0
 
