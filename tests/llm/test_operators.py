@@ -314,6 +314,40 @@ def test_sequences_are_counted_length_by_length(spark, make):
         shorter = found.select("key")
 
 
+@pytest.mark.parametrize("frequent", [2e-6, 0.02])
+def test_crowded_contexts_are_dealt_to_many_parts(make, frequent, monkeypatch):
+    """Words, pairs and triples too frequent for a part, after which most tokens follow, and words that stand once."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(150):
+        words = [w for _ in range(25) for w in rng.choice((["the", "the", "the"], ["of", "the"], [f"w{rng.randrange(40)}"], [f"w{rng.randrange(400)}", "the", "of"]))]
+        rows.append((k, " ".join([*words, f"once{k}"][k % 2 :]) or None, "s"))
+    rows += [(200, None, "s"), (201, "the the the the the", "s"), (3, rows[3][1], "s"), (None, "the of the w1", "s")]
+    settings = language.TreeSettings(divergence=1.0, frequent=frequent, part=200)
+    lengths, dealt = [], language.crowded_chances
+    monkeypatch.setattr(language, "crowded_chances", lambda *a: lengths.append(dealt(*a)) or lengths[-1])
+    found = language.score(make(rows), settings).collect()
+    assert len(lengths[0][0]) == 3  # contexts of every length are crowded
+    assert Counter((*r[:5], round(r["base_score"], 6)) for r in found) == brute_base(rows)
+    want, nodes = brute_tree(rows, settings)
+    assert nodes > 50
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in found) == Counter((i, round(s, 5)) for (i, _, _), s in zip(rows, want))
+
+
+def test_language_of_a_batch_leaves_python_as_blocks(spark, make):
+    """A task sends its sequences dealt to few blocks, not a row for each: the disk of a large run is that of the blocks."""
+    rows = [(k, " ".join(f"w{(k * 7 + j * j) % 97}" for j in range(200)), "s") for k in range(1, 41)]
+    docs = language.marked(make(rows))
+    counts = language.word_counts(docs).selectExpr("*", "0.01D AS chance")
+    held = spark.sparkContext.broadcast(language.numbered_words(counts, 2, language.TreeSettings()))
+    none = spark.sparkContext.broadcast([])
+    blocks = [r for k in range(2) for r in language.dealt_texts(docs, held, none, 4, language.TreeSettings(), k, 2).collect()]
+    places = [r for r in blocks if r["part"] >= 0]
+    assert sum(r["n"] for r in places) == 40 * 200  # every token after a word, the ends included, in one of the rounds
+    assert len(places) <= 3 * 4
+    assert sum(len(r["places"]) + len(r["rare"]) for r in places) < 8 * 40 * 200
+
+
 def test_language_of_nothing(nothing):
     assert language.score(nothing).count() == 0
 
