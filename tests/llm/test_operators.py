@@ -155,6 +155,27 @@ def test_repeated_strings(make, repeat_rows, crowd):
     assert got == brute_repeats(repeat_rows, 60)
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_segments_of_a_crowded_core_do_not_meet(make, monkeypatch, large):
+    """A passage with different neighbours in every document: its core has a segment for each of them."""
+    from rowsmith.operators import shared
+
+    if large:
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(shared, "_hot_parts", lambda spark: 5)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(75)
+    rows = [(i, text(rng.randrange(20, 90)) + passage + text(rng.randrange(20, 90)), "s1") for i in range(60)]
+    plans, original = [], repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df: (plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())), original(df))[1])
+    got = rows_of(repeats.removal(make(rows), repeats.RepeatSettings(length=60, crowd=8, block_bytes=4000)).drop("spans"))
+    assert got == brute_repeats(rows, 60)
+    (different,) = [plan for columns, plan in plans if "bytes" in columns]
+    if not large:
+        assert not re.search(r"hashpartitioning\(core#\d+L?, \d", different)
+
+
 def test_repeated_strings_at_full_length(make, odd_rows):
     rows = [r for r in odd_rows if r[0] != 111]
     assert rows_of(repeats.removal(make(rows)).drop("spans")) == brute_repeats(rows, 400)
