@@ -216,7 +216,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
         f"{neighbours(classes)} AS station", "block", "piece AS guest", "words AS other", "counts AS other_n"
     ).selectExpr("station", "block = station AS own", "guest", "other", "other_n")
     # A guest has one letter less than its station, or one exchanged; at home each two pieces meet once.
-    meetings = homes.join(guests, "station").where("NOT own OR home <= guest")
+    # Spark sizes the guests as the file of the pieces, where each visits dozens of stations: they never go to the driver.
+    meetings = homes.join(guests.hint("merge"), "station").where("NOT own OR home <= guest")
     meetings = meetings.selectExpr("own AND home = guest AS alone", "one", "one_n", "other", "other_n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,11 +250,12 @@ def _words(codes: np.ndarray) -> pa.Array:
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root): where following the forms of a word ends. Each step is to a word at least DOMINANCE times as frequent.
 
-    Half of what is left of every path goes in a round.
+    Half of what is left of every path goes in a round. A table of words takes ten times its file in
+    memory, so none is broadcast by the size of its file.
     """
     current = written(forms.selectExpr("word", "form AS root"))
     while True:
-        onward = current.selectExpr("word AS root", "root AS beyond")
+        onward = current.selectExpr("word AS root", "root AS beyond").hint("merge")
         step = written(current.join(onward, "root", "left").selectExpr("word", "coalesce(beyond, root) AS root", "beyond IS NOT NULL AS moved"))
         current = step.select("word", "root")
         if step.where("moved").isEmpty():
@@ -277,4 +279,4 @@ def variants(docs: DataFrame, least: int = MIN_LETTERS, count: int = MIN_COUNT,
         )
     )
     ends = roots(judged.where("form IS NOT NULL"))
-    return judged.join(ends, "word", "left").selectExpr("word", "form", "coalesce(root, word) AS root", "n", "n_near", "form_n")
+    return judged.join(ends.hint("merge"), "word", "left").selectExpr("word", "form", "coalesce(root, word) AS root", "n", "n_near", "form_n")

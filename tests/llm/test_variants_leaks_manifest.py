@@ -94,6 +94,27 @@ def test_variants_of_nothing(make, nothing):
     assert variants.variants(make([(1, None, None), (2, "", "s"), (3, "short words only", "s")])).count() == 0
 
 
+def test_no_table_of_words_is_broadcast_by_its_file_size(make, spark, spelled_rows, monkeypatch):
+    """A file below the threshold holds ten times as much in memory, and the pieces that visit dozens of stations far more."""
+    planned, write = [], variants.written
+
+    def watched(df):
+        planned.append(df)
+        return write(df)
+
+    monkeypatch.setattr(variants, "written", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        planned.append(variants.variants(make(spelled_rows)))
+        plans = [df._jdf.queryExecution().sparkPlan().toString() for df in planned]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for plan in plans for line in plan.splitlines() if re.search(r"Join \[(station|root|word)#", line)]
+    assert all(any(f"[{key}#" in line for line in joins) for key in ("station", "root", "word"))
+    assert all("SortMergeJoin" in line for line in joins), joins
+
+
 def test_every_near_pair_of_blocks_is_found():
     rng = np.random.default_rng(5)
     x = variants.LETTERS[3] + rng.integers(0, 3, (300, 8)).astype(np.uint8)
